@@ -7,8 +7,10 @@ UTF-8 bytes of a whole Arrow batch at once.
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -146,5 +148,13 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df.hint("merge")
 
 
+def with_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine import this package where the session's own path doesn't hold it; installed packages come first."""
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), root])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, with_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -15,8 +16,13 @@ ORACLES: dict[str, str] = {}
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with_package(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 #: SQL for the words of a text.
@@ -49,3 +55,11 @@ n AS (SELECT *, CASE WHEN size > 0 AND whole > place THEN ceil((whole - place)::
 SELECT doc_id, size, source_size, target,
   CASE WHEN copies > 0 THEN (copies - 1) * size + least(size, whole - (copies - 1) * source_size - place) ELSE 0 END AS taken
 FROM n"""
+
+
+@query
+def op3_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    judged = judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

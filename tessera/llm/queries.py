@@ -83,3 +83,22 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN c USING (x) JOIN g b USI
 reach AS (SELECT a, b FROM p UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a),
 least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM sets LEFT JOIN least ON doc_id = a"""
+
+
+@query
+def op2_debruijn_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import digests
+
+    return digests(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_debruijn_substring_dedup"] = rf"""
+WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+v AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, w FROM d WHERE len(w) >= 20),
+k AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) AS h FROM v),
+f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) > 1 AS again FROM k),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT x.*, coalesce(bool_or(f.again) OVER (PARTITION BY x.doc_id ORDER BY x.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+      FROM x LEFT JOIN f ON f.doc_id = x.doc_id AND f.s = x.i),
+r AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)"""

@@ -102,3 +102,10 @@ g AS (SELECT x.*, coalesce(bool_or(f.again) OVER (PARTITION BY x.doc_id ORDER BY
       FROM x LEFT JOIN f ON f.doc_id = x.doc_id AND f.s = x.i),
 r AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)"""
+
+
+@query
+def op9_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(read(spark, sf_dir, "documents"))

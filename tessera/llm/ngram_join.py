@@ -16,8 +16,8 @@ Steps (x, y are classes of documents with equal sets; n is a set's size):
     with the least missing. Overlaps are summed over fragments.
 4.  Members whose link joins them to the leader's component need no further
     comparison with each other. Those left over are compared with the members
-    of other components, unless sizes, missing n-grams or the triangle
-    inequality of the Jaccard distance rule a link out.
+    of other components, unless their sizes, their missing n-grams and what
+    each shares with the leader leave too little for a link.
 
 So a group of near copies costs comparisons in proportion to its size, and no
 link between components is lost. 64-bit fingerprints stand for n-grams and
@@ -152,12 +152,20 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tup
     def labelled(df: DataFrame, of: str, name: str) -> DataFrame:
         return df.join(labels.select(F.col("node").alias(of), F.col("component").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
 
-    near = F.col("shared") / (F.col("total") - F.col("shared"))
-    known_near = first.select(F.col("a").alias("cls"), F.col("b").alias("lead"), near.alias("near"))
-    spread = led.join(known_near, ["cls", "lead"], "left").withColumn("near", F.when(F.col("cls") == F.col("lead"), 1.0).otherwise(F.coalesce("near", F.col("most") / (F.col("total") - F.col("most")))))
-    spread = cut(labelled(labelled(spread, "cls", "own"), "lead", "led_by").select("h", "cls", "n", "miss", "near", "own", (F.col("own") != F.col("led_by")).alias("out")))
-    left, apart = (100 - PERCENT) / 100, 1e-9
-    second = spread.where("out").alias("x").join(spread.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.own") != F.col("y.own")) & (~F.col("y.out") | (F.col("x.cls") < F.col("y.cls"))) & (F.col("y.out") | (F.col("y.near") - F.col("x.near") <= left + apart)) & ((100 + PERCENT) * most("x", "y") >= PERCENT * total("x", "y")))
+    known_shared = first.select(F.col("a").alias("cls"), F.col("b").alias("lead"), F.col("shared").alias("with_lead"))
+    spread = led.where(F.col("cls") != F.col("lead")).join(known_shared, ["cls", "lead"], "left")
+    spread = cut(labelled(labelled(spread, "cls", "own"), "lead", "led_by").select("h", "cls", "n", "miss", "with_lead", "own", (F.col("own") != F.col("led_by")).alias("out")))
+
+    def inside(x: str) -> Column:
+        return F.col(f"{x}.with_lead")
+
+    def outside(x: str) -> Column:
+        """Of x's n-grams that the leader hasn't, those that others have."""
+        return F.col(f"{x}.n") - F.col(f"{x}.with_lead") - F.col(f"{x}.miss")
+
+    by_lead = F.least(inside("x"), inside("y")) + F.least(outside("x"), outside("y"))
+    bound = F.when(inside("x").isNotNull() & inside("y").isNotNull(), by_lead).otherwise(most("x", "y"))
+    second = spread.where("out").alias("x").join(spread.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.own") != F.col("y.own")) & (~F.col("y.out") | (F.col("x.cls") < F.col("y.cls"))) & ((100 + PERCENT) * bound >= PERCENT * total("x", "y")))
     second = second.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), total("x", "y").alias("total")).distinct()
     second = cut(overlaps(second))
     pairs = first.where(linked).union(second.where(linked)).select("a", "b", "shared")

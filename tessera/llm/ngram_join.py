@@ -38,8 +38,8 @@ from .components import components
 
 #: Words of an n-gram; a link needs 100 * intersection >= PERCENT * union.
 N, PERCENT = 5, 80
-#: Step 1 looks at the n-grams whose hash is in the first so many eighths: clearly more than a set may miss.
-LONE_SHARE = 3
+#: Step 1 looks at the n-grams whose hash is in the first so many sixteenths: clearly more than a set may miss.
+LONE_SHARE = 5
 #: Fragments of the order in which overlaps are counted.
 FRAGMENTS = 8
 
@@ -95,7 +95,7 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tup
 
     def first_fragments(h, at, _):
         cls = np.repeat(signed(set_keys(h, at)), np.diff(at))
-        low = h < np.uint64(LONE_SHARE << 61)
+        low = h < np.uint64(LONE_SHARE << 60)
         return pa.RecordBatch.from_arrays([pa.array(signed(h[low])), pa.array(cls[low])], ["h", "cls"])
 
     def whole_sets(h, at, _):

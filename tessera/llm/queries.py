@@ -117,3 +117,11 @@ def op10_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents")
     return score(docs, fit(docs, read(spark, sf_dir, "labels")))
+
+
+@query
+def op8_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find, fit
+
+    docs = read(spark, sf_dir, "documents")
+    return find(docs, fit(docs))

@@ -125,3 +125,20 @@ def op8_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents")
     return find(docs, fit(docs))
+
+
+@query
+def op1_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import load, store
+
+    read_back = load(store(read(spark, sf_dir, "documents")))
+    return read_back.select(
+        "doc_id",
+        "n_bytes",
+        F.length("pixels").cast("long").alias("payload_bytes"),
+        F.sha2("pixels", 256).alias("payload_sha256"),
+        F.crc32(F.substring("pixels", -16, 16)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )

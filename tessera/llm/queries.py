@@ -151,3 +151,34 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     # documents have no paths: a source is a repository with a directory for each language
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(".txt")))
     return inherit(scan(read(spark, sf_dir, "documents"), path))
+
+
+@query
+def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quotes import reply_ordered
+
+    return reply_ordered(read(spark, sf_dir, "conversations"))
+
+
+_OWN = r"""(list_filter(lines, lambda x, i: len(regexp_replace(regexp_extract(x, '^(?:[\x20\t]*>)+'), '[^>]', '', 'g')) = 0
+  AND NOT (regexp_matches(x, '(?i)(?:wrote|writes|schrieb|a écrit|écrit|escribió)[\x20\t]*:[\x20\t\r]*$') AND regexp_matches(coalesce(lines[i + 1], ''), '^(?:[\x20\t]*>)+'))))"""
+_NORMAL = r"trim(regexp_replace(lower(TEXT), '[\x20\x09-\x0D]+', ' ', 'g'))"
+# no lookbehind there: a mark and the space after it become a mark and a line end, at which is split
+_SENTENCES = r"list_distinct(list_filter(string_split(regexp_replace(" + _NORMAL + r", '([.!?])[\x20]', '\1' || chr(10), 'g'), chr(10)), lambda s: regexp_matches(s, '[\p{L}\p{N}]')))"
+ORACLES["op7_quotation_linking"] = rf"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, string_split(text, chr(10)) AS lines FROM conversations),
+o AS (SELECT conv_id, turn, role, CASE WHEN contains(text, '>') THEN trim(array_to_string({_OWN}, chr(10)), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) ELSE text END AS own FROM m),
+l AS (SELECT conv_id, turn, md5(text) AS k, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM (SELECT DISTINCT conv_id, turn, text, lines FROM m WHERE contains(text, '>'))),
+d AS (SELECT *, len(regexp_replace(regexp_extract(line, '^(?:[\x20\t]*>)+'), '[^>]', '', 'g')) AS depth FROM l),
+n AS (SELECT *, (lag(depth, 1, -1) OVER w <> depth)::INT AS fresh FROM d WINDOW w AS (PARTITION BY conv_id, turn, k ORDER BY i)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id, turn, k ORDER BY i) AS passage FROM n),
+p AS (SELECT conv_id, turn, k, passage, depth, string_agg(regexp_replace(line, '^(?:[\x20\t]*>)+', ''), chr(10) ORDER BY i) AS said FROM r WHERE depth > 0 GROUP BY ALL),
+q AS (SELECT conv_id, turn, k, passage, depth, unnest({_SENTENCES.replace("TEXT", "said")}) AS s FROM p),
+f AS (SELECT conv_id, s, min(turn) AS source FROM (SELECT conv_id, turn, unnest({_SENTENCES.replace("TEXT", "own")}) AS s FROM o WHERE own IS NOT NULL) GROUP BY ALL),
+v AS (SELECT q.conv_id, turn, k, passage, depth, source, count(*) AS votes FROM q JOIN f ON q.conv_id = f.conv_id AND q.s = f.s WHERE source < turn GROUP BY ALL),
+b AS (SELECT conv_id, turn, k, passage, depth, max([votes, source]) AS best FROM v GROUP BY ALL),
+t AS (SELECT conv_id, turn, max([-depth, best[1], best[2]])[3] AS parent, count(*) AS linked FROM b GROUP BY ALL),
+up AS (SELECT conv_id, turn, parent AS root, 1 AS level FROM t UNION ALL SELECT up.conv_id, up.turn, t.parent, level + 1 FROM up JOIN t ON t.conv_id = up.conv_id AND t.turn = up.root),
+h AS (SELECT conv_id, turn, min(root) AS root, max(level) AS level FROM up GROUP BY ALL)
+SELECT o.conv_id, o.turn, o.role, o.own AS text, t.parent::BIGINT AS parent_turn, coalesce(h.root, o.turn)::BIGINT AS root_turn, coalesce(h.level, 0)::BIGINT AS level, coalesce(t.linked, 0)::BIGINT AS linked_passages
+FROM o LEFT JOIN t ON o.conv_id = t.conv_id AND o.turn = t.turn LEFT JOIN h ON o.conv_id = h.conv_id AND o.turn = h.turn"""

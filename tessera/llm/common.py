@@ -148,6 +148,18 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df.hint("merge")
 
 
+def bounded_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
+    """At most n rows of df, those whose key hashes lowest: the same ones in every run.
+
+    A share that is sure to hold n rows is taken by the hash first, so that
+    what is sorted is about n rows however many partitions df has.
+    """
+    share = min(1.0, (n + 6 * n**0.5 + 20) / max(1, df.count()))
+    h = F.xxhash64(key)
+    low = df.withColumn("__h", h).where(F.lit(share >= 1.0) | (F.shiftrightunsigned("__h", 33) < F.lit(int(share * (1 << 31)))))
+    return low.withColumn("__r", F.shiftrightunsigned("__h", 1)).orderBy("__r", *[c for c, kind in df.dtypes if not kind.startswith("map")]).limit(n).drop("__h", "__r")
+
+
 def with_package(spark: SparkSession) -> None:
     """Let Python workers on this machine import this package where the session's own path doesn't hold it; installed packages come first."""
     root = str(Path(__file__).resolve().parents[2])

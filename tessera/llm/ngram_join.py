@@ -187,3 +187,21 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
     of = groups.select("cls", "component").join(least, "component").select("cls", "component_id")
     return members.join(of, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the rows whose id is not the least of its component, with all their columns.
+
+    Of rows that repeat an id one stays. Rows without an id all stay: nothing
+    names them. Texts are shuffled only if the rows that go are too many to be
+    broadcast.
+    """
+    found = cut(near_duplicates(docs, doc_id=doc_id, text=text).select("doc_id", "component_id").where("doc_id IS NOT NULL"))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    stay = docs.join(small(gone, gone.count()), docs[doc_id] == F.col("__id"), "left_anti")
+    again = cut(found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("__id")))
+    rows = again.count()
+    if not rows:
+        return stay
+    repeated = stay.join(small(again, rows), stay[doc_id] == F.col("__id"), "left_semi").dropDuplicates([doc_id])
+    return stay.join(small(again, rows), stay[doc_id] == F.col("__id"), "left_anti").unionByName(repeated)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded_sample, slices
 
 #: Kinds of the fixed patterns in their order, and the one that the field adds.
 BASE = ("email", "ip", "card", "phone")
@@ -251,8 +251,8 @@ def labelled(text: str) -> Iterator[tuple[Window, dict[int, int]]]:
 
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Field:
     """A field trained on at most ``sample`` documents. Without any clue in the documents it adds nothing."""
-    order = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("text"), order.alias("h")).orderBy("h", "text").limit(sample).collect()
+    clues = docs.where(F.col(text).rlike("[0-9@]")).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = bounded_sample(clues, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), sample).collect()
     field = Field()
     field.learn([x for r in rows for x in labelled(r["text"])])
     return field

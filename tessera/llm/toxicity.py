@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Texts, slices
+from .common import LOWER, Texts, bounded_sample, slices
 
 #: Letters of a subsequence, and the weight of each place that it spans.
 ORDER, DECAY = 3, 0.6
@@ -306,7 +306,7 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model | None:
     """A model of the labelled rows that are not held out, at most ``SAMPLE`` of each label. Rows with nulls are left out."""
     known = labels.where(F.col(doc_id).isNotNull() & F.col(toxic).isNotNull() & ~held_out(doc_id)).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(toxic).alias("toxic"))
-    picked = [known.where(F.col("toxic") == y).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(n) for y, n in SAMPLE.items()]
+    picked = [bounded_sample(known.where(F.col("toxic") == y), F.col("doc_id"), n) for y, n in SAMPLE.items()]
     sample = F.broadcast(picked[0].union(picked[1]))  # at most the sum of SAMPLE rows
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     if len({r["toxic"] for r in rows}) < 2:

@@ -17,7 +17,7 @@ Steps (x, y are classes of documents with equal sets; n is a set's size):
 4.  Members whose link joins them to the leader's component need no further
     comparison with each other. Those left over are compared with the members
     of other components, unless their sizes, their missing n-grams and what
-    each shares with the leader leave too little for a link.
+    each shares with and lacks of the leader's set leave too little for a link.
 
 So a group of near copies costs comparisons in proportion to its size, and no
 link between components is lost. 64-bit fingerprints stand for n-grams and
@@ -40,8 +40,8 @@ from .components import components
 N, PERCENT = 5, 80
 #: Step 1 looks at the n-grams whose hash is in the first so many sixteenths: clearly more than a set may miss.
 LONE_SHARE = 5
-#: Fragments of the order in which overlaps are counted.
-FRAGMENTS = 8
+#: Fragments of the order in which overlaps are counted, and parts of each by which is told what two documents lack of a leader's set.
+FRAGMENTS, PARTS = 8, 8
 
 
 def shingles(t: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,12 +125,19 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tup
         inside = F.filter(F.col("common.h"), lambda x: F.shiftrightunsigned(x, 65 - FRAGMENTS.bit_length()) == f)
         return F.struct(F.lit(f).alias("f"), inside.alias("part"))
 
-    segments = known.select("cls", F.explode(F.array(*map(fragment, range(FRAGMENTS)))).alias("s")).select("cls", "s.f", "s.part").where(F.size("part") > 0)
+    segments = known.select("cls", F.explode(F.array(*map(fragment, range(FRAGMENTS)))).alias("s")).select("cls", "s.f", "s.part")
 
-    def overlaps(pairs: DataFrame) -> DataFrame:
-        """(a, b, shared, total) of pairs (a, b, total), the overlaps summed over fragments."""
+    def overlaps(pairs: DataFrame, lacks: bool = False) -> DataFrame:
+        """(a, b, shared, total) of pairs (a, b, total), the overlaps summed over fragments; with ``lacks`` how many of b's n-grams a lacks in each part of each fragment."""
         parts = pairs.join(segments.select(F.col("cls").alias("a"), "f", F.col("part").alias("x")), "a").join(segments.select(F.col("cls").alias("b"), "f", F.col("part").alias("y")), ["b", "f"])
-        return parts.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("x", "y"))).alias("shared"), F.first("total").alias("total"))
+        sums = [F.sum(F.size(F.array_intersect("x", "y"))).alias("shared"), F.first("total").alias("total")]
+        if lacks:
+            gone = F.transform(F.array_except("y", "x"), lambda h: F.shiftrightunsigned(h, 65 - FRAGMENTS.bit_length() - PARTS.bit_length() + 1) % PARTS)
+            tally = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda p: F.size(F.filter("gone", lambda g: g == p)).cast("short"))
+            parts = parts.withColumn("gone", gone).withColumn("tally", tally)
+            in_order = F.array_sort(F.collect_list(F.struct("f", "tally")))  # as many as there are fragments
+            sums.append(F.flatten(F.transform(in_order, lambda t: t["tally"])).alias("lacks"))
+        return parts.groupBy("a", "b").agg(*sums)
 
     def most(a: str, b: str) -> Column:
         """The largest intersection that the missing n-grams leave."""
@@ -145,16 +152,16 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tup
     lead = prefix.groupBy("h").agg(F.min(F.struct((F.col("miss") / F.col("n")).alias("part"), "cls", "n", "miss")).alias("l")).select("h", "l.cls", "l.n", "l.miss")
     led = cut(prefix.alias("x").join(lead.alias("l"), "h").select("h", F.col("x.cls").alias("cls"), F.col("x.n").alias("n"), F.col("x.miss").alias("miss"), F.col("l.cls").alias("lead"), most("x", "l").alias("most"), total("x", "l").alias("total")))
     first = led.where(F.col("cls") != F.col("lead")).where((100 + PERCENT) * F.col("most") >= PERCENT * F.col("total"))
-    first = cut(overlaps(first.select(F.col("cls").alias("a"), F.col("lead").alias("b"), "total").distinct()))
+    first = cut(overlaps(first.select(F.col("cls").alias("a"), F.col("lead").alias("b"), "total").distinct(), lacks=True))
     labels = components(first.where(linked).select("a", "b"))
 
     # 4: those that no leader's component has, with the others
     def labelled(df: DataFrame, of: str, name: str) -> DataFrame:
         return df.join(labels.select(F.col("node").alias(of), F.col("component").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
 
-    known_shared = first.select(F.col("a").alias("cls"), F.col("b").alias("lead"), F.col("shared").alias("with_lead"))
+    known_shared = first.select(F.col("a").alias("cls"), F.col("b").alias("lead"), F.col("shared").alias("with_lead"), "lacks")
     spread = led.where(F.col("cls") != F.col("lead")).join(known_shared, ["cls", "lead"], "left")
-    spread = cut(labelled(labelled(spread, "cls", "own"), "lead", "led_by").select("h", "cls", "n", "miss", "with_lead", "own", (F.col("own") != F.col("led_by")).alias("out")))
+    spread = cut(labelled(labelled(spread, "cls", "own"), "lead", "led_by").select("h", "cls", "n", "miss", "with_lead", "lacks", "own", (F.col("own") != F.col("led_by")).alias("out")))
 
     def inside(x: str) -> Column:
         return F.col(f"{x}.with_lead")
@@ -163,12 +170,15 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tup
         """Of x's n-grams that the leader hasn't, those that others have."""
         return F.col(f"{x}.n") - F.col(f"{x}.with_lead") - F.col(f"{x}.miss")
 
-    by_lead = F.least(inside("x"), inside("y")) + F.least(outside("x"), outside("y"))
-    bound = F.when(inside("x").isNotNull() & inside("y").isNotNull(), by_lead).otherwise(most("x", "y"))
-    second = spread.where("out").alias("x").join(spread.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.own") != F.col("y.own")) & (~F.col("y.out") | (F.col("x.cls") < F.col("y.cls"))) & ((100 + PERCENT) * bound >= PERCENT * total("x", "y")))
+    # what both share of the leader's: at most x's share without what y, by parts, surely lacks more of
+    surely = F.aggregate(F.zip_with("x.lacks", "y.lacks", lambda a, b: F.greatest(b - a, F.lit(0).cast("short"))), F.lit(0), lambda s, d: s + d)
+    loose, by_lead = F.least(inside("x"), inside("y")) + F.least(outside("x"), outside("y")), inside("x") - surely + F.least(outside("x"), outside("y"))
+    enough = lambda i: (100 + PERCENT) * i >= PERCENT * total("x", "y")
+    possible = F.when(inside("x").isNotNull() & inside("y").isNotNull(), enough(loose) & enough(by_lead)).otherwise(enough(most("x", "y")))
+    second = spread.where("out").alias("x").join(spread.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.own") != F.col("y.own")) & (~F.col("y.out") | (F.col("x.cls") < F.col("y.cls"))) & possible)
     second = second.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), total("x", "y").alias("total")).distinct()
     second = cut(overlaps(second))
-    pairs = first.where(linked).union(second.where(linked)).select("a", "b", "shared")
+    pairs = first.where(linked).select("a", "b", "shared").union(second.where(linked).select("a", "b", "shared"))
     more = second.where(linked).select("a", "b")
     if more.isEmpty():
         return members, pairs, labels.select(F.col("node").alias("cls"), "component")

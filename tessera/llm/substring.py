@@ -10,8 +10,8 @@ never looked at again.
 Paths with the same words are compacted into one node by a join, which knows
 its source: the first place (document, word) of all. Any later place repeats
 it as a whole. Only the windows of sources, one path for each node, are
-compared one by one, since paths of different length, at the ends of a shared
-passage, can still share windows. Two independent 64-bit fingerprints and the
+compared one by one, and only where nodes share a minimizer: paths of different
+length, at the ends of a shared passage, can still share windows. Two independent 64-bit fingerprints and the
 place in the source verify each repeat; adjoining repeats from adjoining places
 of one source make up the long spans.
 """
@@ -69,7 +69,7 @@ def _minimizers(t: Texts, b: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _found(t: Texts, b: pa.RecordBatch):
-    """The paths whose minimizer is in the row's list hs, with both word hashes of the slice."""
+    """The paths whose minimizer is in the row's list hs, with the minimizers and both word hashes of the slice."""
     hashes = [t.word_hashes(which=w) for w in (0, 1)]
     of, start, n, h = paths(t, hashes[0])
     wanted = b["hs"]
@@ -79,13 +79,13 @@ def _found(t: Texts, b: pa.RecordBatch):
     own = np.empty(len(of), rows.dtype)
     own["t"], own["h"] = of, h
     hit = np.isin(own, rows)
-    return hashes, of[hit], start[hit], n[hit]
+    return hashes, of[hit], start[hit], n[hit], h[hit]
 
 
 def _path_rows(t: Texts, b: pa.RecordBatch) -> pa.RecordBatch:
-    hashes, of, start, n = _found(t, b)
+    hashes, of, start, n, h = _found(t, b)
     keys = [signed(_WORDS[w].stretches(hashes[w], start, start + n + WINDOW - 1)) for w in (0, 1)]
-    return pa.RecordBatch.from_arrays([*map(pa.array, keys), b["o"].take(pa.array(of)), pa.array((start - t.at[of]).astype(np.int32)), pa.array(n.astype(np.int32))], ["c1", "c2", "o", "start", "n"])
+    return pa.RecordBatch.from_arrays([*map(pa.array, keys), b["o"].take(pa.array(of)), pa.array((start - t.at[of]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(signed(h))], ["c1", "c2", "o", "start", "n", "h"])
 
 
 def _source_windows(t: Texts, b: pa.RecordBatch) -> pa.RecordBatch:
@@ -112,14 +112,15 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     marked = cut(_scan(texts, "o long, h long", _minimizers).join(often, "h", "left_semi").groupBy("o").agg(F.collect_set("h").alias("hs")))  # as many as a text has at most
     rows = marked.count()
     looked = texts.join(small(marked.select("o"), rows), "o", "left_semi").join(marked, "o")
-    found = cut(_scan(looked, "c1 long, c2 long, o long, start int, n int", _path_rows))
-    nodes = found.groupBy("c1", "c2").agg(F.min(F.struct("o", "start", "n")).alias("source"), F.count("*").alias("times"))
-    nodes = cut(nodes.select("c1", "c2", F.col("source.o").alias("so"), F.col("source.start").alias("ss"), F.col("source.n").alias("n"), "times"))
+    found = cut(_scan(looked, "c1 long, c2 long, o long, start int, n int, h long", _path_rows))
+    nodes = found.groupBy("c1", "c2").agg(F.min(F.struct("o", "start", "n")).alias("source"), F.count("*").alias("times"), F.min("h").alias("h"))
+    nodes = cut(nodes.select("c1", "c2", "h", F.col("source.o").alias("so"), F.col("source.start").alias("ss"), F.col("source.n").alias("n"), "times"))
 
-    known = found.join(nodes.where("times > 1").drop("n"), ["c1", "c2"]).where("o <> so OR start <> ss")
+    known = found.join(nodes.where("times > 1").drop("n", "h"), ["c1", "c2"]).where("o <> so OR start <> ss")
     known = known.select("o", "start", (F.col("n") + F.lit(WINDOW - 1)).alias("words"), F.col("so").alias("source"), F.col("ss").alias("source_start"))
 
-    listed = nodes.groupBy(F.col("so").alias("o")).agg(F.collect_list(F.struct(F.col("ss").alias("start"), "n")).alias("source"))
+    several = nodes.groupBy("h").agg(F.count("*").alias("nodes")).where("nodes > 1").select("h")  # a window lies in one node only unless its minimizer has more
+    listed = nodes.join(several, "h", "left_semi").groupBy(F.col("so").alias("o")).agg(F.collect_list(F.struct(F.col("ss").alias("start"), "n")).alias("source"))
     windows = cut(_scan(texts.join(small(marked.select("o"), rows), "o", "left_semi").join(listed, "o"), "w1 long, w2 long, o long, pos int", _source_windows))
     first = windows.groupBy("w1", "w2").agg(F.min(F.struct("o", "pos")).alias("f"), F.count("*").alias("times")).where("times > 1").select("w1", "w2", "f")
     single = windows.join(first, ["w1", "w2"]).where("o <> f.o OR pos <> f.pos").select("o", F.col("pos").alias("start"), F.lit(WINDOW).alias("words"), F.col("f.o").alias("source"), F.col("f.pos").alias("source_start"))

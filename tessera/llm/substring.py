@@ -65,7 +65,10 @@ def _minimizer_counts(t: Texts, _: pa.RecordBatch) -> pa.RecordBatch:
 
 def _minimizers(t: Texts, b: pa.RecordBatch) -> pa.RecordBatch:
     of, _, _, h = paths(t, t.word_hashes())
-    return pa.RecordBatch.from_arrays([b["o"].take(pa.array(of)), pa.array(signed(h))], ["o", "h"])
+    order = np.lexsort((h, of))
+    of, h = of[order], h[order]
+    new = np.r_[True, (of[1:] != of[:-1]) | (h[1:] != h[:-1])] if len(of) else np.zeros(0, bool)
+    return pa.RecordBatch.from_arrays([b["o"].take(pa.array(of[new])), pa.array(signed(h[new]))], ["o", "h"])
 
 
 def _found(t: Texts, b: pa.RecordBatch):
@@ -108,7 +111,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     copies = cut(keyed.join(same, ["k1", "k2", "k3"]).where("o > first").select("o", "first").distinct())
     texts = docs.where("text IS NOT NULL").join(small(copies.select("o"), copies.count()), "o", "left_anti").select("o", "text")
 
-    often = _scan(texts.select("text"), "h long, n long", _minimizer_counts).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    often = cut(_scan(texts.select("text"), "h long, n long", _minimizer_counts).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))  # so that the join below is of two plain exchanges, which Spark can split
     marked = cut(_scan(texts, "o long, h long", _minimizers).join(often, "h", "left_semi").groupBy("o").agg(F.collect_set("h").alias("hs")))  # as many as a text has at most
     rows = marked.count()
     looked = texts.join(small(marked.select("o"), rows), "o", "left_semi").join(marked, "o")

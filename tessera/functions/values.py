@@ -8,6 +8,7 @@ generated.
 
 from __future__ import annotations
 
+import operator
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -21,12 +22,17 @@ NUMERIC = ("bool", "int", "float")
 
 @dataclass(frozen=True, eq=False)
 class Value:
-    """``kind``: null, bool, int, float, string, mixed (see ``unified``) or list."""
+    """``kind``: null, bool, int, float, string, mixed (see ``unified``) or list.
+
+    ``test`` is what WHERE may use in place of a truth: null for false, and
+    plain enough to reach the scan.
+    """
 
     column: Column
     kind: str
     literal: object = None
     constant: bool = False
+    test: Column | None = None
 
 
 def lit(value: object) -> Value:
@@ -66,6 +72,11 @@ def truthy(v: Value) -> Column:
     return F.coalesce(c != "", F.lit(False)) if v.kind == "string" else c.isNotNull()
 
 
+def condition(v: Value) -> Column:
+    """A value as a condition of WHERE."""
+    return truthy(v) if v.test is None else v.test
+
+
 def number(v: Value) -> Value:
     """A value in arithmetic: null is 0, true is 1."""
     if v.kind == "null":
@@ -107,16 +118,28 @@ def equal(a: Value, b: Value) -> Column:
     return same & ~F.isnan(F.coalesce(a.column, F.lit(0.0))) if "float" in (a.kind, b.kind) and not (a.constant or b.constant) else same
 
 
-def compare(op: str, a: Value, b: Value) -> Column:
+_ORDER = {"<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge}
+
+
+def compare(op: str, a: Value, b: Value) -> Value:
     """Order: text with text, or anything else as numbers."""
     if (a.kind == "string") != (b.kind == "string"):
         raise QueryError(f"Text can't be compared with {_called(b if a.kind == 'string' else a)}.", hint="Compare text with text, or numbers with numbers.")
     if a.kind != "string":
         if "mixed" in (a.kind, b.kind) or "list" in (a.kind, b.kind):
             raise QueryError("Values of several types have no order here.")
-        a, b = number(a), number(b)
-    x, y = a.column, b.column
-    return F.coalesce({"<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op], F.lit(False))
+    test = None
+    if a.kind == "string":
+        x, y = a.column, b.column
+    else:
+        for v, w, flip in ((a, b, False), (b, a, True)):
+            if v.kind in ("int", "float") and not v.constant and w.kind in ("int", "float") and w.constant:
+                test = _ORDER[op](w.column, v.column) if flip else _ORDER[op](v.column, w.column)
+                if _ORDER[op](*((w.literal, 0) if flip else (0, w.literal))):  # null counts as 0
+                    test = test | v.column.isNull()
+        x, y = number(a).column, number(b).column
+    plain = _ORDER[op](x, y)
+    return Value(F.coalesce(plain, F.lit(False)), "bool", test=plain if test is None else test)
 
 
 def _called(v: Value) -> str:
@@ -149,14 +172,16 @@ def is_empty(v: Value) -> Column:
     return v.column.isNull() | (v.column == "") if v.kind == "string" else v.column.isNull()
 
 
-def among(v: Value, options: list[Value], negated: bool) -> Column:
+def among(v: Value, options: list[Value], negated: bool) -> Value:
     """IN, by strict equality; literals of one type become a set that Spark can push down."""
     same = [o for o in options if o.constant and o.literal is not None and (o.kind == v.kind or {o.kind, v.kind} == {"int", "float"})]
     rest = [o for o in options if o not in same and not (o.constant and o.literal is not None and v.kind not in ("mixed", "null"))]
-    found = F.coalesce(v.column.isin([o.literal for o in same]), F.lit(False)) if same and v.kind != "mixed" else F.lit(False)
-    for o in rest if v.kind != "mixed" else options:
+    plain = v.column.isin([o.literal for o in same]) if same and v.kind != "mixed" else None
+    found = F.lit(False) if plain is None else F.coalesce(plain, F.lit(False))
+    rest = rest if v.kind != "mixed" else options
+    for o in rest:
         found = found | equal(v, o)
-    return ~found if negated else found
+    return Value(~found, "bool") if negated else Value(found, "bool", test=None if rest else plain)
 
 
 def unified(values: list[Value]) -> list[Value]:

@@ -93,18 +93,19 @@ class _Compiler:
             case Binary(op="and"):
                 return V.Value(V.truthy(self(node.left)) & V.truthy(self(node.right)), "bool")
             case Binary(op="or"):
-                return V.Value(V.truthy(self(node.left)) | V.truthy(self(node.right)), "bool")
+                a, b = self(node.left), self(node.right)
+                return V.Value(V.truthy(a) | V.truthy(b), "bool", test=V.condition(a) | V.condition(b))
             case Binary(op="=" | "!="):
                 same = V.equal(self(node.left), self(node.right))
                 return V.Value(same if node.op == "=" else ~same, "bool")
             case Binary(op="<" | ">" | "<=" | ">="):
-                return V.Value(V.compare(node.op, self(node.left), self(node.right)), "bool")
+                return V.compare(node.op, self(node.left), self(node.right))
             case Binary(op="||"):
                 return V.Value(F.concat(V.text(self(node.left)), V.text(self(node.right))), "string")
             case Binary():
                 return V.arithmetic(node.op, self(node.left), self(node.right))
             case In():
-                return V.Value(V.among(self(node.operand), [self(o) for o in node.options], node.negated), "bool")
+                return V.among(self(node.operand), [self(o) for o in node.options], node.negated)
             case Like():
                 if not isinstance(node.pattern, Literal) or not isinstance(node.pattern.value, str):
                     raise QueryError("LIKE takes a pattern written out in quotes.", node.pattern.start, node.pattern.end)
@@ -185,7 +186,7 @@ class Engine:
         compile_ = _Compiler({c: V.of_column(df[c], df.schema[c].dataType) for c in columns}, now)
         if query.where:
             for part in conditions(query.where):
-                df = df.where(V.truthy(compile_(part)))
+                df = df.where(V.condition(compile_(part)))
         if kept is not None:
             df = df.observe(kept, F.count(F.lit(1)).alias("n"))
         items = [(i.value, output_name(i, k)) for k, i in enumerate(query.items)] if query.items is not None else [(Name(c), c) for c in columns]

@@ -61,7 +61,7 @@ class Reader(SimpleDataSourceStreamReader):
         self.failures = 0
 
     def initialOffset(self) -> dict:
-        return {"since": time.time() - self.backfill}
+        return {"since": time.time() - self.backfill, "seen": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         since, rows = start["since"], []
@@ -81,7 +81,7 @@ class Reader(SimpleDataSourceStreamReader):
             if not rows:
                 time.sleep(wait(self.failures, random.random()))
                 self.failures += 1
-        return iter(rows), {"since": since}
+        return iter(rows), {"since": since, "seen": start.get("seen", 0) + len(rows)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         """After a failure: the messages from start that are not later than end."""

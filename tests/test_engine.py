@@ -1,0 +1,171 @@
+from __future__ import annotations
+
+import datetime as dt
+import random
+
+import pytest
+
+from tessera import Engine, QueryError, Table
+from tessera.sources.edits import filled, schema
+
+NOW = 1_700_000_000.0
+
+
+def rows(n: int = 1000):
+    r = random.Random(7)
+    for i in range(n):
+        yield {
+            "ts": dt.datetime.fromtimestamp(NOW - 500 + 0.5 * i, dt.timezone.utc), "lang": ["en", "de", "fr", "ja", "es"][i % 5], "title": f"Page{i % 50}",
+            "user": f"user{i % 25}", "is_bot": i % 4 == 0, "is_anon": i % 7 == 0, "namespace": 0 if i % 3 else 14, "delta": r.randrange(-500, 500),
+            "comment": "reverted vandalism" if i % 11 == 0 else "copyedit", "seq": i,
+        }
+
+
+@pytest.fixture(scope="module")
+def engine(spark):
+    df = filled(spark.createDataFrame(list(rows()), "ts timestamp, lang string, title string, user string, is_bot boolean, is_anon boolean, namespace bigint, delta bigint, comment string, seq bigint")).cache()
+    e = Engine({"edits": Table(df, "ts", "seq", 900, lambda: NOW, ("seq",))})
+    one = spark.createDataFrame([(1, "hello", True, 2.5, None)], "i long, s string, b boolean, f double, z string")
+    e.register("one", Table(one, None, "i", clock=lambda: 1000.0))
+    e.register("none", Table(df.where("seq < 0"), "ts", "seq", 900, lambda: NOW, ("seq",)))
+    return e
+
+
+def ask(engine, sql):
+    return engine.run(sql).collect().rows
+
+
+EXPRESSIONS = {
+    "1 = '1'": False, "null = null": True, "null != 1": True, "NOT ''": True, "NOT 'false'": False, "NOT 0": True, "'b' > 'a'": True, "10 / 4": 2.5,
+    "7 / 0": 0, "7 % 0": 0, "-7 % 3": -1, "'a' || null": "anull", "1 || true": "1true", "true + 1": 2, "null + 1": 1, "round(2.5)": 3, "round(-2.5)": -2,
+    "round(2.345, 2)": 2.35, "substr('hello', 1, 3)": "ell", "substr('hello', -3, 2)": "ll", "substr('hello', -3, 3)": "", "substr('hello', 2)": "llo",
+    "coalesce('', null, 'x')": "x", "coalesce(0, 5)": 0, "coalesce('', null)": None, "'' IS NULL": True, "0 IS NULL": False, "'ABC' LIKE 'a%'": True,
+    "'a_b' LIKE 'a\\_b'": False, "'abc' LIKE 'b'": False, "null IN (null)": True, "'x' NOT IN ('y', null)": True, "CASE WHEN false THEN 1 END": None,
+    "2 + 3 IN (3)": 3, "5m": 300, "length('a😀')": 3, "CASE WHEN i = 1 THEN 'x' ELSE 5 END": "x", "i || 1.50": "11.5", "z IS NULL": True, "z = null": True,
+    "coalesce(z, s)": "hello", "abs(0 - 3)": 3, "1 < 2 < 3": True, "i IN (1, 2.0, 'x')": True, "f IN (2.5)": True, "s IN ('a', 1)": False, "12345678.0 || ''": "12345678",
+    "now() - 1": 999.0, "b AND f": True, "b = 1": False, "lower(upper(s))": "hello",
+}
+
+
+def test_values(engine):
+    got = ask(engine, f"SELECT {', '.join(EXPRESSIONS)} FROM one")[0]
+    assert dict(zip(EXPRESSIONS, got, strict=True)) == EXPRESSIONS
+
+
+def test_counts_and_partitions(engine):
+    assert ask(engine, "SELECT count(*) FROM edits") == [(1000,)]
+    assert ask(engine, "SELECT count(*) FROM edits WHERE is_bot") == [(250,)]
+    assert ask(engine, "SELECT count(*) FROM edits WHERE NOT is_bot") == [(750,)]
+    assert ask(engine, "SELECT count(*) FROM edits WHERE lang IN ('en', 'de')") == [(400,)]
+    by = ask(engine, "SELECT lang, count(*) FROM edits GROUP BY lang")
+    assert [x for x, _ in by] == ["en", "de", "fr", "ja", "es"] and sum(n for _, n in by) == 1000
+    assert ask(engine, "SELECT count(distinct user), count(uri) FROM edits") == [(25, 1000)]
+    assert ask(engine, "SELECT count(*) FROM edits WHERE comment LIKE '%REVERT%'") == [(91,)]
+    assert ask(engine, "SELECT title FROM edits WHERE is_bot GROUP BY title") == ask(engine, "SELECT title FROM edits WHERE is_bot = true GROUP BY title")
+
+
+def test_top_k(engine):
+    ((top, n),) = ask(engine, "SELECT top_k(lang, 3), count(*) FROM edits")
+    assert [tuple(x) for x in top] == [("de", 200), ("en", 200), ("es", 200)] and n == 1000
+    assert all(len(t) == 2 for _, t in ask(engine, "SELECT lang, top_k(title, 2) FROM edits GROUP BY lang"))
+
+
+def test_order_limit_and_notes(engine):
+    r = engine.run("SELECT title FROM edits").collect()
+    assert len(r.rows) == 200 and r.truncated and r.notes and r.rows[0] == ("Page49",)
+    r = engine.run("SELECT delta, title FROM edits ORDER BY delta DESC LIMIT 7").collect()
+    assert [d for d, _ in r.rows] == sorted((x["delta"] for x in rows()), reverse=True)[:7]
+    assert ask(engine, "SELECT lang FROM edits GROUP BY lang ORDER BY 1 DESC") == [("en",), ("de",), ("fr",), ("ja",), ("es",)]
+    r = engine.run("SELECT lang, count(*) AS n FROM edits GROUP BY lang ORDER BY n LIMIT 5").collect()
+    assert not r.truncated
+    assert ask(engine, "SELECT CASE WHEN is_bot THEN 1 ELSE 'none' END AS v FROM edits GROUP BY v ORDER BY v") == [("1",), ("none",)]
+
+
+def test_star_and_names(engine):
+    r = engine.run("SELECT * FROM edits LIMIT 1").collect()
+    assert len(r.columns) == 15 and "seq" not in r.columns
+    names = engine.run("SELECT count(*), sum(delta), count(distinct user), max(delta + 1), 1 + 1, lang x FROM edits GROUP BY lang").columns
+    assert names == ["count", "sum_delta", "count_distinct_user", "max", "col5", "x"]
+    assert engine.run("SELECT lang AS l, count(*) FROM edits GROUP BY lang").key_columns == 1
+
+
+def test_windows(engine):
+    assert ask(engine, "SELECT count(*) FROM edits WINDOW 60s") == [(120,)]  # up to now, from the first row not older
+    assert ask(engine, "SELECT count(*) FROM edits WINDOW 900s") == [(1000,)]
+    assert ask(engine, "SELECT count(*) FROM edits WHERE ts >= now() - 1m") == [(120,)]
+
+
+def test_empty(engine):
+    assert ask(engine, "SELECT count(*), sum(delta), avg(delta), min(delta), percentile(delta, 50), top_k(lang), count(distinct lang) FROM none") == [(0, 0, 0, None, 0, [], 0)]
+    assert ask(engine, "SELECT lang, count(*) FROM none GROUP BY lang") == []
+
+
+def test_negated_tests_are_their_own_aggregates(engine):
+    a, b = ask(engine, "SELECT sum(CASE WHEN lang IN ('en') THEN 1 ELSE 0 END), sum(CASE WHEN lang NOT IN ('en') THEN 1 ELSE 0 END) FROM edits")[0]
+    assert (a, b) == (200, 800)
+
+
+def test_composite_keys_stay_apart(spark):
+    df = spark.createDataFrame([("a", "bc", 1), ("ab", "c", 2)], "lang string, title string, seq long")
+    assert len(ask(Engine({"t": Table(df, None, "seq")}), "SELECT lang, title, count(*) FROM t GROUP BY lang, title")) == 2
+
+
+def test_metrics(engine):
+    r = engine.run("SELECT count(*) FROM edits WHERE is_bot", metrics=True).collect()
+    assert (r.scanned, r.matched) == (1000, 250)
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame(list(rows(50)), "ts timestamp, lang string, title string, user string, is_bot boolean, is_anon boolean, namespace bigint, delta bigint, comment string, seq bigint").write.parquet(str(tmp_path / "t"))
+    e = Engine({"edits": Table(spark.read.parquet(str(tmp_path / "t")), "ts", "seq", None, lambda: NOW)})
+    plan = e.sql("SELECT lang, sum(delta) FROM edits WHERE namespace IN (0, 4) GROUP BY lang WINDOW 5m")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts," in plan and "In(namespace" in plan
+    assert "ReadSchema: struct<ts:timestamp,lang:string,namespace:bigint,delta:bigint,seq:bigint>" in plan
+
+
+def test_approximate_is_near(spark, engine):
+    near = Engine(engine.tables, approximate=True)
+    (n, p), (m, q) = (ask(e, "SELECT count(distinct title), percentile(delta, 50) FROM edits")[0] for e in (near, engine))
+    assert abs(n - m) <= 2 and abs(p - q) < 25
+
+
+@pytest.mark.parametrize(
+    ("sql", "at"),
+    [
+        ("SELECT titel FROM edits", "titel"),
+        ("SELECT a FROM nowhere", "nowhere"),
+        ("SELECT lang, count(*) FROM edits GROUP BY title", "lang"),
+        ("SELECT title FROM edits WHERE count(*) > 1", "count(*)"),
+        ("SELECT count(*) AS n FROM edits GROUP BY n", "n"),
+        ("SELECT max(sum(delta)) FROM edits", "sum(delta)"),
+        ("SELECT percentile(delta, 101) FROM edits", "101"),
+        ("SELECT percentile(delta, 90 + 5) FROM edits", "90 + 5"),
+        ("SELECT top_k(lang, 2.5) FROM edits", "2.5"),
+        ("SELECT lang > 5 FROM edits", "lang > 5"),
+        ("SELECT sum(lang) FROM edits", "sum(lang)"),
+        ("SELECT lang + 1 FROM edits", "lang + 1"),
+        ("SELECT lang LIKE title FROM edits", "title"),
+        ("SELECT substr(lang) FROM edits", "substr(lang)"),
+        ("SELECT sum() FROM edits", "sum()"),
+        ("SELECT Lang FROM edits", "Lang"),
+        ("SELECT count(*) FROM edits WINDOW 1h", "SELECT count(*) FROM edits WINDOW 1h"),
+    ],
+)
+def test_errors(engine, sql, at):
+    with pytest.raises(QueryError) as e:
+        engine.check(sql)
+    places = [i for i in range(len(sql)) if sql.startswith(at, i)]
+    assert e.value.start in places and sql[e.value.start : e.value.end] == at
+
+
+def test_suggestions(engine):
+    with pytest.raises(QueryError) as e:
+        engine.check("SELECT titel FROM edits")
+    assert "title" in e.value.hint
+    with pytest.raises(QueryError) as e:
+        engine.check("SELECT zzzzzzzz FROM edits")
+    assert "lang" in e.value.hint and "comment" in e.value.hint
+
+
+def test_schema_has_fifteen_columns():
+    assert schema().count(",") == 14

@@ -107,7 +107,7 @@ def _source_windows(t: Texts, b: pa.RecordBatch) -> pa.RecordBatch:
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(later copies, repeats) of docs (o, text): ``copies`` (o, first) of whole texts, ``repeats`` (o, start, words, source, source_start) in the others."""
     keyed = docs.where("text IS NOT NULL").select("o", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"), F.length("text").alias("k3"))
-    same = keyed.groupBy("k1", "k2", "k3").agg(F.min("o").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    same = cut(keyed.groupBy("k1", "k2", "k3").agg(F.min("o").alias("first"), F.count("*").alias("rows")).where("rows > 1"))
     copies = cut(keyed.join(same, ["k1", "k2", "k3"]).where("o > first").select("o", "first").distinct())
     texts = docs.where("text IS NOT NULL").join(small(copies.select("o"), copies.count()), "o", "left_anti").select("o", "text")
 

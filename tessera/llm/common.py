@@ -148,6 +148,14 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df.hint("merge")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def bounded_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
     """At most n rows of df, those whose key hashes lowest: the same ones in every run.
 
@@ -155,9 +163,9 @@ def bounded_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
     what is sorted is about n rows however many partitions df has.
     """
     share = min(1.0, (n + 6 * n**0.5 + 20) / max(1, df.count()))
-    h = F.xxhash64(key)
-    low = df.withColumn("__h", h).where(F.lit(share >= 1.0) | (F.shiftrightunsigned("__h", 33) < F.lit(int(share * (1 << 31)))))
-    return low.withColumn("__r", F.shiftrightunsigned("__h", 1)).orderBy("__r", *[c for c, kind in df.dtypes if not kind.startswith("map")]).limit(n).drop("__h", "__r")
+    h = F.shiftrightunsigned(F.xxhash64(key), 33)
+    low = df.where(F.lit(share >= 1.0) | (h < F.lit(int(share * (1 << 31)))))
+    return low.orderBy(h, *[c for c, kind in df.dtypes if not kind.startswith("map")]).limit(n)
 
 
 def with_package(spark: SparkSession) -> None:

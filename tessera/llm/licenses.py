@@ -131,7 +131,7 @@ def notices(t: Texts, templates: Templates, weight: np.ndarray) -> tuple[np.ndar
     vectors = vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))
     cosine = np.stack([np.bincount(at, value * v[which], minlength=lines) for v in vectors]) / np.sqrt(size)
     top = cosine.argmax(0)
-    like = cosine[top, np.arange(lines)]
+    like = np.round(cosine[top, np.arange(lines)], 9)
     inside = np.bincount(line_doc, np.bincount(line, minlength=lines) * (like >= LIKE), minlength=n).astype(np.int64)
     for k in np.flatnonzero(like >= LIKE):
         if like[k] > score[line_doc[k]]:

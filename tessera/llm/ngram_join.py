@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _WORDS, Texts, cut, lists, mix, signed, slices, small
+from .common import _WORDS, Texts, cut, lists, mix, signed, slices, small, unused
 from .components import components
 
 #: Words of an n-gram; a link needs 100 * intersection >= PERCENT * union.
@@ -207,11 +207,12 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     broadcast.
     """
     found = cut(near_duplicates(docs, doc_id=doc_id, text=text).select("doc_id", "component_id").where("doc_id IS NOT NULL"))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    stay = docs.join(small(gone, gone.count()), docs[doc_id] == F.col("__id"), "left_anti")
-    again = cut(found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("__id")))
+    key = unused(docs, "id")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    stay = docs.join(small(gone, gone.count()), docs[doc_id] == F.col(key), "left_anti")
+    again = cut(found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias(key)))
     rows = again.count()
     if not rows:
         return stay
-    repeated = stay.join(small(again, rows), stay[doc_id] == F.col("__id"), "left_semi").dropDuplicates([doc_id])
-    return stay.join(small(again, rows), stay[doc_id] == F.col("__id"), "left_anti").unionByName(repeated)
+    repeated = stay.join(small(again, rows), stay[doc_id] == F.col(key), "left_semi").dropDuplicates([doc_id])
+    return stay.join(small(again, rows), stay[doc_id] == F.col(key), "left_anti").unionByName(repeated)

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 #: Java and Python pattern of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that are scanned together; a single longer text is scanned alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
+#: Most rows of a batch that a Python worker gets.
+BATCH_ROWS = 1000
 #: Most rows of a side (of a few numbers a row) that is broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -169,11 +171,17 @@ def bounded_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
 
 
 def with_package(spark: SparkSession) -> None:
-    """Let Python workers on this machine import this package where the session's own path doesn't hold it; installed packages come first."""
+    """Let Python workers on this machine import this package where the session's own path doesn't hold it, and hand them few rows at a time.
+
+    Installed packages come first. A batch is in memory several times, in the
+    executor and in the worker, and texts may be long.
+    """
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), root])
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

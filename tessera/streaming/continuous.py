@@ -9,8 +9,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import store
 from ..operators.engine import Engine
 from ..plans.errors import QueryError
+from ..plans.presets import PRESETS
 
 #: Seconds between two runs, after an error, and at most; a run that takes longer than SLOW waits ten times as long.
 TICK, AFTER_ERROR, MOST, SLOW = 1.0, 2.0, 5.0, 0.25
@@ -50,6 +52,15 @@ class Failure:
     hint: str | None = None
 
 
+@dataclass
+class Feed:
+    """The latest rows, figures of the table, and the headline query's row (None if it failed)."""
+
+    rows: list[tuple]
+    stats: dict
+    headline: dict | None
+
+
 def difference(old: dict[tuple, tuple], new: dict[tuple, tuple]) -> tuple[list[Change], list[tuple] | None]:
     """The changes that make new of old, and the order of all keys if the shared ones moved or any came or went."""
     changes = [Change("set", k, i, row) for i, (k, row) in enumerate(new.items()) if k not in old or old[k] != row]
@@ -125,11 +136,13 @@ def _plain(x):
 
 
 class Session:
-    """Subscriptions to one engine; ``send`` gets each message."""
+    """Subscriptions to one engine; ``send`` gets each message. With ``table`` a feed of its latest rows is sent each second."""
 
-    def __init__(self, engine: Engine, send: Callable[[Message | Failure], None], clock: Callable[[], float] = time.monotonic) -> None:
-        self.engine, self.send, self.clock = engine, send, clock
+    def __init__(self, engine: Engine, send: Callable[[Message | Failure | Feed], None], clock: Callable[[], float] = time.monotonic, table: str | None = None) -> None:
+        self.engine, self.send, self.clock, self.table = engine, send, clock, table
         self.queries: dict[str, ContinuousQuery] = {}
+        self.feed_rows, self.feed_human_only, self.feed_at = 14, False, 0.0
+        self.started = time.time()
 
     def subscribe(self, id: str, sql: str) -> bool:
         """Take up a query, in place of one with the same id; a wrong one is answered at once."""
@@ -145,6 +158,9 @@ class Session:
     def unsubscribe(self, id: str) -> None:
         self.queries.pop(id, None)
 
+    def set_feed(self, human_only: bool, rows: int = 14) -> None:
+        self.feed_human_only, self.feed_rows, self.feed_at = human_only, rows, 0.0
+
     def tick(self, at: float | None = None) -> int:
         """Run what is due; how many ran."""
         ran = 0
@@ -153,8 +169,23 @@ class Session:
                 ran += 1
                 if (message := q.evaluate(self.clock(), at)) is not None:
                     self.send(message)
+        if self.table is not None and self.clock() >= self.feed_at:
+            self.feed_at = self.clock() + TICK
+            self.send(self.feed(at))
         return ran
 
+    def feed(self, at: float | None = None) -> Feed:
+        table = self.engine.tables[self.table]
+        now = at if at is not None else table.now()
+        rows = store.recent(table, self.feed_rows, self.feed_human_only).select(*table.columns).collect()
+        figures = store.stats(table, now, min(self.started, now)).first().asDict()
+        try:
+            found = self.engine.run(PRESETS["headline"].sql(table=self.table), now).collect()
+            headline = dict(zip(found.columns, found.rows[0], strict=True))
+        except QueryError:
+            headline = None
+        return Feed([tuple(r) for r in rows], figures, headline)
+
     def run(self, seconds: float, pause: float = 0.15) -> None:
         end = self.clock() + seconds
         while self.clock() < end:

@@ -22,11 +22,8 @@ FLUSH, REMEMBER, LAGS, CAUGHT_UP = "400 milliseconds", "30 minutes", 400, 5.0
 
 @dataclass
 class Stats:
-    received: int = 0
     kept: int = 0
-    parse_errors: int = 0
     backfilling: bool = True
-    last_error: str | None = None
     lags: deque = field(default_factory=lambda: deque(maxlen=LAGS))
 
     @property
@@ -50,7 +47,8 @@ def ingest(lines: DataFrame, path: str, checkpoint: str, *, rollups: str | None
     """
     stats = stats if stats is not None else Stats()
     # ids are remembered before anything is left out by kind; arrival is the batch and a number within
-    fresh = deduplicated(normalised(decode(lines).where("NOT bad")), True)
+    lines = decode(lines).observe("lines", F.count(F.lit(1)).alias("received"), F.count_if("bad").alias("parse_errors"))
+    fresh = deduplicated(normalised(lines.where("NOT bad")), True)
 
     def append(batch: DataFrame, number: int) -> None:
         seen = Observation()
@@ -70,6 +68,21 @@ def ingest(lines: DataFrame, path: str, checkpoint: str, *, rollups: str | None
     return fresh.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": FLUSH})).start()
 
 
+def status(query: StreamingQuery, stats: Stats) -> dict:
+    """The figures of an ingestion so far: those of its lines from its latest batches, the rest from ``stats``."""
+    seen = [p["observedMetrics"]["lines"] for p in query.recentProgress if "lines" in (p["observedMetrics"] or {})]
+    error = query.exception()
+    return {
+        "connected": query.isActive,
+        "backfilling": stats.backfilling,
+        "received": sum(x["received"] for x in seen),
+        "kept": stats.kept,
+        "parse_errors": sum(x["parse_errors"] for x in seen),
+        "last_error": str(error) if error else None,
+        "median_lag": stats.median_lag,
+    }
+
+
 def line_figures(lines: DataFrame) -> DataFrame:
     """How many lines there are and how many are no JSON."""
     return decode(lines).agg(F.count(F.lit(1)).alias("received"), F.count_if("bad").alias("parse_errors"))

@@ -13,8 +13,8 @@ from tessera.operators import store
 from tessera.plans.presets import PRESETS
 from tessera.sources.edits import decode, filled, from_events
 from tessera.streaming import rollup
-from tessera.streaming.continuous import AFTER_ERROR, ContinuousQuery, Failure, Message, Session, applied, changes_between, difference
-from tessera.streaming.ingest import Stats, deduplicated, ingest, line_figures, live_table
+from tessera.streaming.continuous import AFTER_ERROR, ContinuousQuery, Failure, Feed, Message, Session, applied, changes_between, difference
+from tessera.streaming.ingest import Stats, deduplicated, ingest, line_figures, live_table, status
 
 from .test_sources import raw
 
@@ -144,6 +144,20 @@ def test_session(spark):
     assert s.tick() == 0
 
 
+def test_feed_messages(spark):
+    sent = []
+    now = [0.0]
+    s = Session(Engine({"edits": table(edits(spark, [{"title": "a"}, {"title": "b", "is_bot": True}]))}), sent.append, lambda: now[0], "edits")
+    s.tick()
+    (f,) = sent
+    assert isinstance(f, Feed) and len(f.rows) == 2 and f.headline["edits"] == 2 and f.stats["buffered_rows"] == 2
+    s.set_feed(True)
+    s.tick()
+    assert len(sent[1].rows) == 1
+    s.tick()
+    assert len(sent) == 2
+
+
 def test_presets_run(spark):
     df = from_events(spark.createDataFrame([(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), i % 9, "click", float(i), "{}") for i in range(200)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"))
     e = Engine({"edits": Table(df, "ts", "event_id", hidden=("event_id",))})
@@ -171,6 +185,8 @@ def test_ingest(spark, tmp_path):
     figures = Stats()
     q = ingest(spark.readStream.text(source), out, str(tmp_path / "cp"), rollups=rolled, stats=figures, trigger={"availableNow": True})
     q.awaitTermination(120)
+    seen = status(q, figures)
+    assert (seen["received"], seen["parse_errors"], seen["kept"], seen["connected"], seen["last_error"]) == (54, 1, 42, False, None)
     (tmp_path / "in" / "b.json").write_text(json.dumps(raw(timestamp=now, meta={"id": "e1", "uri": "u"})) + "\n" + json.dumps(raw(timestamp=now, meta={"id": "new", "uri": "u"})))
     q = ingest(spark.readStream.text(source), out, str(tmp_path / "cp"), rollups=rolled, stats=figures, trigger={"availableNow": True})
     q.awaitTermination(120)

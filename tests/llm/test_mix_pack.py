@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import functools
 import random
 import re
 import zlib
@@ -151,10 +152,15 @@ def test_knapsack():
         assert (took * size).sum() <= 40 and abs((took * value).sum() - best[40]) < 1e-9
 
 
-def reference_ids(text):
+@functools.cache
+def reference_tokenizer():
     from tokenizers import Tokenizer
 
-    return np.array([*Tokenizer.from_file(packing.VOCABULARY).encode(text, add_special_tokens=False).ids, packing.END], "<u4")
+    return Tokenizer.from_file(packing.VOCABULARY)
+
+
+def reference_ids(text):
+    return np.array([*reference_tokenizer().encode(text, add_special_tokens=False).ids, packing.END], "<u4")
 
 
 def test_both_vocabulary_files_agree():

@@ -111,10 +111,13 @@ def in_training_order(docs: DataFrame, mixed: DataFrame, *, doc_id: str = "doc_i
     A last copy that is cut has its first words, joined by spaces. Rows find
     their places by id and text; of rows equal in both any may stand for the other.
     """
-    n = Window.partitionBy("id", "x").orderBy("id")
-    whole = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("x"), F.struct(*docs.columns).alias("row")).withColumn("n", F.row_number().over(n))
-    places = mixed.select(F.col("doc_id").alias("id"), "x", "size", "taken", "positions").where("taken > 0").withColumn("n", F.row_number().over(n))
-    same = [whole[c].eqNullSafe(places[c]) for c in ("id", "x", "n")]
+    # one key for numbering and joining, so that texts are shuffled once for both; equal keys are told apart by another hash
+    key, check = F.xxhash64("id", "x"), F.hash("id", "x")
+    n = Window.partitionBy("key").orderBy("id", "x")
+    whole = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("x"), F.struct(*docs.columns).alias("row"))
+    whole = whole.withColumns({"key": key, "check": check}).withColumn("n", F.row_number().over(n)).drop("id", "x")
+    places = mixed.select(F.col("doc_id").alias("id"), "x", "size", "taken", "positions").where("taken > 0").withColumns({"key": key, "check": check}).withColumn("n", F.row_number().over(n)).drop("id", "x")
+    same = (whole["key"] == places["key"]) & (whole["n"] - places["n"] == 0) & (whole["check"] - places["check"] == 0)
     copies = whole.join(places, same).select("row", "size", "taken", F.posexplode("positions").alias("k", "position"))
     left = F.least("size", F.col("taken") - F.col("k") * F.col("size"))
     full = F.col("row")[text]

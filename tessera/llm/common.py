@@ -104,7 +104,7 @@ class Texts:
         return self.data[self.offsets[d] : self.offsets[d + 1]].tobytes()
 
 
-def slices(column: pa.Array) -> Iterator[Texts]:
+def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[Texts]:
     """The texts of an Arrow string column in slices of bounded size; nulls count as empty."""
     column = column.cast(pa.large_binary()).fill_null(b"")
     n = len(column)
@@ -114,7 +114,7 @@ def slices(column: pa.Array) -> Iterator[Texts]:
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield Texts(at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         at = to
 

@@ -37,6 +37,8 @@ START, END = b"\x01", b"\x02"
 LEAST, POWER = 0.4, 2
 #: Cost of a misplaced sentence, against the size of the weights.
 COST = 1000.0
+#: Bytes of text that are scored together: each comparison with a landmark is many short array operations, which pay for many words at once.
+SCORED_BYTES = 4_000_000
 #: A score from here on means toxic.
 TOXIC_FROM = 0.3
 
@@ -327,7 +329,7 @@ def score(docs: DataFrame, model: Model | None, *, doc_id: str = "doc_id", text:
         for b in batches:
             out = np.zeros(b.num_rows)
             if model is not None:
-                for t in slices(b["text"]):
+                for t in slices(b["text"], SCORED_BYTES):
                     out[t.first : t.first + len(t)] = model.score(len(t), *sentence_features(t, model.landmarks))
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(out), pa.array((out >= TOXIC_FROM).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

@@ -270,6 +270,19 @@ def test_licences_of_odd_documents(docs, empty):
     assert licenses.inherit(licenses.scan(docs, F.lit("a/b"))).count() == docs.count() and licenses.inherit(licenses.scan(empty, F.lit("a/b"))).count() == 0
 
 
+def test_licence_files_headers_and_tags(spark):
+    texts = licenses.licence_texts()
+    files = [(k, "Copyright (c) 2021 Jane Roe. All rights reserved.\n\n" + v[0]) for k, v in texts.items()]
+    heads = [(k, "# " + v.replace("\n", "\n# ") + "\n" + prose(7, 300)) for k, v in licenses.HEADERS.items()]
+    tags = [(k, f"// SPDX-License-Identifier: {k}\n" + prose(8, 100)) for k in licenses.NAMES]
+    rows = [*files, *heads, *tags]
+    df = spark.createDataFrame([(i, t, f"r{i}/L") for i, (_, t) in enumerate(rows)] + [(1000 + i, prose(200 + i, 300), f"r{i}/a/b") for i in range(len(files))], "doc_id long, text string, path string")
+    got = {r["doc_id"]: r for r in licenses.inherit(licenses.scan(df, F.col("path"))).collect()}
+    assert [got[i]["license"] for i in range(len(rows))] == [k for k, _ in rows]
+    assert [got[i]["license_file"] for i in range(len(rows))] == [i < len(files) for i in range(len(rows))]
+    assert [got[1000 + i]["license"] for i in range(len(files))] == [k for k, _ in files]
+
+
 # ---- quotes
 
 TALK = [

@@ -263,6 +263,22 @@ def _stretches(w: Words, like: Likeness, number: np.ndarray, found: Found) -> No
         found.add(first[which[good]], end[which[good]], top[good], value[good], False)
 
 
+def _windows(w: Words, like: Likeness, found: Found) -> None:
+    """All windows of each notice's length that have one of its anchors, across lines."""
+    lengths = like.templates.lengths[: like.templates.notices]
+    for n in np.unique(lengths):
+        same = np.flatnonzero(lengths == n)
+        place = np.flatnonzero(like.anchors[same].any(0)[w.term])
+        first = np.unique((place[:, None] - np.arange(n)).ravel())
+        first = first[first >= 0]
+        first = first[first + n <= w.at[w.doc[first] + 1]]
+        for cosine, which in like.cosines(w.term, first, first + n, same):
+            top = cosine.argmax(0)
+            value = cosine[top, np.arange(len(which))]
+            good = value >= LIKE
+            found.add(first[which[good]], first[which[good]] + n, same[top[good]], value[good], False)
+
+
 def _licence_texts(w: Words, like: Likeness, found: Found) -> None:
     """Windows of each licence text's length, a sixteenth of it apart, in texts that have enough of its squared weight; shorter texts as a whole."""
     known = w.term < len(like.weight) - 1
@@ -295,6 +311,8 @@ def matches(t: Texts, like: Likeness) -> tuple[np.ndarray, np.ndarray, np.ndarra
     found = Found(w, like.templates.names)
     if like.templates.notices:
         _stretches(w, like, w.line, found)
+        _stretches(w, like, w.sentence, found)
+        _windows(w, like, found)
     _licence_texts(w, like, found)
     return found.result()
 

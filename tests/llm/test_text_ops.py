@@ -283,6 +283,18 @@ def test_licence_files_headers_and_tags(spark):
     assert [got[1000 + i]["license"] for i in range(len(files))] == [k for k, _ in files]
 
 
+def test_notices_inside_lines_comments_and_sentences(spark):
+    words = prose(9, 60).replace("\n", " ")
+    rows = [
+        ("MIT", "# Licensed under the MIT License."), ("Apache-2.0", "// Licensed under the Apache License, Version 2.0."), ("MIT", "/* Licensed under the MIT License. */"),
+        ("MIT", "Copyright 2021 Jane Roe. Licensed under the MIT License."), ("ISC", f"{words} Released under the ISC License. {words}"), ("GPL-3.0", f"{words} licensed under the GNU General\n * Public License, version 3 {words}"),
+        ("MPL-2.0", "Copyright Jane Roe. All rights reserved. Licensed under the Mozilla Public License, version 2.0."), (None, words), (None, "the # // general * public"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)] + [(100 + i, prose(300 + i, 50)) for i in range(50)], "doc_id long, text string")
+    got = {r["doc_id"]: r["own_license"] for r in licenses.scan(df, F.lit("a/b")).collect()}
+    assert [got[i] for i in range(len(rows))] == [k for k, _ in rows] and not any(got[100 + i] for i in range(50))
+
+
 # ---- quotes
 
 TALK = [

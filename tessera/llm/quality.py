@@ -3,12 +3,16 @@
 A rule rejects a document if a ratio measured on its text is above a cutoff.
 One half of the labelled documents (by a hash of the id) proposes, for each
 stratum, a sequence of ever stricter sets of cutoffs; the other half, never
-used for that, tests them in this order. A set is accepted if the exact
-binomial (Clopper-Pearson) upper bound on the share of good documents it
-rejects is at most ``RISK``; the first set that fails ends the sequence.
+used for that, tests them in this order. Documents that the base rules reject
+are in neither half. A set is accepted if the exact binomial (Clopper-Pearson)
+upper bound on the share of good documents it rejects is at most ``RISK``; the
+first set that fails ends the sequence. From set to set one rule gets a stricter
+cutoff, and only if that rejects bad documents of the proposing half which the
+set before keeps.
 Testing in a fixed order needs no correction within a stratum, and the error
 rate ``ERROR`` is divided by the number of strata (Bonferroni), so that with
-probability 1 - ERROR no stratum rejects more than RISK of its good documents.
+probability 1 - ERROR no stratum's cutoffs reject more than RISK of the good
+documents that the base rules keep.
 A stratum with too few labels keeps all that the base rules keep.
 """
 
@@ -26,8 +30,8 @@ from .common import _BYTES, _OF_BYTE, SPACE, Texts, cut, mix, slices
 
 #: Most good documents that may be rejected, as a share, and the probability that this fails in any stratum.
 RISK, ERROR = 0.05, 0.05
-#: Shares of good documents that the proposed sets of cutoffs may reject in the proposing half, in the order of testing.
-LEVELS = (0.0, 0.0005, 0.001)
+#: Shares of good documents that each rule of the proposed sets may reject in the proposing half, in the order of testing.
+LEVELS = (0.0, 0.0005, 0.001, 0.002, 0.003, 0.005, 0.0075, 0.01, 0.015, 0.02, 0.03, 0.04, RISK)
 #: Ratios are compared on this grid: cutoffs are multiples of 1 / GRID.
 GRID = 256
 #: Rules: a name and what is divided by what.
@@ -125,13 +129,13 @@ def binomial_upper(k: int, n: int, error: float) -> float:
 def fit(measured: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", quality: str = "quality", risk: float = RISK, error: float = ERROR) -> dict[str | None, dict[str, int]]:
     """For each stratum the accepted cutoffs by rule, in steps of the grid; {} where no set was accepted.
 
-    All labelled documents count. Rows with a null id or label are left out; a
+    All labelled documents that pass the base rules count. Rows with a null id or label are left out; a
     document labelled twice counts with its lower label. Only counts by
     stratum, rule and step of the grid come to the driver.
     """
     known = labels.where(F.col(quality).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.min(quality).alias("good"))
     half = F.pmod(F.crc32(F.concat(F.lit("half"), F.col("doc_id").cast("string")).cast("binary")), F.lit(2))
-    labelled = cut(measured.join(known, "doc_id").select("stratum", "good", half.alias("half"), *[_ratio(r).alias(r) for r in RULES]))
+    labelled = cut(measured.where(~base_failed()).join(known, "doc_id").select("stratum", "good", half.alias("half"), *[_ratio(r).alias(r) for r in RULES]))
 
     long = labelled.where("half = 0 AND good = 1").select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in RULES])).alias("x"))
     tally: dict[tuple[str | None, str], dict[int, int]] = {}
@@ -147,14 +151,34 @@ def fit(measured: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", quali
                 return step
         return 0
 
-    sets = {s: [{r: cutoff(tally.get((s, r), {GRID: 1}), e) for r in RULES} for e in LEVELS] for s in {s for s, _ in tally}}
-    if not sets:
-        return {}
-
     def rejects(cutoffs: dict[str, int]) -> Column:
         return F.greatest(*[F.col(r) > c for r, c in cutoffs.items()])
 
-    tests = [F.sum(F.coalesce(*[F.when(F.col("stratum").eqNullSafe(F.lit(s)), rejects(x[i])) for s, x in sets.items()], F.lit(False)).cast("int")).alias(f"k{i}") for i in range(len(LEVELS))]
+    def by_stratum(of: dict[str | None, Column]) -> Column:
+        return F.coalesce(*[F.when(F.col("stratum").eqNullSafe(F.lit(s)), x) for s, x in of.items()], F.lit(False))
+
+    last = {s: dict.fromkeys(RULES, GRID) for s, _ in tally}  # rejects none
+    sets: dict[str | None, list[dict[str, int]]] = {s: [] for s in last}
+    if not sets:
+        return {}
+    bad = labelled.where("half = 0 AND good <> 1")
+    for level in LEVELS:
+        stricter = {s: {r: min(now[r], cutoff(tally[s, r], level)) for r in RULES} for s, now in last.items()}
+        kept = by_stratum({s: ~rejects(now) for s, now in last.items()})
+        more = [F.count_if(kept & by_stratum({s: F.col(r) > x[r] for s, x in stricter.items()})).alias(r) for r in RULES]
+        rows = bad.groupBy("stratum").agg(F.count_if(kept).alias("left"), *more).collect()
+        if not any(row["left"] for row in rows):
+            break
+        for row in rows:
+            for r in sorted(RULES, key=lambda r: -row[r]):  # noqa: B023
+                if row[r]:
+                    s = row["stratum"]
+                    last[s] = last[s] | {r: stricter[s][r]}
+                    sets[s].append(last[s])
+    if not any(sets.values()):
+        return {s: {} for s in sets}
+
+    tests = [F.count_if(by_stratum({s: rejects(x[i]) for s, x in sets.items() if i < len(x)})).alias(f"k{i}") for i in range(max(map(len, sets.values())))]
     chosen: dict[str | None, dict[str, int]] = {s: {} for s in sets}
     for row in labelled.where("half = 1 AND good = 1").groupBy("stratum").agg(F.count("*").alias("n"), *tests).collect():
         for i, cutoffs in enumerate(sets.get(row["stratum"], [])):

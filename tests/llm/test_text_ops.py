@@ -68,6 +68,34 @@ def test_cutoffs_reject_junk_and_keep_the_rest(judged):
     assert {r["doc_id"] for r in quality.keep(docs, cutoffs).collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_cutoffs_reject_junk_without_symbols_despite_odd_labels(spark):
+    r = random.Random(8)
+    rows, bad = [], {}
+    for i in range(1600):
+        w = prose(1000 + i, 60).split()
+        kind = r.choice(["good"] * 6 + ["shout", "repeat", "same"])
+        odd = i % 400 == 7
+        if odd or i % 40 == 9:
+            kind = "good"
+        if kind == "shout" or odd:
+            w = [x.upper() for x in w]
+        elif kind == "repeat":
+            w[30:35] = w[10:15]
+        elif kind == "same" or i % 400 == 8:
+            w[10:30] = [w[10]] * 3 + w[11:14] + [w[14]] * 3 + w[15:18] + [w[18]] * 3 + w[19:24]
+        elif i % 40 == 9:
+            w = w[:10] * 6  # labelled good, but the base rules reject it
+        rows.append((i, " ".join(w), "en"))
+        if kind != "good":
+            bad[i] = kind
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i not in bad)) for i, _, _ in rows if i % 8], "doc_id long, quality int")
+    got = {x["doc_id"]: x for x in quality.judge(docs, labels).collect()}
+    assert not [(i, k) for i, k in bad.items() if got[i]["kept"]]
+    good = [i for i in got if i not in bad and not got[i]["base_failed"]]
+    assert sum(not got[i]["kept"] for i in good) <= quality.RISK * len(good)
+
+
 def test_no_labels_leave_the_base_rules(docs, empty, judged):
     none = judged[1].where("doc_id < -1")
     rows = quality.judge(docs, none).collect()

@@ -22,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, slices
+from .common import slices
 
 #: Kinds of the fixed patterns in their order, and the one that the field adds.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 #: Words of an entity at most, words beside a clue that belong to its window, and the least probability of an added segment.
 MOST_WORDS, BESIDE, SURE = 4, 3, 0.95
-#: The field is trained on at most so many documents with digits or at signs, those whose ids hash lowest, in so many rounds.
+#: The field is trained on at most so many documents with a match of each kind, found over all rows, and so many
+#: with a clue but no match, those whose ids hash lowest, in so many rounds.
 SAMPLE, ROUNDS = 400, 6
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -234,11 +235,16 @@ class Field:
                     self.weights[key] = self.weights.get(key, 0.0) + rate * g / math.sqrt(size[key])
 
 
-def labelled(text: str) -> Iterator[tuple[Window, dict[int, int]]]:
-    """The text's windows with the segments that patterns and seeds make out."""
+def known_spans(text: str) -> list[Span]:
+    """What patterns and seeds make out."""
     known = base_spans(text)
     seeds = [("secret", *m.span(1 if m.group(1) else 2)) for m in _SEED.finditer(text)]
-    known += [s for s in seeds if not any(a < s[2] and s[1] < b for _, a, b in known)]
+    return known + [s for s in seeds if not any(a < s[2] and s[1] < b for _, a, b in known)]
+
+
+def labelled(text: str) -> Iterator[tuple[Window, dict[int, int]]]:
+    """The text's windows with the segments that patterns and seeds make out."""
+    known = known_spans(text)
     for w in windows(text):
         truth: dict[int, int] = {}
         for kind, a, b in known:
@@ -249,12 +255,52 @@ def labelled(text: str) -> Iterator[tuple[Window, dict[int, int]]]:
             yield w, truth
 
 
+def _classes(text: str) -> set[str]:
+    return {k for k, _, _ in known_spans(text)} or {"none"}
+
+
+def samples(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> list[str]:
+    """Texts with a match of each kind, and with a clue but no match, at most ``sample`` of each, in the order of their ids' hashes.
+
+    One pass counts each kind over all rows. A second brings a share of each
+    that is sure to hold ``sample`` rows, as in ``bounded_sample``.
+    """
+    key = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 33)
+    clues = docs.where(F.col(text).rlike("[0-9@]")).select(key.alias("h"), F.col(text).alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict[str, int] = defaultdict(int)
+        for b in batches:
+            for x in b["text"]:
+                for k in _classes(x.as_py()):
+                    n[k] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["kind", "n"])
+
+    counts = {r["kind"]: r["n"] for r in clues.mapInArrow(count, "kind string, n long").groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # a row a kind
+    below = {k: (1 << 31) * min(1.0, (sample + 6 * sample**0.5 + 20) / n) for k, n in counts.items()}
+    if not below:
+        return []
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds = [sorted(k for k in _classes(x.as_py()) if h < below[k]) for h, x in zip(b["h"].to_pylist(), b["text"], strict=True)]
+            chosen = pa.array([bool(k) for k in kinds], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b["h"].filter(chosen), b["text"].filter(chosen), pa.array([k for k in kinds if k], pa.list_(pa.string()))], ["h", "text", "kinds"])
+
+    rows = sorted(clues.where(F.col("h") < max(below.values())).mapInArrow(take, "h long, text string, kinds array<string>").collect(), key=lambda r: (r["h"], r["text"]))
+    room, out = dict.fromkeys(below, sample), []
+    for r in rows:
+        if any(room[k] > 0 for k in r["kinds"]):
+            out.append(r["text"])
+        for k in r["kinds"]:
+            room[k] -= 1
+    return out
+
+
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Field:
-    """A field trained on at most ``sample`` documents. Without any clue in the documents it adds nothing."""
-    clues = docs.where(F.col(text).rlike("[0-9@]")).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = bounded_sample(clues, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), sample).collect()
+    """A field trained on at most ``sample`` documents of each kind. Without any clue in the documents it adds nothing."""
     field = Field()
-    field.learn([x for r in rows for x in labelled(r["text"])])
+    field.learn([x for t in samples(docs, doc_id=doc_id, text=text, sample=sample) for x in labelled(t)])
     return field
 
 

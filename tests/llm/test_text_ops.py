@@ -154,6 +154,16 @@ def test_field_finds_what_patterns_lack(private):
     assert pii.all_spans("the year 1999 and version 2.0 of 12,000 words", field) == ([], [])
 
 
+def test_rare_secrets_teach_the_field(spark):
+    r = random.Random(11)
+    made = {i: r.randbytes(20).hex() for i in range(0, 2000, 100)}
+    rows = [(i, f"{prose(i, 20)} in {1900 + i % 100} " + (f"token = \"{made[i]}\" {prose(i + 1, 9)}" if i in made else f"we had version {i}.0")) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum(any(m in t for m in made.values()) for t in pii.samples(df, sample=30)) == len(made)
+    got = {r["doc_id"]: r["spans"] for r in pii.find(df, pii.fit(df, sample=30)).collect()}
+    assert {i for i in got if "secret:" in got[i]} == set(made)
+
+
 def test_spans(private):
     df, field, texts = private
     for r in pii.find(df, field).collect():

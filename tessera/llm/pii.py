@@ -4,9 +4,10 @@ The fixed patterns find what has an exact form. The field labels segments of
 words, not single words: features of a whole candidate segment (its shape, its
 digits, whether they pass a checksum, the words beside it) score each kind, and
 dynamic programming over entities of at most ``MOST_WORDS`` words chooses
-boundaries and kinds together. It is trained on windows around digits and at
-signs, labelled by the fixed patterns and by seeds for secrets. Its segments
-are added where they overlap no pattern's match and are all but certain.
+boundaries and kinds together. It is trained on windows around digits, at signs,
+words of seeds and values after ``=`` or ``:``, labelled by the fixed patterns
+and by seeds for secrets. Its segments are added where they overlap no
+pattern's match and are all but certain.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = "\"'`()[]{}<>,;:!?#*$%&|."
-#: What teaches the field secrets.
+#: Words before a secret, and what teaches the field secrets.
+_SECRET_WORD = re.compile(r"(?i:password|passwd|pwd|token|secret|api[_-]?key)")
 _SEED = re.compile(r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[\x20]*[=:][\x20]*\"?([0-9A-Za-z_+/-]{12,})|\b(AKIA[0-9A-Z]{16})\b")
 
 Span = tuple[str, int, int]
@@ -86,17 +88,35 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _sign(s: str) -> int:
+    """Where the sign between a key and its value is in a word, or -1: an equals sign, or a colon after a word of seeds."""
+    k = s.find("=")
+    if k < 0 and (k := s.find(":")) > 0 and not _SECRET_WORD.search(s, 0, k):
+        return -1
+    return k
+
+
+def _values(text: str, words: list[tuple[int, int]]) -> list[bool]:
+    """Which words hold a value after an equals sign or a colon: in them, or at the end of the word before."""
+    out, after = [], False
+    for a, b in words:
+        w = text[a:b].rstrip("\"'")
+        out.append(w not in ("=", ":") and (after or "=" in w[:-1] or ":" in w[:-1]))
+        after = w[-1:] in ("=", ":")
+    return out
+
+
 class Window:
-    """Some neighbouring words of a text, and the segments of them that may be entities."""
+    """Some neighbouring words of a text, and the segments of them that may be entities; ``values`` may be such by themselves."""
 
-    def __init__(self, text: str, words: list[tuple[int, int]], before: str) -> None:
+    def __init__(self, text: str, words: list[tuple[int, int]], before: str, values: list[bool] | None = None) -> None:
         self.text, self.words = text, words
         self.segments: list[tuple[int, int, list[str]]] = []
         clue = [any(c in "0123456789@" for c in text[a:b]) for a, b in words]
         lower = [text[a:b].strip(_EDGE).lower() if text[a:b] != "=" else "=" for a, b in words]
         for i in range(len(words)):
             for j in range(i + 1, min(len(words), i + MOST_WORDS) + 1):
-                if clue[i] and clue[j - 1] or j == i + 1 and clue[i] or any(clue[i:j]) and text[words[i][0]] in "+(":
+                if clue[i] and clue[j - 1] or j == i + 1 and (clue[i] or values and values[i]) or any(clue[i:j]) and text[words[i][0]] in "+(":
                     left = [lower[i - 1] if i else before, lower[i - 2] if i > 1 else ""]
                     self.segments.append((i, j, features(text[words[i][0] : words[j - 1][1]], j - i, left)))
         self.ends: dict[int, list[int]] = defaultdict(list)
@@ -110,7 +130,7 @@ class Window:
             a += 1
         while b > a and self.text[b - 1] in _EDGE:
             b -= 1
-        if j == i + 1 and (k := self.text.find("=", a, b)) > a and k + 1 < b:
+        if j == i + 1 and (k := a + _sign(self.text[a:b])) > a and k + 1 < b:
             a = k + 1 + (self.text[k + 1] in "\"'")
         return a, b
 
@@ -118,7 +138,8 @@ class Window:
 def features(segment: str, words: int, left: list[str]) -> list[str]:
     """What is seen of a whole candidate segment."""
     s = segment.strip(_EDGE.replace("(", "")).rstrip("=")
-    key, _, value = s.partition("=") if words == 1 else ("", "", s)
+    k = _sign(s) if words == 1 else -1
+    key, value = (s[:k], s[k + 1 :]) if k >= 0 else (s, "") if words == 1 else ("", s)
     s = value.strip(_EDGE) or s
     digits = re.sub(r"[^0-9]", "", s)
     letters = sum(c.isalpha() for c in s)
@@ -133,6 +154,8 @@ def features(segment: str, words: int, left: list[str]) -> list[str]:
             out.append("hex")
         if re.fullmatch(r"[0-9A-Za-z_/+-]{16,}", s) and digits and letters:
             out.append("mixed" + ("U" if s.upper() == s else "l" if s.lower() == s else "m"))
+        if re.fullmatch(r"[A-Za-z_/+-]{12,}", s):
+            out.append("long")
         if len(p := s.split(".")) == 4 and all(x.isascii() and x.isdigit() and len(x) <= 3 and int(x) <= 255 for x in p):
             out.append("four")
         if s.replace(".", "").isdigit() and len(s) < 12:
@@ -147,10 +170,11 @@ def features(segment: str, words: int, left: list[str]) -> list[str]:
 
 
 def windows(text: str) -> Iterator[Window]:
-    """The stretches of words around those with a digit or an at sign."""
+    """The stretches of words around those with a digit or an at sign, values and words of seeds."""
     words = [m.span() for m in _WORD.finditer(text)]
     at, n = 0, len(words)
-    clue = [i for i, (a, b) in enumerate(words) if any(c in "0123456789@" for c in text[a:b])]
+    values = _values(text, words)
+    clue = [i for i, (a, b) in enumerate(words) if values[i] or any(c in "0123456789@" for c in text[a:b]) or _SECRET_WORD.search(text, a, b)]
     while at < len(clue):
         i = clue[at]
         last = i
@@ -159,7 +183,8 @@ def windows(text: str) -> Iterator[Window]:
             at += 1
         first = max(0, i - BESIDE)
         before = text[slice(*words[first - 1])].strip(_EDGE).lower() if first else ""
-        yield Window(text, words[first : min(n, last + BESIDE + 1)], before)
+        to = min(n, last + BESIDE + 1)
+        yield Window(text, words[first:to], before, values[first:to])
 
 
 class Field:
@@ -266,7 +291,7 @@ def samples(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", samp
     that is sure to hold ``sample`` rows, as in ``bounded_sample``.
     """
     key = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 33)
-    clues = docs.where(F.col(text).rlike("[0-9@]")).select(key.alias("h"), F.col(text).alias("text"))
+    clues = docs.where(F.col(text).rlike("[0-9@=:]")).select(key.alias("h"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[str, int] = defaultdict(int)
@@ -320,7 +345,7 @@ def _joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-_CLUE = np.isin(np.arange(256), list(b"0123456789@"))
+_CLUE = np.isin(np.arange(256), list(b"0123456789@=:"))
 
 
 def _spans(column: pa.Array, field: Field) -> Iterator[tuple[list[Span], list[Span]]]:

@@ -164,6 +164,18 @@ def test_rare_secrets_teach_the_field(spark):
     assert {i for i in got if "secret:" in got[i]} == set(made)
 
 
+def test_secrets_of_letters(spark):
+    r = random.Random(12)
+    word = lambda: "-".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(3))
+    made = {i: word() for i in range(300) if i % 3 == 0}
+    key = ["password = {}", "password={}", "token: {}", "secret = \"{}\""]
+    rows = [(i, f"{prose(i, 20)} " + (key[i % 4].format(made[i]) if i in made else ["they said: nothing", "a = tinlo", "about forgotten"][i // 3 % 3]) + f" {prose(i + 1, 9)}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    field = pii.fit(df)
+    for x in pii.redact(df, field).collect():
+        assert ("[SECRET]" in x["text"]) == (x["doc_id"] in made) and made.get(x["doc_id"], "[no]") not in x["text"]
+
+
 def test_spans(private):
     df, field, texts = private
     for r in pii.find(df, field).collect():

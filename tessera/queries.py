@@ -120,6 +120,22 @@ def _dialect(tables: str, sql: str) -> Query:
 for _name, (_tables, _query, _oracle) in DIALECT.items():
     QUERIES[_name], ORACLES[_name] = _dialect(_tables, _query), _oracle
 
+#: Queries whose LIMIT is not what they are about; with _all added to the name they return the rows after it too.
+WHOLE = ("q_arith_div0", "q_round_half_up", "q_str_funcs", "q_substr", "q_case_mixed", "q_project_alias", "q_abs")
+
+
+def _whole(tables: str, sql: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        result = engine(spark, sf_dir, *tables.split()).run(sql)
+        return result.unlimited.select(*result.columns)
+
+    return run
+
+
+for _name in WHOLE:
+    _tables, _query, _oracle = DIALECT[_name]
+    QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = _whole(_tables, _query), _oracle.rpartition(" ORDER BY ")[0]
+
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:

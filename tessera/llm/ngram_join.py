@@ -81,7 +81,7 @@ def _scan(docs: DataFrame, keep: list[str], schema: str, make) -> DataFrame:
 
 
 def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, pairs, labels): (doc_id, n_shingles, cls) of each row, (a, b, shared) of the linked classes that were compared, (cls, component).
+    """(members, pairs, labels): (doc_id, text_hash, n_shingles, cls) of each row, (a, b, shared) of the linked classes that were compared, (cls, component).
 
     Empty and null texts have n_shingles 0 and cls null. Rows with equal sets,
     repeated rows too, are one class. Only the two named columns are read.
@@ -89,9 +89,9 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tup
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
 
-    def stats(h, at, ids):
+    def stats(h, at, own):
         n = np.diff(at)
-        return pa.RecordBatch.from_arrays([*ids, pa.array(n, pa.int64()), pa.array(signed(set_keys(h, at)), mask=n == 0)], ["doc_id", "n_shingles", "cls"])
+        return pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(signed(set_keys(h, at)), mask=n == 0)], ["doc_id", "text_hash", "n_shingles", "cls"])
 
     def first_fragments(h, at, _):
         cls = np.repeat(signed(set_keys(h, at)), np.diff(at))
@@ -101,7 +101,7 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tup
     def whole_sets(h, at, _):
         return pa.RecordBatch.from_arrays([pa.array(signed(set_keys(h, at))), lists(signed(h), np.diff(at))], ["cls", "hs"])
 
-    members = cut(_scan(chosen, ["doc_id"], f"doc_id {kind}, n_shingles long, cls long", stats))
+    members = cut(_scan(chosen.withColumn("text_hash", F.xxhash64("text")), ["doc_id", "text_hash"], f"doc_id {kind}, text_hash long, n_shingles long, cls long", stats))
     classes = members.where("cls IS NOT NULL").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"))
 
     # 1: n-grams of a single class
@@ -200,19 +200,28 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows whose id is not the least of its component, with all their columns.
+    """One row of each component, with all its columns: that with the least id, of equal ids the least text hash.
 
-    Of rows that repeat an id one stays. Rows without an id all stay: nothing
-    names them. Texts are shuffled only if the rows that go are too many to be
-    broadcast.
+    Rows without an id come last. Documents are told apart by id and text, so a
+    text that is like no other stays whatever its id. Rows without words are
+    like no other. Of rows that repeat id and text one stays, that whose other
+    columns hash lowest. No rows give no rows. Texts are shuffled only if the
+    rows that go are too many to be broadcast.
     """
-    found = cut(near_duplicates(docs, doc_id=doc_id, text=text).select("doc_id", "component_id").where("doc_id IS NOT NULL"))
-    key = unused(docs, "id")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
-    stay = docs.join(small(gone, gone.count()), docs[doc_id] == F.col(key), "left_anti")
-    again = cut(found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias(key)))
-    rows = again.count()
-    if not rows:
+    members, _, labels = links(docs, doc_id=doc_id, text=text)
+    found = cut(members.join(labels, "cls", "left").select("doc_id", "text_hash", F.coalesce("component", "cls").alias("component")))
+    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first"))
+    gone = found.join(first, "component").where("NOT (doc_id <=> first.doc_id AND text_hash = first.text_hash)")
+    key, seen = unused(docs, "id"), unused(docs, "seen")
+
+    def among(rows: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
+        pairs = pairs.select(F.col("doc_id").alias(key), F.col("text_hash").alias(seen))
+        return rows.join(small(pairs, pairs.count()), rows[doc_id].eqNullSafe(F.col(key)) & (F.xxhash64(rows[text]) == F.col(seen)), how)
+
+    stay = among(docs, cut(gone.select("doc_id", "text_hash").distinct()), "left_anti")
+    again = cut(found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1"))
+    if again.isEmpty():
         return stay
-    repeated = stay.join(small(again, rows), stay[doc_id] == F.col(key), "left_semi").dropDuplicates([doc_id])
-    return stay.join(small(again, rows), stay[doc_id] == F.col(key), "left_anti").unionByName(repeated)
+    lowest = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if not kind.startswith("map")])
+    one = among(stay, again, "left_semi").groupBy(F.col(doc_id).alias(key), F.xxhash64(text).alias(seen)).agg(F.min_by(F.struct(*docs.columns), lowest).alias("row"))
+    return among(stay, again, "left_anti").unionByName(one.select("row.*"))

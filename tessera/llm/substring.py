@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _WORDS, Texts, cut, lists, signed, slices, small
+from .common import _WORDS, WORD, Texts, cut, signed, slices, small
 
 #: Words of a window, and of the stretches of which the least marks it.
 WINDOW, STEP = 20, 6
@@ -104,18 +105,23 @@ def _source_windows(t: Texts, b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*map(pa.array, keys), b["o"].take(pa.array(of)), pa.array((at - t.at[of]).astype(np.int32))], ["w1", "w2", "o", "pos"])
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(later copies, repeats) of docs (o, text): ``copies`` (o, first) of whole texts, ``repeats`` (o, start, words, source, source_start) in the others."""
-    keyed = docs.where("text IS NOT NULL").select("o", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"), F.length("text").alias("k3"))
+def repeats(docs: DataFrame, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(later copies, repeats) of docs (o, text): ``copies`` (o, first) of whole texts, ``repeats`` (o, start, words, source, source_start) in the others.
+
+    Rows with one o are one document: they have equal texts. ``keys`` are
+    ``text_keys(docs)`` unless given.
+    """
+    kind = docs.schema["o"].dataType.simpleString()
+    keyed = (text_keys(docs) if keys is None else keys).where("k3 IS NOT NULL")
     same = cut(keyed.groupBy("k1", "k2", "k3").agg(F.min("o").alias("first"), F.count("*").alias("rows")).where("rows > 1"))
     copies = cut(keyed.join(same, ["k1", "k2", "k3"]).where("o > first").select("o", "first").distinct())
     texts = docs.where("text IS NOT NULL").join(small(copies.select("o"), copies.count()), "o", "left_anti").select("o", "text")
 
     often = cut(_scan(texts.select("text"), "h long, n long", _minimizer_counts).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))  # so that the join below is of two plain exchanges, which Spark can split
-    marked = cut(_scan(texts, "o long, h long", _minimizers).join(often, "h", "left_semi").groupBy("o").agg(F.collect_set("h").alias("hs")))  # as many as a text has at most
+    marked = cut(_scan(texts, f"o {kind}, h long", _minimizers).join(often, "h", "left_semi").groupBy("o").agg(F.collect_set("h").alias("hs")))  # as many as a text has at most
     rows = marked.count()
     looked = texts.join(small(marked.select("o"), rows), "o", "left_semi").join(marked, "o")
-    found = cut(_scan(looked, "c1 long, c2 long, o long, start int, n int, h long", _path_rows))
+    found = cut(_scan(looked, f"c1 long, c2 long, o {kind}, start int, n int, h long", _path_rows))
     nodes = found.groupBy("c1", "c2").agg(F.min(F.struct("o", "start", "n")).alias("source"), F.count("*").alias("times"), F.min("h").alias("h"))
     nodes = cut(nodes.select("c1", "c2", "h", F.col("source.o").alias("so"), F.col("source.start").alias("ss"), F.col("source.n").alias("n"), "times"))
 
@@ -124,7 +130,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     several = nodes.groupBy("h").agg(F.count("*").alias("nodes")).where("nodes > 1").select("h")  # a window lies in one node only unless its minimizer has more
     listed = nodes.join(several, "h", "left_semi").groupBy(F.col("so").alias("o")).agg(F.collect_list(F.struct(F.col("ss").alias("start"), "n")).alias("source"))
-    windows = cut(_scan(texts.join(small(marked.select("o"), rows), "o", "left_semi").join(listed, "o"), "w1 long, w2 long, o long, pos int", _source_windows))
+    windows = cut(_scan(texts.join(small(marked.select("o"), rows), "o", "left_semi").join(listed, "o"), f"w1 long, w2 long, o {kind}, pos int", _source_windows))
     first = windows.groupBy("w1", "w2").agg(F.min(F.struct("o", "pos")).alias("f"), F.count("*").alias("times")).where("times > 1").select("w1", "w2", "f")
     single = windows.join(first, ["w1", "w2"]).where("o <> f.o OR pos <> f.pos").select("o", F.col("pos").alias("start"), F.lit(WINDOW).alias("words"), F.col("f.o").alias("source"), F.col("f.pos").alias("source_start"))
     return copies, known.union(single)
@@ -162,42 +168,65 @@ def _kept_words(t: Texts, b: pa.RecordBatch) -> Iterator[list[bytes]]:
 def _without(t: Texts, b: pa.RecordBatch) -> pa.RecordBatch:
     kept = list(_kept_words(t, b))
     n = np.diff(t.at) - np.array([len(x) for x in kept], np.int64)
-    return pa.RecordBatch.from_arrays([b["o"], b["k"], pa.array(n), pa.array([hashlib.sha256(b" ".join(x)).hexdigest() for x in kept]), pa.array([b" ".join(x).decode() for x in kept])], ["o", "k", "n_removed", "kept_sha256", "kept"])
+    return pa.RecordBatch.from_arrays([b["o"], b["k"], b["id"], pa.array(n), pa.array([hashlib.sha256(b" ".join(x)).hexdigest() for x in kept]), pa.array([b" ".join(x).decode() for x in kept])], ["o", "k", "id", "n_removed", "kept_sha256", "kept"])
+
+
+def text_keys(docs: DataFrame) -> DataFrame:
+    """(o, k1, k2, k3) of each row: two fingerprints of its text and its length, null without a text."""
+    return cut(docs.select("o", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"), F.length("text").alias("k3")))
+
 
+def _ordered(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(o, id, text) of each row, and its text keys. Documents are told apart and ordered by o.
 
-def _ordered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(doc_id), F.lit(LAST)).alias("o"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    That is the id as it is, rows without one last. Only if an id has several
+    texts, o is wider: the id, and in its lower bits a fingerprint of the text.
+    """
+    base = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST)).cast("long").alias("o"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    keys = text_keys(base)
+    if keys.groupBy("o").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").isEmpty():
+        return base, keys
+
+    def wide(k: Column) -> Column:
+        return (F.col("o").cast("decimal(38,0)") * F.lit(Decimal(1 << 62)) + F.shiftrightunsigned(k, 2)).cast("decimal(38,0)")
+
+    return base.withColumn("o", wide(F.xxhash64("text"))), keys.withColumn("o", wide(F.col("k1")))
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, kept): the texts of the documents that lose words, with their words joined by one space. Ids are longs."""
-    base = _ordered(docs, doc_id, text)
-    copies, changed = _changed(base)
-    later = base.join(copies, "o", "left_semi").where(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= WINDOW)
-    return changed.select(F.when(F.col("o") != LAST, F.col("o")).alias("doc_id"), "kept").union(later.select("id", F.lit("")))
+    """(doc_id, text_hash, kept): of the rows that lose words, the id, xxhash64 of the text, and the words left, joined by one space.
+
+    Ids are longs or null. See ``digests`` for odd rows.
+    """
+    base, keys = _ordered(docs, doc_id, text)
+    copies, changed = _changed(base, keys)
+    later = base.join(copies, "o", "left_semi").where(F.regexp_count("text", F.lit(WORD)) >= WINDOW).select("id", F.xxhash64("text"), F.lit(""))
+    return changed.select(F.col("id").alias("doc_id"), F.col("k").alias("text_hash"), "kept").union(later)
 
 
-def _changed(base: DataFrame) -> tuple[DataFrame, DataFrame]:
-    copies, found = repeats(base.select("o", "text"))
+def _changed(base: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    copies, found = repeats(base.select("o", "text"), keys)
     runs = cut(spans(found).groupBy("o").agg(F.collect_list(F.struct("start", "words")).alias("runs")))
     texts = base.where("text IS NOT NULL").join(small(copies.select("o"), copies.count()), "o", "left_anti").join(small(runs.select("o"), runs.count()), "o", "left_semi")
-    rows = texts.select("o", F.xxhash64("text").alias("k"), "text").join(runs, "o")
-    return copies, _scan(rows, "o long, k long, n_removed long, kept_sha256 string, kept string", _without)
+    rows = texts.select("o", F.xxhash64("text").alias("k"), "id", "text").join(runs, "o")
+    return copies, _scan(rows, f"o {base.schema['o'].dataType.simpleString()}, k long, id long, n_removed long, kept_sha256 string, kept string", _without)
 
 
 def digests(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), one row for each row of docs.
 
-    A word goes if a window over it starts earlier too: in a row with a smaller
-    id, or before in the same. Null and empty texts have no words. Rows without
-    an id come after all others. Rows repeated with their id are one document
-    and lose the same words; if an id has different texts, what is found under
-    the id goes from each. No rows give no rows.
+    A word goes if a window over it starts earlier too: in a document with a
+    smaller id, or before in the same. Null and empty texts have no words. Rows
+    without an id come after all others. Rows repeated with id and text are one
+    document and lose the same words. Texts under one id, or under none, are
+    documents of their own, in the order of their fingerprints: what only one of
+    them has stays. No rows give no rows. Only the two named columns are read.
     """
-    base = _ordered(docs, doc_id, text)
-    copies, changed = _changed(base)
-    whole = _scan(base.select("o", F.xxhash64("text").alias("k"), "id", "text"), "o long, k long, id long, n_words long, all_sha256 string", _all_words)
-    out = whole.join(changed.drop("kept").dropDuplicates(["o", "k"]), ["o", "k"], "left").join(copies.withColumn("copy", F.lit(True)), "o", "left")
+    base, keys = _ordered(docs, doc_id, text)
+    copies, changed = _changed(base, keys)
+    kind = base.schema["o"].dataType.simpleString()
+    whole = _scan(base.select("o", F.xxhash64("text").alias("k"), "id", "text"), f"o {kind}, k long, id long, n_words long, all_sha256 string", _all_words)
+    out = whole.join(changed.select("o", "k", "n_removed", "kept_sha256").dropDuplicates(["o", "k"]), ["o", "k"], "left").join(copies.withColumn("copy", F.lit(True)), "o", "left")
     gone = F.col("copy") & (F.col("n_words") >= WINDOW)
     return out.select(
         F.col("id").alias("doc_id"),

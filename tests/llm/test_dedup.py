@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import ngram_join, substring
@@ -15,21 +16,24 @@ from tessera.llm.components import components
 from .conftest import prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LAST = 1 << 62
+LAST = (1 << 63) - 1
 
 
 def brute_removal(texts):
-    """(id, words, removed, sha) of each row; rows of one id and text are one document."""
+    """(id, words, removed, sha) of each row; rows of one id and text are one document, texts of one id ordered by their hash."""
+    import functools
+
+    hashed = functools.cache(lambda t: xxhash.xxh64_intdigest(t.encode(), seed=42))
+    place = lambda i, t: (LAST if i is None else i, 0 if t is None else hashed(t))
     firsts: dict[tuple, tuple] = {}
-    for i, t in sorted({(LAST if i is None else i, t or "") for i, t in texts}):
-        w = WORD.findall(t)
+    for i, t in sorted(set(texts), key=lambda x: place(*x)):
+        w = WORD.findall(t or "")
         for s in range(len(w) - 19):
-            key = tuple(w[s : s + 20])
-            firsts[key] = min(firsts.get(key, (LAST + 1, 0)), (i, s))
+            firsts.setdefault(tuple(w[s : s + 20]), (place(i, t), s))
     out = []
     for i, t in texts:
         w = WORD.findall(t or "")
-        gone = {k for s in range(len(w) - 19) if firsts[tuple(w[s : s + 20])] < (LAST if i is None else i, s) for k in range(s, s + 20)}
+        gone = {k for s in range(len(w) - 19) if firsts[tuple(w[s : s + 20])] < (place(i, t), s) for k in range(s, s + 20)}
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
         out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return sorted(out, key=repr)
@@ -54,6 +58,20 @@ def test_removal_on_shared_passages(spark, seed):
     assert removal(df) == brute_removal(texts)
 
 
+def test_one_id_with_several_texts(spark):
+    """What no other document has stays, whatever stands under the same id or under none."""
+    a, b, c, d = (prose(60 + i, 40) for i in range(4))
+    texts = [(1, a), (None, a), (None, b), (2, c), (2, a), (2, None), (3, d + " " + b), (None, d), (None, d), (-5, c + " x"), (None, f"{d} {c} y"), (2, c)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = removal(df)
+    assert got == brute_removal(texts)
+    assert {(i, n) for i, w, n, _ in got if w == 40} >= {(1, 0), (None, 40), (2, 40)} and removal(df.limit(0)) == []
+    few = spark.createDataFrame([(1, a), (None, a), (None, b), (2, c), (2, a)], "doc_id long, text string")
+    assert [(i, n) for i, _, n, _ in removal(few)] == [(1, 0), (2, 0), (2, 40), (None, 0), (None, 40)]
+    gone = {(r["doc_id"], r["text_hash"]): r["kept"] for r in substring.remove_repeats(few).collect()}
+    assert len(gone) == 2 and set(gone.values()) == {""}
+
+
 def test_long_spans_and_texts(spark):
     shared = prose(7, 90)
     df = spark.createDataFrame([(1, prose(1, 30) + " " + shared), (2, shared + " " + prose(2, 30)), (3, "x")], "doc_id long, text string")
@@ -129,11 +147,32 @@ def test_links_are_exact(spark):
     assert {(p["shared"],) for p in pairs.collect()} <= sizes and pairs.count() >= 4
 
 
+def brute_choice(texts):
+    """The (id, text) pairs that stay: the first of each component, by id, then by the text's hash."""
+    pairs = sorted(set(texts), key=lambda x: (x[0] is None, x[0] or 0, 0 if x[1] is None else (xxhash.xxh64_intdigest(x[1].encode(), seed=42) ^ 1 << 63)))
+    s = [x for _, x in sets(pairs)]
+    of = list(range(len(s)))
+    for a in range(len(s)):
+        for b in range(a):
+            if s[a] and s[b] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b]):
+                old, new = sorted((of[a], of[b]), reverse=True)
+                of = [new if x == old else x for x in of]
+    return sorted((pairs[k] for k in set(of)), key=repr)
+
+
 def test_one_of_each(docs, texts):
-    left = [r["doc_id"] for r in ngram_join.one_of_each(docs).collect()]
-    of = {i: c for i, _, c in brute_components(texts) if i is not None}
-    assert sorted(i for i in left if i is not None) == sorted(i for i in of if of[i] == i)
-    assert ngram_join.one_of_each(docs).columns == docs.columns
+    left = ngram_join.one_of_each(docs)
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == brute_choice(texts) and left.columns == docs.columns
+
+
+def test_one_of_each_keeps_unique_texts(spark):
+    a, c, x, y, z = (prose(80 + i, 40) for i in range(5))
+    texts = [(1, a), (2, c), (2, a), (3, x), (3, y), (None, z), (None, z), (None, a), (None, c + " more"), (4, None), (4, ""), (4, ""), (None, None), (5, z + " end")]
+    df = spark.createDataFrame([(i, t, "clash", k) for k, (i, t) in enumerate(texts)], "doc_id long, text string, id string, component int")
+    first = sorted(map(tuple, ngram_join.one_of_each(df).collect()), key=repr)
+    assert sorted(((i, t) for i, t, _, _ in first), key=repr) == brute_choice(texts)
+    assert first == sorted(map(tuple, ngram_join.one_of_each(df.repartition(5)).collect()), key=repr)
+    assert ngram_join.one_of_each(df.limit(0)).count() == 0
 
 
 def test_components(spark):

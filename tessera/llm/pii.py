@@ -15,8 +15,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ MOST_WORDS, BESIDE, SURE = 4, 3, 0.95
 #: The field is trained on at most so many documents with a match of each kind, found over all rows, and so many
 #: with a clue but no match, those whose ids hash lowest, in so many rounds.
 SAMPLE, ROUNDS = 400, 6
+#: Of each of these, at most so many stretches of at most so many words and characters.
+SNIPPETS, SNIPPET_WORDS, SNIPPET = 16, 40, 4000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -110,19 +113,24 @@ class Window:
     """Some neighbouring words of a text, and the segments of them that may be entities; ``values`` may be such by themselves."""
 
     def __init__(self, text: str, words: list[tuple[int, int]], before: str, values: list[bool] | None = None) -> None:
-        self.text, self.words = text, words
-        self.segments: list[tuple[int, int, list[str]]] = []
+        self.text, self.words, self.before = text, words, before
+        self.segments: list[tuple[int, int]] = []
         clue = [any(c in "0123456789@" for c in text[a:b]) for a, b in words]
-        lower = [text[a:b].strip(_EDGE).lower() if text[a:b] != "=" else "=" for a, b in words]
+        self.lower = [text[a:b].strip(_EDGE).lower() if text[a:b] != "=" else "=" for a, b in words]
         for i in range(len(words)):
             for j in range(i + 1, min(len(words), i + MOST_WORDS) + 1):
                 if clue[i] and clue[j - 1] or j == i + 1 and (clue[i] or values and values[i]) or any(clue[i:j]) and text[words[i][0]] in "+(":
-                    left = [lower[i - 1] if i else before, lower[i - 2] if i > 1 else ""]
-                    self.segments.append((i, j, features(text[words[i][0] : words[j - 1][1]], j - i, left)))
+                    self.segments.append((i, j))
         self.ends: dict[int, list[int]] = defaultdict(list)
-        for k, (_, j, _) in enumerate(self.segments):
+        for k, (_, j) in enumerate(self.segments):
             self.ends[j].append(k)
 
+    def features(self, k: int) -> list[str]:
+        """What is seen of a segment; made when asked for, since a text may be one long window."""
+        i, j = self.segments[k]
+        left = [self.lower[i - 1] if i else self.before, self.lower[i - 2] if i > 1 else ""]
+        return features(self.text[self.words[i][0] : self.words[j - 1][1]], j - i, left)
+
     def span(self, i: int, j: int) -> tuple[int, int]:
         """Places of the words i to j without marks at the ends; of ``key=value`` the value's."""
         a, b = self.words[i][0], self.words[j - 1][1]
@@ -170,18 +178,21 @@ def features(segment: str, words: int, left: list[str]) -> list[str]:
 
 
 def windows(text: str) -> Iterator[Window]:
-    """The stretches of words around those with a digit or an at sign, values and words of seeds."""
+    """The stretches of words around those with a digit or an at sign, values and words of seeds.
+
+    Clues whose neighbourhoods meet are in one window, however long it gets, so
+    that no segment lies in two windows and none is cut.
+    """
     words = [m.span() for m in _WORD.finditer(text)]
     at, n = 0, len(words)
     values = _values(text, words)
     clue = [i for i, (a, b) in enumerate(words) if values[i] or any(c in "0123456789@" for c in text[a:b]) or _SECRET_WORD.search(text, a, b)]
     while at < len(clue):
-        i = clue[at]
-        last = i
-        while at < len(clue) and clue[at] <= last + BESIDE and clue[at] - i < 40:
+        first = max(0, clue[at] - BESIDE)
+        last = clue[at]
+        while at < len(clue) and clue[at] <= last + 2 * BESIDE:
             last = clue[at]
             at += 1
-        first = max(0, i - BESIDE)
         before = text[slice(*words[first - 1])].strip(_EDGE).lower() if first else ""
         to = min(n, last + BESIDE + 1)
         yield Window(text, words[first:to], before, values[first:to])
@@ -194,9 +205,10 @@ class Field:
         self.weights: dict[tuple[str, str], float] = {}
         self.bias = -2.0
 
-    def scores(self, w: Window) -> list[list[float]]:
+    def scores(self, w: Window, seen: list[list[str]] | None = None) -> list[list[float]]:
+        """Each segment's score by kind; ``seen`` are their features where they were made before."""
         get = self.weights.get
-        return [[self.bias * (j - i) + sum(get((y, f), 0.0) for f in seen) for y in KINDS] for i, j, seen in w.segments]
+        return [[self.bias * (j - i) + sum(get((y, f), 0.0) for f in fs) for y in KINDS] for (i, j), fs in zip(w.segments, seen or map(w.features, range(len(w.segments))), strict=True)]
 
     def sums(self, w: Window, scores: list[list[float]]) -> tuple[list[float], list[list[float]]]:
         """Log sums of all labellings of the first words, and each segment's and kind's probability."""
@@ -208,13 +220,13 @@ class Field:
             forward[j] = top + math.log(sum(math.exp(t - top) for t in terms))
         backward = [-math.inf] * n + [0.0]
         begins: dict[int, list[int]] = defaultdict(list)
-        for k, (i, _, _) in enumerate(w.segments):
+        for k, (i, _) in enumerate(w.segments):
             begins[i].append(k)
         for i in range(n - 1, -1, -1):
             terms = [backward[i + 1], *(backward[w.segments[k][1]] + s for k in begins[i] for s in scores[k])]
             top = max(terms)
             backward[i] = top + math.log(sum(math.exp(t - top) for t in terms))
-        return forward, [[math.exp(min(0.0, forward[i] + s + backward[j] - forward[n])) for s in row] for (i, j, _), row in zip(w.segments, scores, strict=True)]
+        return forward, [[math.exp(min(0.0, forward[i] + s + backward[j] - forward[n])) for s in row] for (i, j), row in zip(w.segments, scores, strict=True)]
 
     def best(self, w: Window) -> list[tuple[str, int, int, float]]:
         """The best labelling's entities (kind, first word, end) and their probabilities."""
@@ -237,22 +249,23 @@ class Field:
             if k < 0:
                 j -= 1
             else:
-                out.append((KINDS[y], *w.segments[k][:2], sure[k][y]))
+                out.append((KINDS[y], *w.segments[k], sure[k][y]))
                 j = w.segments[k][0]
         return out[::-1]
 
     def learn(self, data: list[tuple[Window, dict[int, int]]], rounds: int = ROUNDS, rate: float = 0.5, decay: float = 1e-3) -> None:
         """Gradient steps (Adagrad) on the log-likelihood of labelled windows: segment number -> kind."""
         size: dict[tuple[str, str], float] = defaultdict(lambda: 1e-2)
+        made = [[w.features(k) for k in range(len(w.segments))] for w, _ in data]
         for _ in range(rounds):
-            for w, truth in data:
-                _, sure = self.sums(w, self.scores(w))
+            for (w, truth), seen in zip(data, made, strict=True):
+                _, sure = self.sums(w, self.scores(w, seen))
                 step: dict[tuple[str, str], float] = defaultdict(float)
-                for k, (_, _, seen) in enumerate(w.segments):
+                for k, own in enumerate(seen):
                     for y, kind in enumerate(KINDS):
                         g = (truth.get(k) == y) - sure[k][y]
                         if abs(g) > 1e-4:
-                            for f in seen:
+                            for f in own:
                                 step[kind, f] += g
                 for key, g in step.items():
                     g -= decay * self.weights.get(key, 0.0)
@@ -260,22 +273,44 @@ class Field:
                     self.weights[key] = self.weights.get(key, 0.0) + rate * g / math.sqrt(size[key])
 
 
+def covered(spans: list[Span]) -> Callable[[int, int], bool]:
+    """Whether a place from a to b overlaps any of the spans, each asked in logarithmic time."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b in sorted(spans, key=lambda s: s[1:]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return lambda a, b: (k := bisect_left(starts, b)) > 0 and ends[k - 1] > a
+
+
 def known_spans(text: str) -> list[Span]:
     """What patterns and seeds make out."""
     known = base_spans(text)
-    seeds = [("secret", *m.span(1 if m.group(1) else 2)) for m in _SEED.finditer(text)]
-    return known + [s for s in seeds if not any(a < s[2] and s[1] < b for _, a, b in known)]
+    taken = covered(known)
+    seeds = (("secret", *m.span(1 if m.group(1) else 2)) for m in _SEED.finditer(text))
+    return known + [s for s in seeds if not taken(*s[1:])]
 
 
 def labelled(text: str) -> Iterator[tuple[Window, dict[int, int]]]:
-    """The text's windows with the segments that patterns and seeds make out."""
+    """The text's windows with the segments that patterns and seeds make out, the former first; linear in the text."""
     known = known_spans(text)
+    order = sorted(range(len(known)), key=lambda x: known[x][1])
+    starts = [known[x][1] for x in order]
     for w in windows(text):
+        begins, ends = [a for a, _ in w.words], [b for _, b in w.words]
+        number = {s: k for k, s in enumerate(w.segments)}
         truth: dict[int, int] = {}
-        for kind, a, b in known:
-            fit = [k for k, (i, j, _) in enumerate(w.segments) if w.words[i][0] <= a and b <= w.words[j - 1][1] and w.words[i][1] > a and w.words[j - 1][0] < b]
-            if fit and not any(w.segments[k][0] < w.segments[fit[0]][1] and w.segments[fit[0]][0] < w.segments[k][1] for k in truth):
-                truth[fit[0]] = KINDS.index(kind)
+        taken = [False] * len(w.words)
+        for x in sorted(order[bisect_left(starts, begins[0]) : bisect_left(starts, ends[-1])]):
+            kind, a, b = known[x]
+            i, j = bisect_right(begins, a) - 1, bisect_left(ends, b) + 1
+            k = number.get((i, j))
+            if k is not None and a < ends[i] and not any(taken[i:j]):
+                truth[k] = KINDS.index(kind)
+                taken[i:j] = [True] * (j - i)
         if w.segments:
             yield w, truth
 
@@ -284,11 +319,24 @@ def _classes(text: str) -> set[str]:
     return {k for k, _, _ in known_spans(text)} or {"none"}
 
 
+def snippets(text: str) -> list[str]:
+    """At most ``SNIPPETS`` stretches of a text, those with a match first: each a window after the word before it, or ``SNIPPET_WORDS`` words of a longer one."""
+    out = []
+    for w, truth in labelled(text):
+        hit = {w.segments[k][0] for k in truth}
+        for i in range(0, len(w.words), SNIPPET_WORDS):
+            to = min(len(w.words), i + SNIPPET_WORDS)
+            part = text[w.words[i][0] : w.words[to - 1][1]]
+            out.append((hit.isdisjoint(range(i, to)), f"{w.before} {part}" if w.before and not i else part))
+    return [s for _, s in sorted(out, key=lambda x: x[0])[:SNIPPETS] if len(s) <= SNIPPET]
+
+
 def samples(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> list[str]:
-    """Texts with a match of each kind, and with a clue but no match, at most ``sample`` of each, in the order of their ids' hashes.
+    """Stretches of texts with a match of each kind, and with a clue but no match, of at most ``sample`` texts each, in the order of their ids' hashes.
 
     One pass counts each kind over all rows. A second brings a share of each
-    that is sure to hold ``sample`` rows, as in ``bounded_sample``.
+    that is sure to hold ``sample`` rows, as in ``bounded_sample``. What comes
+    to the driver is bounded in texts, stretches and characters.
     """
     key = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 33)
     clues = docs.where(F.col(text).rlike("[0-9@=:]")).select(key.alias("h"), F.col(text).alias("text"))
@@ -308,22 +356,24 @@ def samples(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", samp
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kinds = [sorted(k for k in _classes(x.as_py()) if h < below[k]) for h, x in zip(b["h"].to_pylist(), b["text"], strict=True)]
+            texts = b["text"].to_pylist()
+            kinds = [sorted(k for k in _classes(x) if h < below[k]) for h, x in zip(b["h"].to_pylist(), texts, strict=True)]
             chosen = pa.array([bool(k) for k in kinds], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b["h"].filter(chosen), b["text"].filter(chosen), pa.array([k for k in kinds if k], pa.list_(pa.string()))], ["h", "text", "kinds"])
+            parts = [snippets(x) for x, k in zip(texts, kinds, strict=True) if k]
+            yield pa.RecordBatch.from_arrays([b["h"].filter(chosen), pa.array(parts, pa.list_(pa.string())), pa.array([k for k in kinds if k], pa.list_(pa.string()))], ["h", "parts", "kinds"])
 
-    rows = sorted(clues.where(F.col("h") < max(below.values())).mapInArrow(take, "h long, text string, kinds array<string>").collect(), key=lambda r: (r["h"], r["text"]))
+    rows = sorted(clues.where(F.col("h") < max(below.values())).mapInArrow(take, "h long, parts array<string>, kinds array<string>").collect(), key=lambda r: (r["h"], r["parts"]))
     room, out = dict.fromkeys(below, sample), []
     for r in rows:
         if any(room[k] > 0 for k in r["kinds"]):
-            out.append(r["text"])
+            out += r["parts"]
         for k in r["kinds"]:
             room[k] -= 1
     return out
 
 
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Field:
-    """A field trained on at most ``sample`` documents of each kind. Without any clue in the documents it adds nothing."""
+    """A field trained on stretches of at most ``sample`` documents of each kind. Without any clue in the documents it adds nothing."""
     field = Field()
     field.learn([x for t in samples(docs, doc_id=doc_id, text=text, sample=sample) for x in labelled(t)])
     return field
@@ -333,10 +383,11 @@ def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     """The patterns' matches, and these with what the field adds."""
     base = base_spans(text)
     out = list(base)
+    taken = covered(base)
     for w in windows(text):
         for kind, i, j, sure in field.best(w):
             a, b = w.span(i, j)
-            if sure >= SURE and a < b and not any(x < b and a < y for _, x, y in base):
+            if sure >= SURE and a < b and not taken(a, b):
                 out.append((kind, a, b))
     return base, sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -359,7 +410,10 @@ def _spans(column: pa.Array, field: Field) -> Iterator[tuple[list[Span], list[Sp
 def find(docs: DataFrame, field: Field, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans), one row a row, in one pass without a shuffle.
 
-    Null and empty texts have no spans. Repeated rows get equal results. Other columns are not read.
+    Null and empty texts have no spans. Repeated rows get equal results, a null
+    id stays null, no rows give no rows. Long texts are searched whole, in time
+    and memory in proportion to their length. Of spans that start together the
+    kinds' order tells. Other columns are not read.
     """
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
@@ -375,7 +429,12 @@ def find(docs: DataFrame, field: Field, *, doc_id: str = "doc_id", text: str = "
 
 
 def redact(docs: DataFrame, field: Field, *, text: str = "text") -> DataFrame:
-    """The documents with each span replaced by its kind in brackets; of overlapping spans the union is replaced, by the first one's kind."""
+    """The documents with each span replaced by its kind in brackets; of overlapping spans the union is replaced, by the first one's kind.
+
+    Null texts stay null, texts without spans and all other columns as they
+    are; equal texts become equal ones; no rows give no rows.
+    """
+
     def clean(value: str, spans: list[Span]) -> str:
         out, at, last = [], 0, -1
         for k, a, b in spans:

@@ -159,7 +159,7 @@ def test_rare_secrets_teach_the_field(spark):
     made = {i: r.randbytes(20).hex() for i in range(0, 2000, 100)}
     rows = [(i, f"{prose(i, 20)} in {1900 + i % 100} " + (f"token = \"{made[i]}\" {prose(i + 1, 9)}" if i in made else f"we had version {i}.0")) for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sum(any(m in t for m in made.values()) for t in pii.samples(df, sample=30)) == len(made)
+    assert sum(any(m in t for m in made.values()) for t in pii.samples(df, sample=30)) == len(made) and len(pii.samples(df, sample=30)) < 4 * 30
     got = {r["doc_id"]: r["spans"] for r in pii.find(df, pii.fit(df, sample=30)).collect()}
     assert {i for i in got if "secret:" in got[i]} == set(made)
 
@@ -176,6 +176,75 @@ def test_secrets_of_letters(spark):
         assert ("[SECRET]" in x["text"]) == (x["doc_id"] in made) and made.get(x["doc_id"], "[no]") not in x["text"]
 
 
+def test_many_secrets_in_a_row(private):
+    """Spans are found once each, however long the stretch that has them."""
+    _, field, _ = private
+    r = random.Random(13)
+    for n in (1, 13, 60, 400):
+        made = ["".join(r.choice("abcdef") + r.choice("0123456789") for _ in range(20)) for _ in range(n)]
+        text = " ".join(f"token = \"{x}\"" for x in made)
+        base, every = pii.all_spans(text, field)
+        assert base == [] and [text[a:b] for _, a, b in every] == made and {k for k, _, _ in every} == {"secret"}
+        mixed = f"{text} jo@mail.example.org " * 2
+        assert len(set(pii.all_spans(mixed, field)[1])) == len(pii.all_spans(mixed, field)[1]) == 2 * n + 2
+
+
+def test_labelling_is_linear(private):
+    import time
+
+    _, field, _ = private
+    text = "jo@mail.example.org 10.0.0.7 " * 4000
+    began = time.process_time()
+    found = [(w.words[w.segments[k][0]], pii.KINDS[y]) for w, truth in pii.labelled(text) for k, y in truth.items()]
+    assert len(found) == 8000 and time.process_time() - began < 10
+    assert len(pii.snippets(text)) == pii.SNIPPETS and all(len(x.split()) == pii.SNIPPET_WORDS for x in pii.snippets(text)) and pii.snippets("see jo@mail.example.org " * 3 + "so " * 20 + "in 1999 it") == ["see jo@mail.example.org " * 2 + "see jo@mail.example.org so so so", "so so so in 1999 it"]
+
+
+def labellings(w, at=0):
+    """All ways to choose segments of a window that don't overlap: lists of (segment, kind)."""
+    if at >= len(w.words):
+        yield []
+        return
+    yield from labellings(w, at + 1)
+    for k, (i, j) in enumerate(w.segments):
+        if i == at:
+            for y in range(len(pii.KINDS)):
+                for rest in labellings(w, j):
+                    yield [(k, y), *rest]
+
+
+def test_programs_agree_with_enumeration(private):
+    """The best labelling, the log of the sum over all and each segment's probability, against all labellings of short windows."""
+    _, field, _ = private
+    r = random.Random(14)
+    for text in ("call +1 (988) 555-2485", "token = \"9f86d081884c7d65\" 10.0.0.7", "a=1 b@c.de", "4111 1111 x", "(5 6 ("):
+        for _ in range(4):
+            (w,) = pii.windows(text)
+            scores = [[s + r.uniform(-2, 2) for s in row] for row in field.scores(w)]
+            every = list(labellings(w))
+            totals = [sum(scores[k][y] for k, y in x) for x in every]
+            forward, sure = field.sums(w, scores)
+            log = math.log(sum(math.exp(t - max(totals)) for t in totals)) + max(totals)
+            assert abs(forward[-1] - log) < 1e-9
+            for k in range(len(w.segments)):
+                for y in range(len(pii.KINDS)):
+                    assert abs(sure[k][y] - sum(math.exp(t - log) for t, x in zip(totals, every, strict=True) if (k, y) in x)) < 1e-9
+        scores = field.scores(w)
+        best = max(every, key=lambda x: sum(scores[k][y] for k, y in x))
+        assert [(pii.KINDS[y], *w.segments[k]) for k, y in best] == [x[:3] for x in field.best(w)]
+
+
+def test_windows_agree_with_one_window(private):
+    """Segments of all windows of a text are those of the whole text as one window."""
+    df, _, texts = private
+    for text in [*list(texts.values())[:40], "1 a b c d e 2 a b c d e f 3 a b c d e f g h i j 4 (a b 5"]:
+        words = [m.span() for m in WORD.finditer(text)]
+        whole = pii.Window(text, words, "", pii._values(text, words))
+        place = lambda w: [(w.words[i][0], w.words[j - 1][1]) for i, j in w.segments]
+        parts = [x for w in pii.windows(text) for x in place(w)]
+        assert len(parts) == len(set(parts)) and set(parts) == set(place(whole))
+
+
 def test_spans(private):
     df, field, texts = private
     for r in pii.find(df, field).collect():

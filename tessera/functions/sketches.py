@@ -57,6 +57,27 @@ def estimates(sketch: DataFrame, values: DataFrame, column: str, width: int = WI
     return asked.groupBy(column).agg(F.min("n").alias("estimate"))
 
 
+def frequent_sketch(expression: str, tracked: int) -> Column:
+    """A sketch of the most frequent values: at most so many candidates with their counts; nulls don't count."""
+    return F.expr(f"approx_top_k_accumulate({expression}, {tracked}) FILTER (WHERE ({expression}) IS NOT NULL)")
+
+
+def merged_frequent(sketches: str, tracked: int) -> Column:
+    return F.expr(f"approx_top_k_combine({sketches}, {tracked})")
+
+
+def frequent(sketch: str, n: int) -> Column:
+    """The n candidates with the highest counts, as an array of (item, count)."""
+    return F.expr(f"approx_top_k_estimate({sketch}, {n})")
+
+
+def candidates(df: DataFrame, column: str, n: int, tracked: int = 4096, depth: int = DEPTH, width: int = WIDTH) -> DataFrame:
+    """(value, estimate): the n heaviest values of bounded memory. Candidates come from a sketch of the most frequent, their counts from a Count-Min table."""
+    sketch = df.agg(frequent_sketch(f"`{column}`", tracked).alias("s"))
+    found = sketch.select(F.explode(frequent("s", min(2 * n, tracked))).alias("t")).select(F.col("t.item").alias(column))
+    return estimates(count_min(df, column, depth, width), found, column, width).orderBy(F.desc("estimate"), F.asc(column)).limit(n)
+
+
 def heavy_hitters(df: DataFrame, column: str, n: int) -> DataFrame:
     """The n most frequent values and their exact counts, ties by value."""
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), F.asc(column)).limit(n)

@@ -230,10 +230,18 @@ def round_(x: Value, digits: Value) -> Value:
     return Value(F.floor(n.column * scale + F.lit(0.5)) / scale, "float")
 
 
+def units(text: Column) -> Column:
+    """Length in UTF-16 units."""
+    return (F.length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+
+
 def substr(s: Value, start: Value, length: Value | None) -> Value:
-    """From place ``start`` (0 is the first, negative from the end) to ``start + length``, each taken within the text."""
+    """From place ``start`` (0 is the first, negative from the end) to ``start + length``, each taken within the text; places are UTF-16 units.
+
+    Half of a character of two units is shown as U+FFFD.
+    """
     c = F.coalesce(_string(s), F.lit("null"))
-    size = F.length(c)
+    size = units(c)
 
     def within(place: Column) -> Column:
         return F.when(place < 0, F.greatest(size + place, F.lit(0))).otherwise(F.least(place, size))
@@ -241,7 +249,13 @@ def substr(s: Value, start: Value, length: Value | None) -> Value:
     first = number(start).column.cast("int")
     begin = within(first)
     end = size if length is None else within(first + number(length).column.cast("int"))
-    return Value(F.substring(c, begin + 1, F.greatest(end - begin, F.lit(0))), "string")
+    n = F.greatest(end - begin, F.lit(0))
+    part = F.substring(F.encode(c, "UTF-16BE"), 2 * begin + 1, 2 * n)
+    unknown = F.unhex(F.lit("FFFD"))
+    low, high = F.hex(F.substring(part, 1, 1)).between("DC", "DF"), F.hex(F.substring(part, -2, 1)).between("D8", "DB")
+    part = F.when(low, F.concat(unknown, F.substring(part, F.lit(3), F.length(part)))).otherwise(part)
+    part = F.when(high, F.concat(F.substring(part, F.lit(1), F.length(part) - 2), unknown)).otherwise(part)
+    return Value(F.when(F.length(c) == size, F.substring(c, begin + 1, n)).otherwise(F.decode(part, "UTF-16BE")), "string")
 
 
 def coalesce(values: list[Value]) -> Value:
@@ -256,7 +270,7 @@ def scalar(name: str, args: list[Value], now: float) -> Value:
     if name in ("lower", "upper"):
         return Value((F.lower if name == "lower" else F.upper)(F.coalesce(_string(args[0]), F.lit("null"))), "string")
     if name == "length":  # in UTF-16 units
-        return Value((F.length(F.encode(F.coalesce(_string(args[0]), F.lit("null")), "UTF-16BE")) / 2).cast("long"), "int")
+        return Value(units(F.coalesce(_string(args[0]), F.lit("null"))).cast("long"), "int")
     if name == "abs":
         n = number(args[0])
         return Value(F.abs(n.column), n.kind)
@@ -296,6 +310,7 @@ def distinct(v: Value, approximate: bool) -> Value:
 
 
 def percentile(v: Value, percent: float, approximate: bool) -> Value:
+    """The value at a share; approximately from a sketch that merges, of rank within a ten-thousandth, else with a group's values in one task."""
     c = F.lit(None).cast("double") if v.kind == "null" else v.column.cast("double")
     found = F.percentile_approx(c, percent / 100, 10000) if approximate else F.percentile(c, percent / 100)
     return Value(F.round(F.coalesce(found, F.lit(0.0)), 2), "float")

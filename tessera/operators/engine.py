@@ -16,6 +16,8 @@ from ..sources.catalog import Table
 
 #: Rows of a query without aggregates and without LIMIT, and the most and usual values of top_k().
 DEFAULT_LIMIT, MOST_TOP, USUAL_TOP = 200, 100, 10
+#: Groups that ``collect`` brings to the driver at most.
+MOST_GROUPS = 200_000
 
 
 @dataclass
@@ -48,14 +50,22 @@ class Result:
     seen: Observation | None = None
     kept: Observation | None = None
 
-    def collect(self) -> Rows:
-        """Run it; one row more than the limit tells whether rows were cut off."""
+    def collect(self, most: int = MOST_GROUPS) -> Rows:
+        """Run it; one row more than the limit tells whether rows were cut off.
+
+        No more than ``most`` rows come to the driver: of more groups those
+        after it in the result's order are left out, and a note says so.
+        """
         began = time.perf_counter()
-        found = (self.unlimited.limit(self.limit + 1) if self.unlimited is not None and self.limit is not None else self.keyed).collect()
-        cut = self.limit is not None and len(found) > self.limit
-        found = found[: self.limit] if cut else found
+        limit = most if self.limit is None else min(self.limit, most)
+        found = (self.unlimited if self.unlimited is not None else self.keyed).limit(limit + 1).collect()
+        cut = len(found) > limit
+        notes = list(self.notes)
+        if cut and (self.limit is None or self.limit > most):
+            notes.append(f"There are more than {most:,} groups; the rest is left out. Add a condition, or group by a column with fewer values.")
+        found = found[:limit]
         n = len(self.columns)
-        rows = Rows(self.columns, [tuple(r)[:n] for r in found], [tuple(r)[n:] for r in found], cut, list(self.notes), (time.perf_counter() - began) * 1000)
+        rows = Rows(self.columns, [tuple(r)[:n] for r in found], [tuple(r)[n:] for r in found], cut, notes, (time.perf_counter() - began) * 1000)
         if self.seen is not None and self.kept is not None and found:
             rows = replace(rows, scanned=self.seen.get.get("n"), matched=self.kept.get.get("n"))
         return rows
@@ -146,9 +156,13 @@ def conditions(node: Node) -> list[Node]:
 
 
 class Engine:
-    """Queries over registered tables. ``approximate`` lets distinct counts and percentiles use sketches."""
+    """Queries over registered tables.
+
+    Distinct counts are exact and percentiles come from sketches that merge;
+    ``approximate`` set to true takes sketches for both, to false for neither.
+    """
 
-    def __init__(self, tables: dict[str, Table] | None = None, approximate: bool = False) -> None:
+    def __init__(self, tables: dict[str, Table] | None = None, approximate: bool | None = None) -> None:
         self.tables, self.approximate = dict(tables or {}), approximate
 
     def register(self, name: str, table: Table) -> None:
@@ -157,7 +171,7 @@ class Engine:
     def check(self, sql: str) -> Query:
         """Parse and analyse a query without running it."""
         query = parse(sql)
-        self._plan(query, sql, 0.0, False)
+        self._plan(query, sql, 0.0, False, False)
         return query
 
     def sql(self, sql: str, now: float | None = None) -> DataFrame:
@@ -166,7 +180,7 @@ class Engine:
     def run(self, sql: str, now: float | None = None, metrics: bool = False) -> Result:
         return self._plan(parse(sql), sql, now, metrics)
 
-    def _plan(self, query: Query, sql: str, now: float | None, metrics: bool) -> Result:
+    def _plan(self, query: Query, sql: str, now: float | None, metrics: bool, fresh: bool = True) -> Result:
         table = self.tables.get(query.table.name)
         if table and query.window is not None and table.retention is not None and query.window > table.retention:
             raise QueryError(f"The window is longer than the {table.retention / 60:g} minutes that are kept.", 0, len(sql), f"Use WINDOW {table.retention // 60}m or less.")
@@ -174,6 +188,8 @@ class Engine:
             raise QueryError(f"There is no table {query.table.name}.", query.table.start, query.table.end, "Tables: " + ", ".join(sorted(self.tables)) + ".")
         if query.window is not None and table.time is None:
             raise QueryError(f"{query.table.name} has no time to take a WINDOW of.", 0, len(sql))
+        if fresh:
+            table.refresh(now)
         columns = table.columns
         check(query, columns)
         uses_now = query.window is not None or any(isinstance(x, Call) and x.name == "now" for root in [*(i.value for i in query.items or ()), *query.groups, *(s.value for s in query.sorts), *([query.where] if query.where else [])] for x in root.walk())
@@ -272,13 +288,13 @@ class Engine:
         if a.name == "count":
             return V.Value(F.count(F.lit(1)), "int")
         if a.name == "count_distinct":
-            return V.distinct(args[0], self.approximate)
+            return V.distinct(args[0], self.approximate is True)
         if a.name == "sum":
             return V.summed(args[0])
         if a.name == "avg":
             return V.averaged(args[0])
         if a.name == "percentile":
-            return V.percentile(args[0], float(constant(a.args[1], "The percentile")), self.approximate)
+            return V.percentile(args[0], float(constant(a.args[1], "The percentile")), self.approximate is not False)
         return V.extreme(a.name, args[0])
 
     def _with_top(self, grouped: DataFrame, df: DataFrame, groups: list[Column], name: str, a: Aggregate, compile_: _Compiler) -> DataFrame:

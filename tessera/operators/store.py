@@ -30,13 +30,14 @@ def recent(table: Table, limit: int = 20, human_only: bool = False) -> DataFrame
 
 def stats(table: Table, now: float, started: float | None = None, ingested: int | None = None) -> DataFrame:
     """One row: rows kept and ever ingested, events a second over the last minute, ages of the oldest and the latest event, uptime."""
+    total = ingested if ingested is not None else table.ingested
     t = seconds(table.df, table.time)
     df = table.df.select(t.alias("t"))
     last = F.col("t") >= F.lit(now - 60)
     span = F.least(F.greatest(F.lit(now) - F.min(F.when(last, F.col("t"))), F.lit(1.0)), F.lit(60.0))
     return df.agg(
         F.count(F.lit(1)).alias("buffered_rows"),
-        (F.lit(ingested).cast("long") if ingested is not None else F.count(F.lit(1))).alias("total_ingested"),
+        (F.lit(total).cast("long") if total is not None else F.count(F.lit(1))).alias("total_ingested"),
         F.coalesce(F.round(F.count_if(last) / span, 2), F.lit(0.0)).alias("events_per_second"),
         F.coalesce(F.round(F.lit(now) - F.min("t"), 1), F.lit(0.0)).alias("oldest_age"),
         F.coalesce(F.round(F.lit(now) - F.max("t"), 2), F.lit(0.0)).alias("last_event_age"),

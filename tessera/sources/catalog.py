@@ -17,7 +17,8 @@ class Table:
 
     ``retention`` is the longest window in seconds, None for static data. The
     clock gives seconds since 1970; without one, static data end at their
-    latest event, and live data at the present.
+    latest event, and live data at the present. ``load`` makes the DataFrame of
+    a table that grows, as of a time; queries and the feed call for it anew.
     """
 
     df: DataFrame
@@ -26,19 +27,27 @@ class Table:
     retention: int | None = None
     clock: Callable[[], float] | None = None
     hidden: tuple[str, ...] = ()
+    load: Callable[[float], DataFrame] | None = field(default=None, repr=False)
+    ingested: int | None = None
     _latest: float | None = field(default=None, repr=False)
 
     @property
     def columns(self) -> list[str]:
         return [c for c in self.df.columns if c not in self.hidden]
 
+    def refresh(self, now: float | None = None) -> None:
+        """See what has been added to a growing table."""
+        if self.load is not None:
+            self.df = self.load(self.now() if now is None else now)
+
     def now(self) -> float:
         if self.clock:
             return self.clock()
         if self.retention is not None or self.time is None:
             return time.time()
-        if self._latest is None:  # Parquet answers this from its footers where it can
-            self._latest = self.df.agg(F.max(seconds(self.df, self.time))).first()[0] or 0.0
+        if self._latest is None:  # one scan of one column, once a table
+            latest = self.df.agg(F.max(self.time).alias(self.time))
+            self._latest = latest.select(seconds(latest, self.time)).first()[0] or 0.0
         return self._latest
 
     def since(self, now: float, window: int) -> DataFrame:

@@ -12,8 +12,8 @@ COLUMNS = (
     ("lang", "string", "language, - where there is none", True),
     ("project", "string", "wikipedia, wikidata and so on", True),
     ("type", "string", "edit, new or log", True),
-    ("title", "string", "title of the page", True),
-    ("user", "string", "name or address of who saved it", True),
+    ("title", "string", "title of the page", False),
+    ("user", "string", "name or address of who saved it", False),
     ("is_bot", "boolean", "marked as a bot's", True),
     ("is_anon", "boolean", "the name is an address", True),
     ("is_minor", "boolean", "marked as minor", True),
@@ -40,9 +40,13 @@ def looks_like_address(user: Column) -> Column:
 
 
 def decode(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Raw events of JSON lines as column ``e``; ``bad`` marks lines that are none."""
+    """Raw events of JSON lines as column ``e``, with their ``id``, null if it is empty; ``bad`` marks lines that are none.
+
+    A field of another JSON type than ``RAW`` makes a line bad.
+    """
     parsed = F.from_json(F.col(column), RAW + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return lines.select(parsed.alias("e")).withColumn("bad", F.col("e").isNull() | F.col("e._bad").isNotNull())
+    rows = lines.select(parsed.alias("e"), *[c for c in lines.columns if c not in (column, "e", "bad", "id")])
+    return rows.withColumn("bad", F.col("e").isNull() | F.col("e._bad").isNotNull()).withColumn("id", F.nullif(F.col("e.meta.id"), F.lit("")))
 
 
 def normalised(events: DataFrame, now: Column | None = None) -> DataFrame:
@@ -76,7 +80,7 @@ def normalised(events: DataFrame, now: Column | None = None) -> DataFrame:
         "uri": F.coalesce(e["meta"]["uri"], F.lit("")),
     }
     kept = events.where(e["type"].isin(*KINDS) & (F.coalesce(e["server_name"], F.lit("")) != ""))
-    return kept.select(e["meta"]["id"].alias("id"), *[c.alias(name) for name, c in made.items()])
+    return kept.select("id", *[c.alias(name) for name, c in made.items()])
 
 
 def filled(rows: DataFrame) -> DataFrame:

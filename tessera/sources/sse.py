@@ -1,9 +1,12 @@
 """A server-sent-events source for Structured Streaming.
 
 ``spark.readStream.format("sse").option("url", ...)`` gives one row a message:
-its data as ``value``. Offsets are times: each read starts at the time of the
-last message seen, so that a restart, or a lost connection, goes on where it
-was; readers may see a message again, which ingestion takes out by its id.
+its data as ``value``, and as ``reconnects`` how many connections were lost
+since the row before. Offsets are times: a batch is a range of time, cut into
+parts that tasks read on their own, each from its connection. A restart or a
+failed task reads its range again. A part goes on a little into the next, since
+messages come only nearly in order of time; ingestion takes out what is there
+twice by its id.
 """
 
 from __future__ import annotations
@@ -17,14 +20,16 @@ import urllib.request
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-#: Seconds before now at which a first read starts, and of one read.
-BACKFILL, READ = 90, 2.0
+#: Seconds before now at which a first read starts, without a message that end a read, of a part, that a part goes on into the next.
+BACKFILL, READ, PART, BEYOND = 90, 2.0, 60, 2.0
+#: Lost connections in a row, without a message between, after which a task fails.
+TRIES = 6
 
 
 def messages(lines: Iterator[bytes]) -> Iterator[str]:
-    """The data of each message of an event stream; comments, ids and other fields are left out."""
+    """The data of each message of an event stream; comments, ids and other fields are left out, and a message that the end cuts off."""
     data: list[str] = []
     for raw in lines:
         line = raw.decode("utf-8", "replace").rstrip("\r\n")
@@ -34,8 +39,6 @@ def messages(lines: Iterator[bytes]) -> Iterator[str]:
             data = []
         elif line.startswith("data:"):
             data.append(line[5:].removeprefix(" "))
-    if data:
-        yield "\n".join(data)
 
 
 def wait(failures: int, chance: float) -> float:
@@ -53,40 +56,68 @@ def seen_at(data: str, before: float) -> float:
         return before
 
 
-class Reader(SimpleDataSourceStreamReader):
+class Span(InputPartition):
+    """A range of time, in milliseconds."""
+
+    def __init__(self, since: int, until: int) -> None:
+        self.since, self.until = since, until
+
+
+class Reader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.url = options["url"]
         self.seconds = float(options.get("readseconds", READ))
         self.backfill = float(options.get("backfillseconds", BACKFILL))
-        self.failures = 0
+        self.part = int(float(options.get("partseconds", PART)) * 1000)
 
     def initialOffset(self) -> dict:
-        return {"since": time.time() - self.backfill, "seen": 0}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        since, rows = start["since"], []
+        return {"ms": int((time.time() - self.backfill) * 1000)}
+
+    def latestOffset(self) -> dict:
+        return {"ms": int(time.time() * 1000)}
+
+    def partitions(self, start: dict, end: dict) -> list[Span]:
+        return [Span(a, min(a + self.part, end["ms"])) for a in range(start["ms"], end["ms"], self.part)]
+
+    def commit(self, end: dict) -> None:
+        """Nothing to do: the server keeps the past."""
+
+    def read(self, partition: Span) -> Iterator[tuple[str | None, int]]:
+        """The messages from the range's start to a little after its end, or until none comes any more."""
+        since, until = partition.since / 1000, partition.until / 1000 + BEYOND
+        failures = lost = 0
+        while True:
+            got, ended, last = False, False, time.monotonic()
+            try:
+                with urllib.request.urlopen(self._request(since), timeout=self.seconds) as response:
+                    for data in messages(response):
+                        t = seen_at(data, since)
+                        if t >= until:
+                            ended = True
+                            break
+                        got = got or t > since
+                        since = max(since, t)
+                        yield data, lost
+                        lost, last = 0, time.monotonic()
+            except TimeoutError:
+                ended = time.monotonic() - last >= self.seconds / 2  # quiet, not lost
+            except (urllib.error.URLError, ConnectionError) as e:
+                if failures >= TRIES:
+                    raise ConnectionError(f"lost the connection {failures + 1} times in a row") from e
+            else:
+                ended = ended or not got  # the server has no more
+            if ended:
+                break
+            lost += 1
+            failures = 0 if got else failures + 1
+            time.sleep(wait(failures, random.random()))
+        if lost:
+            yield None, lost
+
+    def _request(self, since: float) -> urllib.request.Request:
         at = datetime.fromtimestamp(since, timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
         joint = "&" if "?" in self.url else "?"
-        request = urllib.request.Request(f"{self.url}{joint}since={urllib.parse.quote(at)}", headers={"Accept": "text/event-stream"})
-        end = time.monotonic() + self.seconds
-        try:
-            with urllib.request.urlopen(request, timeout=self.seconds) as response:
-                self.failures = 0
-                for data in messages(response):
-                    rows.append((data,))
-                    since = max(since, seen_at(data, since))
-                    if time.monotonic() > end:
-                        break
-        except (urllib.error.URLError, TimeoutError, ConnectionError):
-            if not rows:
-                time.sleep(wait(self.failures, random.random()))
-                self.failures += 1
-        return iter(rows), {"since": since, "seen": start.get("seen", 0) + len(rows)}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        """After a failure: the messages from start that are not later than end."""
-        rows, _ = self.read(start)
-        return (r for r in rows if seen_at(r[0], end["since"]) <= end["since"])
+        return urllib.request.Request(f"{self.url}{joint}since={urllib.parse.quote(at)}", headers={"Accept": "text/event-stream"})
 
 
 class Sse(DataSource):
@@ -95,7 +126,7 @@ class Sse(DataSource):
         return "sse"
 
     def schema(self) -> str:
-        return "value string"
+        return "value string, reconnects int"
 
-    def simpleStreamReader(self, schema) -> Reader:
+    def streamReader(self, schema) -> Reader:
         return Reader(dict(self.options))

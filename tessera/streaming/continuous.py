@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import store
 from ..operators.engine import Engine
 from ..plans.errors import QueryError
-from ..plans.presets import PRESETS
+from ..plans.presets import preset
 
 #: Seconds between two runs, after an error, and at most; a run that takes longer than SLOW waits ten times as long.
 TICK, AFTER_ERROR, MOST, SLOW = 1.0, 2.0, 5.0, 0.25
@@ -176,11 +176,12 @@ class Session:
 
     def feed(self, at: float | None = None) -> Feed:
         table = self.engine.tables[self.table]
+        table.refresh(at)
         now = at if at is not None else table.now()
         rows = store.recent(table, self.feed_rows, self.feed_human_only).select(*table.columns).collect()
         figures = store.stats(table, now, min(self.started, now)).first().asDict()
         try:
-            found = self.engine.run(PRESETS["headline"].sql(table=self.table), now).collect()
+            found = self.engine.run(preset("headline", table=self.table), now).collect()
             headline = dict(zip(found.columns, found.rows[0], strict=True))
         except QueryError:
             headline = None

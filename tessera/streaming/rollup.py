@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sketches as S
 
-#: Seconds of a bucket, buckets kept, registers of the users' sketch.
-BUCKET, KEPT, USERS_P = 60, 180, 11
+#: Seconds of a bucket, buckets kept, registers of the users' sketch, titles that a bucket's sketch follows.
+BUCKET, KEPT, USERS_P, TITLES = 60, 180, 11, 1024
 
 
 def rollup(edits: DataFrame, time: str = "ts", bucket: int = BUCKET) -> DataFrame:
@@ -23,13 +23,18 @@ def rollup(edits: DataFrame, time: str = "ts", bucket: int = BUCKET) -> DataFram
         F.sum(F.greatest(-F.col("delta"), F.lit(0))).alias("bytes_removed"),
         S.distinct_sketch(user, USERS_P).alias("users"),
         S.quantile_sketch(F.col("delta").cast("double")).alias("deltas"),
+        S.frequent_sketch("nullif(title, '')", TITLES).alias("titles"),
     )
 
 
+def top_titles(rollups: DataFrame, n: int = 40) -> DataFrame:
+    """(bucket, title, estimate, rank): the n titles of each bucket that its sketch puts first, ties by title."""
+    found = rollups.select("bucket", F.explode(S.frequent("titles", n)).alias("t")).select("bucket", F.col("t.item").alias("title"), F.col("t.count").alias("estimate"))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("estimate"), F.asc("title"))))
+
+
 def titles(edits: DataFrame, time: str = "ts", bucket: int = BUCKET, n: int = 40) -> DataFrame:
     """The n most edited titles of each bucket, exactly: (bucket, title, count, rank)."""
-    from pyspark.sql import Window
-
     start = F.window(F.col(time).cast("timestamp"), f"{bucket} seconds")["start"]
     counts = edits.where("title <> ''").groupBy(start.alias("bucket"), "title").agg(F.count(F.lit(1)).alias("count"))
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("count"), F.asc("title")))
@@ -54,6 +59,7 @@ def merged(rollups: DataFrame, seconds: int) -> DataFrame:
         *[F.sum(c).alias(c) for c in ("events", "bots", "anons", "bytes_added", "bytes_removed")],
         S.merged_distinct("users").alias("users"),
         S.merged_quantiles("deltas").alias("deltas"),
+        S.merged_frequent("titles", TITLES).alias("titles"),
     ).withColumnRenamed("longer", "bucket")
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.sources.edits import decode, filled, looks_like_address, normalised
-from tessera.sources.sse import Reader, Sse, messages, seen_at, wait
+from tessera.sources.sse import Reader, Span, Sse, messages, seen_at, wait
 
 
 def raw(**more):
@@ -70,7 +70,7 @@ def test_zero_fill(spark):
 
 def test_messages():
     lines = [b": hello\n", b"event: message\n", b"id: 1\n", b"data: a\n", b"data:b\n", b"\n", b"\n", b"data: c\r\n", b"\r\n", b"data: end"]
-    assert list(messages(iter(lines))) == ["a\nb", "c", "end"]
+    assert list(messages(iter(lines))) == ["a\nb", "c"]  # what the end cuts off is no message
 
 
 def test_waits_grow_to_half_a_minute():
@@ -83,9 +83,14 @@ def test_times_of_messages():
 
 class Feed(BaseHTTPRequestHandler):
     asked: list[str] = []
+    breaks = 0
 
     def do_GET(self):
         Feed.asked.append(self.path)
+        if Feed.breaks > 0:
+            Feed.breaks -= 1
+            self.connection.close()
+            return
         self.send_response(200)
         self.send_header("Content-Type", "text/event-stream")
         self.end_headers()
@@ -97,19 +102,38 @@ class Feed(BaseHTTPRequestHandler):
 
 
 @pytest.fixture
-def feed():
+def feed(monkeypatch):
+    monkeypatch.setattr("tessera.sources.sse.wait", lambda failures, chance: 0.01)
     server = HTTPServer(("127.0.0.1", 0), Feed)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     yield f"http://127.0.0.1:{server.server_port}/stream"
     server.shutdown()
 
 
-def test_reader_resumes_from_the_last_time(feed):
+def test_ranges_are_read_in_parts():
+    r = Reader({"url": "u", "partseconds": "60"})
+    spans = [(x.since, x.until) for x in r.partitions({"ms": 0}, {"ms": 150_000})]
+    assert spans == [(0, 60_000), (60_000, 120_000), (120_000, 150_000)] and r.partitions({"ms": 5}, {"ms": 5}) == []
+    assert 80_000 < r.latestOffset()["ms"] - r.initialOffset()["ms"] < 100_000
+
+
+def test_reader_goes_on_from_the_last_time(feed):
+    r = Reader({"url": feed, "readseconds": "1"})
+    rows = list(r.read(Span(1_600_000_000_000, 1_800_000_000_000)))
+    assert len({x for x, _ in rows}) == 4 and rows[-1] == (None, 1) or len({x for x, _ in rows if x}) == 3
+    assert "since=2020-09-13T12%3A26%3A40.000Z" in Feed.asked[0] and "since=2023-11-14T22%3A13%3A22.000Z" in Feed.asked[-1]
+    assert len(list(r.read(Span(1_600_000_000_000, 1_699_999_999_000)))) == 1  # a little beyond the end
+
+
+def test_lost_connections_are_counted_and_tried_again(feed):
     r = Reader({"url": feed, "readseconds": "1"})
-    rows, offset = r.read({"since": 1600000000.0})
-    assert len(list(rows)) == 3 and offset == {"since": 1700000002.0, "seen": 3}
-    assert "since=2020-09-13T12%3A26%3A40.000Z" in Feed.asked[-1]
-    assert len(list(r.readBetweenOffsets({"since": 1.0}, {"since": 1700000001.0}))) == 2
+    Feed.breaks = 2
+    rows = list(r.read(Span(1_600_000_000_000, 1_800_000_000_000)))
+    assert rows[0][1] == 2 and sum(n for _, n in rows) >= 2
+    Feed.breaks = 100
+    with pytest.raises(ConnectionError):
+        list(r.read(Span(1_600_000_000_000, 1_800_000_000_000)))
+    Feed.breaks = 0
 
 
 def test_stream_of_messages(spark, feed, tmp_path):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera import Engine, Table
 from tessera.functions import sketches as S
 from tessera.operators import store
-from tessera.plans.presets import PRESETS
+from tessera.plans.presets import PRESETS, preset
 from tessera.sources.edits import decode, filled, from_events
 from tessera.streaming import rollup
 from tessera.streaming.continuous import AFTER_ERROR, ContinuousQuery, Failure, Feed, Message, Session, applied, changes_between, difference
@@ -60,6 +60,20 @@ def test_rollup(spark):
     assert whole.agg(F.sum("events")).first()[0] == 3
 
 
+def test_rollup_titles(spark):
+    df = edits(spark, [{"title": t, "t": 60 * i} for i, t in enumerate("aaabbc")] + [{"title": ""}] * 9 + [{"title": "b", "t": 700}])
+    day = rollup.merged(rollup.rollup(df), 86400)
+    assert [(r["title"], r["estimate"], r["rank"]) for r in rollup.top_titles(day, 2).orderBy("rank").collect()] == [("a", 3, 1), ("b", 3, 2)]
+    assert rollup.top_titles(rollup.rollup(df.where("title = ''"))).count() == 0
+
+
+def test_candidates_recover_the_top(spark):
+    skewed = spark.range(50_000).select(F.concat(F.lit("page"), F.floor(F.pow(F.rand(11), 3) * 2000)).alias("x"))
+    true = {r["x"] for r in S.heavy_hitters(skewed, "x", 10).collect()}
+    got = S.candidates(skewed, "x", 10, 256).collect()
+    assert len(true & {r["x"] for r in got}) >= 8 and [r["estimate"] for r in got] == sorted((r["estimate"] for r in got), reverse=True)
+
+
 def test_distinct_sketch(spark):
     for n in (100, 10_000):
         ids = spark.range(n).select(F.concat(F.lit("item"), "id").alias("x"))
@@ -161,14 +175,17 @@ def test_feed_messages(spark):
 def test_presets_run(spark):
     df = from_events(spark.createDataFrame([(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), i % 9, "click", float(i), "{}") for i in range(200)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"))
     e = Engine({"edits": Table(df, "ts", "event_id", hidden=("event_id",))})
-    for p in PRESETS.values():
-        rows = e.run(p.sql()).collect()
-        assert rows.elapsed_ms < 10_000 and rows.columns, p.id
+    for name, sql in PRESETS.items():
+        rows = e.run(sql).collect()
+        assert rows.elapsed_ms < 10_000 and rows.columns, name
+    assert preset("headline", "7d", "t").split()[-4:] == ["FROM", "t", "WINDOW", "7d"] and len(PRESETS) == 12
 
 
 def test_ids_bring_duplicates_out(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 4)], "id string, n long")
-    assert deduplicated(df, False).count() == 3
+    assert deduplicated(df, False).count() == 3 and deduplicated(df, False).columns == ["id", "n"]
+    lines = spark.createDataFrame([(json.dumps(raw(meta={"id": i})),) for i in ("", "", "x", "x")], "value string")
+    assert deduplicated(decode(lines), False).count() == 3
 
 
 def test_line_figures(spark):
@@ -176,21 +193,90 @@ def test_line_figures(spark):
     assert line_figures(df).first()["received"] == 3 and decode(df).where("bad").count() >= 1
 
 
+def write(folder, name, events):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("\n".join(x if isinstance(x, str) else json.dumps(x) for x in events))
+
+
+def run(spark, tmp_path, figures, **more):
+    q = ingest(spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path / "in")), str(tmp_path / "edits"), str(tmp_path / "cp"), rollups=str(tmp_path / "rollups"), stats=figures, trigger={"availableNow": True}, **more)
+    q.awaitTermination(120)
+    return status(q, figures)
+
+
 def test_ingest(spark, tmp_path):
     now = time.time()
-    source, out, rolled = (str(tmp_path / x) for x in ("in", "edits", "rollups"))
-    (tmp_path / "in").mkdir()
-    events = [raw(timestamp=now - i, meta={"id": f"e{i % 40}", "uri": "u"}) for i in range(50)] + [raw(timestamp=now, meta={"uri": "u"})] * 2 + [raw(type="categorize")]
-    (tmp_path / "in" / "a.json").write_text("\n".join([*map(json.dumps, events), "{ no JSON"]))
+    events = [raw(timestamp=now - i, meta={"id": f"e{i % 40}", "uri": "u"}) for i in range(50)] + [raw(timestamp=now, meta={"uri": "u"}), raw(timestamp=now, meta={"uri": "u", "id": ""})] + [raw(type="categorize", meta={"id": "c"})]
+    write(tmp_path / "in", "a.json", [*events, "{ no JSON"])
     figures = Stats()
-    q = ingest(spark.readStream.text(source), out, str(tmp_path / "cp"), rollups=rolled, stats=figures, trigger={"availableNow": True})
-    q.awaitTermination(120)
-    seen = status(q, figures)
-    assert (seen["received"], seen["parse_errors"], seen["kept"], seen["connected"], seen["last_error"]) == (54, 1, 42, False, None)
-    (tmp_path / "in" / "b.json").write_text(json.dumps(raw(timestamp=now, meta={"id": "e1", "uri": "u"})) + "\n" + json.dumps(raw(timestamp=now, meta={"id": "new", "uri": "u"})))
-    q = ingest(spark.readStream.text(source), out, str(tmp_path / "cp"), rollups=rolled, stats=figures, trigger={"availableNow": True})
-    q.awaitTermination(120)
-    assert figures.kept == 43 and figures.median_lag < 60
-    e = Engine({"edits": live_table(spark, out, lambda: now)})
-    assert e.run("SELECT count(*) FROM edits WINDOW 15m").collect().rows == [(43,)]
-    assert rollup.read(spark, rolled).agg(F.sum("events")).first()[0] == 43
+    seen = run(spark, tmp_path, figures)
+    assert (seen["received"], seen["parse_errors"], seen["kept"], seen["connected"], seen["last_error"], seen["reconnects"]) == (54, 1, 42, False, None, 0)
+    # an id counts as seen whatever kind of event had it; late and future events stay
+    ids = ["e1", "c", "new", "late", "future"]
+    write(tmp_path / "in", "b.json", [raw(timestamp={"late": now - 800, "future": now + 99999}.get(i, now), meta={"id": i, "uri": "u"}) for i in ids])
+    write(tmp_path / "in", "c.json", [raw(timestamp=now, meta={"id": "after"})])
+    seen = run(spark, tmp_path, figures)
+    assert figures.kept == 46 and seen["received"] == 60 and seen["median_lag"] < 60 and not seen["backfilling"]
+    e = Engine({"edits": live_table(spark, str(tmp_path / "edits"), lambda: now)})
+    assert e.run("SELECT count(*) FROM edits WINDOW 15m").collect().rows == [(46,)]
+    assert rollup.read(spark, str(tmp_path / "rollups")).agg(F.sum("events")).first()[0] == 46
+    assert store.stats(e.tables["edits"], now).first()["total_ingested"] == 46
+
+
+def test_subscriptions_see_what_is_ingested_later(spark, tmp_path):
+    now, clock, sent = time.time(), [0.0], []
+    table = live_table(spark, str(tmp_path / "edits"), lambda: now)
+    s = Session(Engine({"edits": table}), sent.append, lambda: clock[0], "edits")
+    assert s.subscribe("n", "SELECT lang, count(*) AS n FROM edits GROUP BY lang")
+    s.tick()
+    assert sent[0].rows == [] and sent[1].rows == []
+    figures = Stats()
+    for k, name in enumerate(("a.json", "b.json")):
+        write(tmp_path / "in", name, [raw(timestamp=now - i, meta={"id": f"{name}{i}"}) for i in range(5)])
+        run(spark, tmp_path, figures)
+        clock[0] += 100
+        sent.clear()
+        s.tick()
+        change, feed = sent
+        assert change.changes[0].row == ("en", 5 * (k + 1)) and len(feed.rows) == 5 * (k + 1) and feed.stats["total_ingested"] == 5 * (k + 1)
+
+
+def test_old_rows_and_files_are_dropped(spark, tmp_path, monkeypatch):
+    from tessera.streaming import parts
+
+    monkeypatch.setattr(parts, "MANY", 4)
+    now, figures = time.time(), Stats()
+    at = [now]
+    table = live_table(spark, str(tmp_path / "edits"), lambda: at[0], rows=50)
+    for k in range(8):
+        write(tmp_path / "in", f"{k}.json", [raw(timestamp=at[0] - 1, meta={"id": f"{k}-{i}"}) for i in range(20)])
+        run(spark, tmp_path, figures, rows=70, clock=lambda: at[0])
+        at[0] += 100
+    files = parts.Files(spark, str(tmp_path / "edits"))
+    newest = files.newest()
+    assert 70 <= newest.rows < 160 and newest.ingested == 160 and len(newest.parts) <= 5
+    table.refresh()
+    assert table.df.count() == 50 and table.df.agg(F.min("_arrival") > 0).first()[0] and table.ingested == 160
+    assert len([x for x in (tmp_path / "edits").iterdir() if not x.name.startswith("_")]) <= len(newest.parts) + len(newest.dropped) < 9
+    write(tmp_path / "in", "z.json", [raw(timestamp=now + 10_000, meta={"id": "z"})])
+    at[0] = now + 10_000
+    run(spark, tmp_path, figures, clock=lambda: at[0])
+    table.refresh()
+    assert table.df.count() == 1 and files.newest().rows == 1
+
+
+def test_a_batch_tried_again_counts_once(spark, tmp_path):
+    from tessera.streaming.parts import Files, Manifest, Part
+
+    files = Files(spark, str(tmp_path / "t"))
+    files.commit(Manifest(3, 10, [Part("batch=3", 10, 0.0, 1.0, 3)]))
+    files.commit(Manifest(4, 15, [Part("batch=3", 10, 0.0, 1.0, 3), Part("batch=4", 5, 1.0, 2.0, 4)]))
+    assert files.newest().ingested == 15 and files.newest(before=4).ingested == 10 and files.newest(before=3).rows == 0
+
+
+def test_groups_brought_to_the_driver_are_bounded(spark):
+    df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
+    r = Engine({"t": Table(df, None, "k")}).run("SELECT k, sum(v) AS s FROM t GROUP BY k ORDER BY k DESC")
+    few = r.collect(most=10)
+    assert [x for x, _ in few.rows] == list(range(999, 989, -1)) and few.truncated and "10 groups" in few.notes[-1]
+    assert len(r.collect().rows) == 1000 and not r.collect().notes

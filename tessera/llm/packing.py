@@ -8,6 +8,11 @@ sequences as possible; new patterns are priced by a knapsack dynamic program
 until none improves it (column generation). Patterns are used a whole number of
 times; the few items left over are packed best-fit. Documents, ranked within
 their length by distributed prefix sums, take the patterns' places in order.
+
+Documents that come in an order, as in training, keep it: the order is cut into
+bands, each with a histogram and patterns of its own, and in a band the
+patterns take turns, so that documents of all lengths proceed together.
+Sequences are numbered along the order.
 """
 
 from __future__ import annotations
@@ -22,8 +27,9 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut
 
@@ -31,8 +37,13 @@ from .common import cut
 LENGTH, GRID = 2048, 8
 #: Column generation ends when its bound shows at most this share of sequences more than the program's least.
 GAP = 1e-3
+#: Ranges of the documents' order that are ranked on their own at most; bands of it with their own patterns at most,
+#: the least pieces of a band, and turns of a band's patterns.
+RANGES, BANDS, BAND, TURNS = 1024, 32, 1000, 32
 #: The id that ends a document.
 END = 1
+#: What is told of a piece.
+PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
 #: The tokenizer's file, and the same vocabulary as ranks, which encodes faster.
 VOCABULARY, RANKS = (public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken"))
 #: Texts with none of these have the same ids by either file: letters outside Latin and rare spaces may be classed by other Unicode tables, and special tokens be read as such.
@@ -58,9 +69,12 @@ def token_ids(text: str, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> np
     return np.array([*ids, END], "<u4")
 
 
-def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens) of the pieces of each document, cut at multiples of ``length``."""
-    chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order: Column | None = None, length: int = LENGTH, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, place) of the pieces of each document, cut at multiples of ``length``.
+
+    ``place`` is the document's ``order``, a number; without one, documents are in the order of a hash of their pieces.
+    """
+    chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.lit(None) if order is None else order).cast("long").alias("place"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,9 +86,11 @@ def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lengt
                     part = ids[start : start + length]
                     for column, x in zip(rows, (d, start, len(part), zlib.crc32(part), len(ids)), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(rows[0], pa.int64())), *(pa.array(x, pa.int64()) for x in rows[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            of = pa.array(rows[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(of), *(pa.array(x, pa.int64()) for x in rows[1:]), b["place"].take(of)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "place"])
 
-    return chosen.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    found = chosen.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, place long")
+    return found if order is not None else found.withColumn("place", F.xxhash64("doc_id", "start"))
 
 
 def best_pattern(value: np.ndarray, size: np.ndarray, room: int) -> np.ndarray:
@@ -156,36 +172,83 @@ def _best_fit(left: dict[int, int], room: int) -> list[tuple[dict[int, int], int
     return out
 
 
-def pack(cut_pieces: DataFrame, *, length: int = LENGTH, grid: int = GRID) -> DataFrame:
-    """The pieces with their sequence_id and offset. Pieces of equal length and content may stand for each other; no pieces give no rows."""
+class Plan:
+    """Which sequence the piece of a class and rank goes to, for all bands: blocks (first rank, pieces a sequence, first sequence, place in it)."""
+
+    def __init__(self, demand: dict[tuple[int, int], int], room: int, turns: int) -> None:
+        blocks: list[tuple[int, int, int, int]] = []
+        sequence = 0
+        self.classes = room + 1
+        for band in sorted({b for b, _ in demand}):
+            need = {c: n for (b, c), n in sorted(demand.items()) if b == band}
+            patterns = cutting_stock(list(need), list(need.values()), room)
+            filled = dict.fromkeys(need, 0)
+            for turn in range(turns):
+                for pattern, times in patterns:
+                    times = times * (turn + 1) // turns - times * turn // turns
+                    if times:
+                        for place, (c, k) in enumerate(sorted(pattern.items(), reverse=True)):
+                            blocks.append((self.key(band, c, filled[c]), k, sequence, place))
+                            filled[c] += k * times
+                        sequence += times
+        self.first, self.each, self.sequence, self.place = (np.array(x, np.int64) for x in zip(*sorted(blocks), strict=True)) if blocks else (np.zeros(0, np.int64),) * 4
+
+    def key(self, band, c, rank):
+        """One number in the order of band, class and rank."""
+        return (band * self.classes + c << 44) + rank
+
+    def find(self, band: np.ndarray, c: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sequence, place in it) of pieces by their rank among those of a band and class."""
+        key = self.key(band, c, rank)
+        at = np.searchsorted(self.first, key, "right") - 1
+        return self.sequence[at] + (key - self.first[at]) // self.each[at], self.place[at]
+
+
+def pack(cut_pieces: DataFrame, *, ordered: bool = False, length: int = LENGTH, grid: int = GRID) -> DataFrame:
+    """The pieces with their sequence_id and offset; if ``ordered``, sequence_id rises along ``place``, band by band.
+
+    Pieces of equal length and content may stand for each other; no pieces give
+    no rows. The driver sees a number for each band and length on the grid.
+    """
     sized = cut_pieces.withColumn("class", F.ceil(F.col("length") / grid).cast("int"))
-    demand = {r["class"]: r["count"] for r in sized.groupBy("class").count().collect()}  # at most length / grid rows
-    classes = sorted(demand)
-    blocks: dict[int, list[tuple[int, int, int, int]]] = {c: [] for c in classes}
-    filled = dict.fromkeys(classes, 0)
-    sequence = 0
-    for pattern, times in cutting_stock(classes, [demand[c] for c in classes], length // grid):
-        for place, (c, k) in enumerate(sorted(pattern.items(), reverse=True)):
-            blocks[c].append((filled[c], k, sequence, place))
-            filled[c] += k * times
-        sequence += times
-    table = cut_pieces.sparkSession.createDataFrame(list(blocks.items()), "class int, blocks array<struct<first:long,each:long,sequence:long,place:int>>")
-
-    digits = max(1, math.ceil(math.log2(max(2, sum(demand.values()))) / 8))  # 16 ** digits buckets, about the square root of all rows
-    hashed = sized.withColumn("h", F.md5(F.concat_ws(":", "doc_id", "start").cast("binary"))).withColumn("bucket", F.substring("h", 1, digits))
-    within = Window.partitionBy("class", "bucket").orderBy("h", "doc_id", "start", "ids_crc32", "doc_tokens")
-    earlier = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = hashed.groupBy("class", "bucket").count().select("class", "bucket", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
-    ranked = hashed.withColumn("n", F.row_number().over(within) - 1).join(before, ["class", "bucket"]).withColumn("rank", F.col("before") + F.col("n"))
-
-    placed = ranked.join(F.broadcast(table), "class")  # a row for each length on the grid
-    block = F.element_at(F.filter("blocks", lambda b: b["first"] <= F.col("rank")), -1)
-    placed = placed.withColumn("block", block).withColumn("sequence_id", F.col("block.sequence") + F.floor((F.col("rank") - F.col("block.first")) / F.col("block.each")).cast("long"))
-    inside = Window.partitionBy("sequence_id").orderBy("block.place", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most ``length`` rows
+    total = sized.count()
+    ranges = min(RANGES, max(1, math.isqrt(total)))
+    cuts = np.array((sized.agg(F.percentile_approx("place", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10_000)).alias("c")).first()["c"] if ranges > 1 else None) or [], np.int64)
+    bands = min(BANDS, max(1, total // BAND)) if ordered else 1
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bucket = np.searchsorted(cuts, b["place"].to_numpy(zero_copy_only=False), "right")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bucket.astype(np.int32)), pa.array((bucket * bands // ranges).astype(np.int32))], [*b.schema.names, "bucket", "band"])
+
+    divided = sized.mapInArrow(divide, T.StructType([*sized.schema, T.StructField("bucket", T.IntegerType()), T.StructField("band", T.IntegerType())]))
+    counts = cut(divided.groupBy("band", "class", "bucket").agg(F.count("*").alias("n")))
+    demand = {(r["band"], r["class"]): r["n"] for r in counts.groupBy("band", "class").agg(F.sum("n").alias("n")).collect()}  # at most BANDS * length / grid rows
+    plan = Plan(demand, length // grid, TURNS if ordered else 1)
+
+    within = Window.partitionBy("class", "bucket").orderBy("place", "doc_id", "start", "ids_crc32", "doc_tokens")
+    earlier = Window.partitionBy("band", "class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+    before = counts.select("class", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    ranked = divided.withColumn("n", F.row_number().over(within) - 1).join(before, ["class", "bucket"]).withColumn("rank", F.col("before") + F.col("n"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sequence, at = plan.find(*(b[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("band", "class", "rank")))
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in PIECE), b["rank"], pa.array(sequence), pa.array(at)], [*PIECE, "rank", "sequence_id", "at"])
+
+    kind = cut_pieces.schema["doc_id"].dataType.simpleString()
+    placed = ranked.select(*PIECE, "band", "class", "rank").mapInArrow(place, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, rank long, sequence_id long, at long")
+    inside = Window.partitionBy("sequence_id").orderBy("at", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most ``length`` rows
     placed = placed.withColumn("offset", F.sum("length").over(inside) - F.col("length"))
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return placed.select(*PIECE, "sequence_id", "offset")
 
 
 def packed(docs: DataFrame, **options) -> DataFrame:
-    """Pieces of all documents with their places. Null and empty texts are one END token; repeated rows are documents of their own; other columns are not read."""
-    return pack(cut(pieces(docs, **options)), length=options.get("length", LENGTH))
+    """Pieces of all documents with their places, along ``order`` if it is given.
+
+    Null and empty texts are one END token; long texts are cut into pieces;
+    repeated rows are documents of their own, and where they are alike in all
+    that is returned, may stand for each other; no documents give no rows;
+    other columns are not read.
+    """
+    return pack(cut(pieces(docs, **options)), ordered=options.get("order") is not None, length=options.get("length", LENGTH))

@@ -34,8 +34,8 @@ def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import curriculum
 
     mixed = curriculum(read(spark, sf_dir, "documents"))
-    first = F.when(F.size("positions") > 0, F.element_at("positions", 1))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position")).orderBy("first_position", "doc_id").drop("first_position")
+    first, last = (F.round(F.when(F.size("positions") > 0, F.element_at("positions", k)), 6) for k in (1, -1))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"), last.alias("last_position")).orderBy("first_position", "doc_id")
 
 
 ORACLES["op4_curriculum_mix"] = rf"""
@@ -48,13 +48,20 @@ m AS (SELECT *, total - 3 * coalesce(s_up, 0) AS rest, w_all - coalesce(w_up, 0)
 l AS (SELECT max_by(rest, shares) AS rest, max(shares) AS shares FROM m WHERE w * rest <= 3 * source_size * shares),
 t AS (SELECT m.source, m.source_size, m.total, m.w,
         CASE WHEN m.w * l.rest > 3 * m.source_size * l.shares THEN (3 * m.source_size)::DOUBLE ELSE l.rest::DOUBLE / l.shares * m.w END AS target FROM m, l),
-c AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS whole,
+c AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS whole,
         (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING))::BIGINT - d.size AS place
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-n AS (SELECT *, CASE WHEN size > 0 AND whole > place THEN ceil((whole - place)::DOUBLE / source_size)::BIGINT ELSE 0 END AS copies FROM c)
+n AS (SELECT *, CASE WHEN size > 0 AND whole > place THEN ceil((whole - place)::DOUBLE / source_size)::BIGINT ELSE 0 END AS copies FROM c),
+-- shares go in a straight line from a to 2 * share - a, a being nearer to the natural share, both at least 0
+a AS (SELECT source, source_size::DOUBLE / sum(source_size) OVER () - target / sum(target) OVER () AS away, target / sum(target) OVER () AS share, sum(target) OVER () AS words FROM t),
+k AS (SELECT *, least(1.0, min(CASE WHEN away <> 0 THEN share / abs(away) END) OVER ()) AS step FROM a),
+z AS (SELECT source, words, share + step * away AS a, ((share - step * away) - (share + step * away)) / 2 AS bend FROM k),
+y AS (SELECT n.*, z.a, z.bend, place / greatest(z.words, 1.0) AS need1, ((copies - 1) * n.source_size + place) / greatest(z.words, 1.0) AS need2 FROM n JOIN z ON n.source IS NOT DISTINCT FROM z.source)
 SELECT doc_id, size, source_size, target,
-  CASE WHEN copies > 0 THEN (copies - 1) * size + least(size, whole - (copies - 1) * source_size - place) ELSE 0 END AS taken
-FROM n"""
+  CASE WHEN copies > 0 THEN (copies - 1) * size + least(size, whole - (copies - 1) * source_size - place) ELSE 0 END AS taken,
+  CASE WHEN copies > 0 THEN round(CASE WHEN need1 <= 0 THEN 0 ELSE 2 * need1 / (a + sqrt(greatest(a * a + 4 * bend * need1, 0))) END, 6) END AS first_position,
+  CASE WHEN copies > 0 THEN round(CASE WHEN need2 <= 0 THEN 0 ELSE 2 * need2 / (a + sqrt(greatest(a * a + 4 * bend * need2, 0))) END, 6) END AS last_position
+FROM y"""
 
 
 @query

@@ -203,6 +203,40 @@ def test_padding_is_little(spark):
     assert sum(r["length"] for r in rows) / (sequences * packing.LENGTH) > 0.98
 
 
+def test_plan_holds_every_rank():
+    """Ranks of all bands and classes go to sequences with room for them, in order of their bands."""
+    r = random.Random(3)
+    demand = {(b, c): r.randrange(1, 300) for b in range(3) for c in r.sample(range(1, 65), 20)}
+    plan = packing.Plan(demand, 64, 8)
+    room, last = collections.Counter(), -1
+    for b in range(3):
+        band = np.concatenate([np.full(n, c) for (x, c), n in demand.items() if x == b])
+        rank = np.concatenate([np.arange(n) for (x, _), n in demand.items() if x == b])
+        sequence, place = plan.find(np.full(len(band), b), band, rank)
+        for q, c in zip(sequence.tolist(), band.tolist(), strict=True):
+            room[q] += c
+        assert sequence.min() > last and (np.diff(sequence[band == band[0]]) >= 0).all()
+        last = sequence.max()
+    alone = [packing.cutting_stock(*zip(*sorted((c, n) for (x, c), n in demand.items() if x == b), strict=True), 64) for b in range(3)]
+    assert max(room.values()) <= 64 and len(room) <= sum(times for patterns in alone for _, times in patterns)
+
+
+def test_sequences_follow_the_order(spark):
+    """Short texts come first in training and long ones last: sequence_id rises with the place, and padding stays little."""
+    n = 6000
+    texts = [(i * 7919 % n, prose(i, random.Random(i).randrange(1, 60 + i // 20)), i) for i in range(n)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, at long").repartition(5)
+    rows = packing.packed(df, order=F.col("at")).collect()
+    sequences = check_packed(rows, [x[:2] for x in texts])
+    assert sum(r["length"] for r in rows) / (sequences * packing.LENGTH) > 0.98
+    at = {d: i for d, _, i in texts}
+    x, y = np.array([at[r["doc_id"]] for r in rows]), np.array([r["sequence_id"] for r in rows])
+    order = np.argsort(y, kind="stable")
+    assert np.corrcoef(np.argsort(np.argsort(x, kind="stable")), np.argsort(np.argsort(y, kind="stable")))[0, 1] > 0.97
+    ends = [x[order][k : k + len(x) // 20].mean() for k in range(0, len(x) - len(x) // 20, len(x) // 20)]
+    assert ends == sorted(ends)
+
+
 # ---- pipeline
 
 
@@ -232,6 +266,28 @@ def test_stages(spark, docs, texts, tmp_path):
     assert corpus_pipeline.pack(spark, docs, sf).columns[:2] == ["doc_id", "start"]
 
 
+def test_sequences_follow_training(spark, tmp_path):
+    """What the mix puts early is in early sequences: positions are kept by the files between the stages."""
+    rows = [(i, prose(i, random.Random(i).randrange(1, 400)), "en", f"s{i % 4 if i % 7 else 0}", 0) for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    at = collections.defaultdict(list)
+    for r in mixing.curriculum(docs).collect():
+        at[r["doc_id"]] += r["positions"]
+    corpus_pipeline.mix(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    order = [r["doc_id"] for r in mixed.select("doc_id", corpus_pipeline.written(mixed).alias("o")).orderBy("o").collect()]
+    assert order == [d for _, d in sorted((p, d) for d, ps in at.items() for p in ps)]
+    got = corpus_pipeline.pack(spark, mixed, "").collect()
+    once = {d: ps[0] for d, ps in at.items() if len(ps) == 1}
+    x, y = zip(*[(once[r["doc_id"]], r["sequence_id"]) for r in got if r["doc_id"] in once], strict=True)
+    ranks = [np.argsort(np.argsort(np.array(v), kind="stable")) for v in (x, y)]
+    assert len(x) > 500 and np.corrcoef(*ranks)[0, 1] > 0.95
+    sequences = len({r["sequence_id"] for r in got})
+    assert sum(r["length"] for r in got) / (sequences * packing.LENGTH) > 0.97
+    assert corpus_pipeline.written(docs.select("doc_id").limit(3).union(docs.select("doc_id"))) is None
+
+
 def test_stages_on_nothing(spark, empty, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for name, stage in corpus_pipeline.STAGES:

@@ -7,8 +7,9 @@ UTF-8 bytes of a whole Arrow batch at once.
 
 from __future__ import annotations
 
-import os
+import shutil
 import tempfile
+import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -133,15 +134,28 @@ def n_words(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir`` of the session.
+
+    Only on a single machine, where none is set, as in tests, a temporary
+    folder is used; on a cluster that would lose data, so it is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the cluster's shared checkpoint folder and go on from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is
-    set, as in tests on one machine, a temporary folder is used.
+    The files go with the DataFrame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -171,15 +185,25 @@ def bounded_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
 
 
 def with_package(spark: SparkSession) -> None:
-    """Let Python workers on this machine import this package where the session's own path doesn't hold it, and hand them few rows at a time.
+    """Send this package to the Python workers, and hand them few rows at a time.
 
-    Installed packages come first. A batch is in memory several times, in the
-    executor and in the worker, and texts may be long.
+    Executors fetch a zip file from Spark, once a session, and need no path of
+    the driver's. A batch is in memory several times, in the executor and in
+    the worker, and texts may be long; so the session's batches of Arrow rows
+    are made smaller, and stay so.
     """
-    root = str(Path(__file__).resolve().parents[2])
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), root])
+    context = spark.sparkContext
+    if not getattr(context, "_tessera_sent", False):
+        package = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        made = f"{folder}/tessera_package.zip"
+        with zipfile.ZipFile(made, "w") as z:
+            for f in sorted(package.rglob("*")):
+                if f.suffix in (".py", ".txt"):
+                    z.write(f, f.relative_to(package.parent))
+        context.addPyFile(made)  # Spark keeps a copy of its own, which it serves
+        shutil.rmtree(folder)
+        context._tessera_sent = True
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 

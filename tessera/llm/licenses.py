@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTES, _OF_BYTE, LOWER, Texts, slices
+from .common import _BYTES, _OF_BYTE, LOWER, Texts, cut, slices, small
 
 #: Names of licences by identifier, and the forms of a notice.
 NAMES = {
@@ -320,7 +320,8 @@ def matches(t: Texts, like: Likeness) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def scan(docs: DataFrame, path: Column, *, doc_id: str = "doc_id", text: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, texts: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(doc_id, path, own_license, similarity, license_file), in two passes without a shuffle of texts.
 
-    Null and empty texts have no notice. Licence texts and headers come before
+    Null and empty texts have no notice, long ones are scanned whole, repeated
+    rows get equal results, no rows give no rows. Licence texts and headers come before
     notices, and notices that name a licence before reserved rights; of equally
     alike ones the first counts, of templates the first by name. ``texts`` are
     ``licence_texts()`` unless given. Other columns are not read.
@@ -345,18 +346,19 @@ def scan(docs: DataFrame, path: Column, *, doc_id: str = "doc_id", text: str = "
 def inherit(scanned: DataFrame) -> DataFrame:
     """The scanned files with ``license`` and ``license_dir``: their own, or that of the nearest directory above.
 
-    Directories, not files, are joined with those above them: a directory with
-    a third of all files counts once. Of several licence files in a directory
-    the first by path holds. A null path has no directory.
+    Directories, not files, are joined with those above them, and only those
+    with a licence above come back to the files, by broadcast where they are
+    few: a directory with a third of all files counts once. Of several licence
+    files in a directory the first by path holds, of several rows of it the
+    first licence by name. Repeated rows get equal results. A null path has no
+    directory; no rows give no rows.
     """
-    files = scanned.withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    files = cut(scanned.withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1)))
     holds = files.where("license_file AND own_license IS NOT NULL AND path IS NOT NULL").groupBy("dir").agg(F.min(F.struct("path", "own_license")).alias("m")).select(F.col("dir").alias("above"), F.col("m.own_license").alias("dir_license"))
     dirs = files.where("path IS NOT NULL").select("dir").distinct()
     parts = F.split("dir", "/")
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("above"))
-    nearest = above.join(holds, "above").groupBy("dir").agg(F.max_by(F.struct("above", "dir_license"), F.length("above")).alias("m")).select("dir", F.col("m.above").alias("license_dir"), "m.dir_license")
-    out = files.join(nearest, "dir", "left")
+    nearest = cut(above.join(holds, "above").groupBy("dir").agg(F.max_by(F.struct("above", "dir_license"), F.length("above")).alias("m")).select("dir", F.col("m.above").alias("license_dir"), "m.dir_license"))
+    out = files.join(small(nearest, nearest.count()), "dir", "left")
     own = F.col("own_license").isNotNull()
     return out.select("doc_id", "path", "own_license", "similarity", "license_file", F.coalesce("own_license", "dir_license").alias("license"), F.when(~own, F.col("license_dir")).alias("license_dir"))
-
-

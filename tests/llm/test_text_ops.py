@@ -385,6 +385,93 @@ def test_cosines_against_plain(spark):
         assert got == 0 if want < licenses.LIKE else abs(got - want) < 1e-9
 
 
+MARKS = "\"'()*,.:;<>[]{}!?#/-_=+|&%$"
+
+
+def plain_words(text):
+    """(term, line, sentence) of each word that is more than marks."""
+    out, line, sentence = [], 0, 0
+    for m in re.finditer(r"[^\x20\x09-\x0D]+|\n", text):
+        if m[0] == "\n":
+            line += 1
+            continue
+        w = m[0]
+        while len(w) > 1 and w[0] in MARKS:
+            w = w[1:]
+        while len(w) > 1 and w[-1] in MARKS:
+            w = w[:-1]
+        if len(w) > 1 or w not in MARKS:
+            out.append((w.lower(), line, sentence))
+        sentence += m[0][-1] in ".!?"
+    return out
+
+
+def plain_scan(texts, notices, bodies):
+    """The best licence, its cosine and whether the text is a licence file, by comparing every stretch with every template."""
+    flat = [(n, plain_words(x)) for d in (notices, bodies) for n in sorted(d) for x in d[n]]
+    vectors = [(n, collections.Counter(w for w, _, _ in ws), len(ws)) for n, ws in flat]
+    count = sum(map(len, notices.values()))
+    known = {w for _, v, _ in vectors for w in v}
+    has = [{w for w, _, _ in plain_words(t or "")} for t in texts]
+    idf = {w: math.log((1 + len(texts)) / (1 + sum(w in h for h in has))) + 1 for w in known}
+    rare = math.log(1 + len(texts)) + 1
+
+    def cosine(words, k):
+        v, u = collections.Counter(words), vectors[k][1]
+        size = sum((c * idf[w]) ** 2 if w in known else c * rare**2 for w, c in v.items())
+        return round(sum(c * u[w] * idf[w] ** 2 for w, c in v.items() if w in u) / math.sqrt(size * sum((c * idf[w]) ** 2 for w, c in u.items())), 9)
+
+    out = []
+    for t in texts:
+        ws = plain_words(t or "")
+        term = [w for w, _, _ in ws]
+        spans = [(a, b, range(count)) for of in (1, 2) for a, b in ((min(x), max(x) + 1) for x in ([i for i, w in enumerate(ws) if w[of] == n] for n in {w[of] for w in ws}))]
+        for n in {vectors[k][2] for k in range(count)}:
+            spans += [(a, a + n, [k for k in range(count) if vectors[k][2] == n]) for a in range(len(ws) - n + 1)]
+        for k in range(count, len(vectors)):
+            n = vectors[k][2]
+            spans += [(a, min(a + n, len(ws)), [k]) for a in sorted({*range(0, max(0, len(ws) - n) + 1, max(1, n // 16)), max(0, len(ws) - n)}) if ws]
+        best, inside = (-1, 0.0, 0, None), set()
+        for a, b, which in spans:
+            like, k = max((cosine(term[a:b], k), -k) for k in which)
+            if like >= licenses.LIKE:
+                name = vectors[-k][0]
+                inside |= set(range(a, b))
+                best = max(best, (2 if -k >= count else int(name != "Proprietary"), like, -a, name), key=lambda x: x[:3])
+        out.append((best[3], round(best[1], 6), bool(ws) and len(inside) >= licenses.MOSTLY * len(ws)))
+    return out
+
+
+def test_scan_against_plain(spark):
+    """Random texts of pieces of notices and licence texts, whole, cut, commented and broken over lines, among other words."""
+    r = random.Random(21)
+    notices = {k: licenses.TEMPLATES[k] for k in ("MIT", "GPL-3.0", "GPL-2.0", "CC-BY-4.0", "Proprietary")}
+    bodies = {"MIT": (licenses.HEADERS["MIT"],), "MPL-2.0": (licenses.HEADERS["MPL-2.0"],), "GPL-3.0": (licenses.HEADERS["GPL-3.0"],)}
+    every = [x for d in (notices, bodies) for v in d.values() for x in v]
+    texts = [None, "", "the license", "### // ..."]
+    for i in range(60):
+        parts = []
+        for _ in range(r.randrange(1, 5)):
+            w = r.choice(every).split() if r.random() < 0.6 else prose(500 + i, r.randrange(1, 30)).split()
+            if r.random() < 0.4:
+                w = w[r.randrange(len(w)) :]
+            if r.random() < 0.4:
+                w.insert(r.randrange(len(w) + 1), r.choice(["any", "//", "the"]))
+            parts.append(r.choice([" ", "\n", "\n# ", " * "]).join(w) if r.random() < 0.3 else " ".join(w))
+        texts.append(r.choice(["\n", " ", ". "]).join(parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x for x in licenses.scan(df, F.lit("a/b"), templates=notices, texts=bodies).collect()}
+    want = plain_scan(texts, notices, bodies)
+    assert [(got[i]["own_license"], got[i]["similarity"], got[i]["license_file"]) for i in range(len(texts))] == want
+    assert len({w[0] for w in want}) >= 6 and {w[2] for w in want} == {True, False}
+
+
+def test_inheritance_does_not_shuffle_files(spark):
+    df = spark.range(200).selectExpr("id AS doc_id", "concat('r/d', id % 3, '/', id) AS path", "if(id = 0, 'MIT', null) AS own_license", "0.0 AS similarity", "id = 0 AS license_file")
+    plan = licenses.inherit(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_licences_of_odd_documents(docs, empty):
     assert licenses.inherit(licenses.scan(docs, F.lit("a/b"))).count() == docs.count() and licenses.inherit(licenses.scan(empty, F.lit("a/b"))).count() == 0
 

@@ -96,6 +96,85 @@ def test_cutoffs_reject_junk_without_symbols_despite_odd_labels(spark):
     assert sum(not got[i]["kept"] for i in good) <= quality.RISK * len(good)
 
 
+def plain_cutoffs(rows, labels, group_of):
+    """The chosen cutoffs by the same protocol in plain Python; rows: id -> (text, stratum)."""
+    def steps(t):
+        w = WORD.findall(t)
+        n_chars, lines = sum(map(len, w)), [x for x in t.split("\n") if WORD.search(x)]
+        _, _, symbols, dup, repeat = brute_counts(t)
+        ratio = {
+            "symbols": (symbols, n_chars), "repeats": (repeat, len(w)), "lines": (dup, len(lines)), "upper": (sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in t), n_chars),
+            "marks": (t.count("!") + t.count("?"), n_chars), "same": (sum(a == b for a, b in zip(w, w[1:], strict=False)), len(w)),
+        }
+        return {r: -(-quality.GRID * a // b) if b else 0 for r, (a, b) in ratio.items()}
+
+    import zlib
+
+    first = {}
+    for i in sorted(i for i in labels if not (len(WORD.findall(rows[i][0])) < 10 or 100 * brute_counts(rows[i][0])[4] > 20 * len(WORD.findall(rows[i][0])))):
+        first.setdefault(group_of(i), i)
+    sets, out = {}, {}
+    strata = {rows[i][1] for i in first.values()}
+    halves = {h: {s: [(labels[i], steps(rows[i][0])) for i in first.values() if rows[i][1] == s and zlib.crc32(f"half{i}".encode()) % 2 == h] for s in strata} for h in (0, 1)}
+    proposing = {s: x for s, x in halves[0].items() if any(good for good, _ in x)}
+    for s, x in proposing.items():
+        good, bad = [v for g, v in x if g == 1], [v for g, v in x if g != 1]
+        last, sets[s] = dict.fromkeys(quality.RULES, quality.GRID), []
+        for level in quality.LEVELS:
+            stricter = {r: min([last[r], *(c for c in range(quality.GRID + 1) if sum(v[r] > c for v in good) <= level * len(good))]) for r in quality.RULES}
+            kept = [v for v in bad if all(v[r] <= last[r] for r in quality.RULES)]
+            more = {r: sum(v[r] > stricter[r] for v in kept) for r in quality.RULES}
+            for r in sorted(quality.RULES, key=lambda r: -more[r]):
+                if more[r]:
+                    last = last | {r: stricter[r]}
+                    sets[s].append(last)
+    for s in sets:
+        out[s] = {}
+        good = [v for g, v in halves[1][s] if g == 1]
+        for cutoffs in sets[s]:
+            k = sum(any(v[r] > c for r, c in cutoffs.items()) for v in good)
+            if not good or quality.binomial_upper(k, len(good), quality.ERROR / len(sets)) > quality.RISK:
+                break
+            out[s] = cutoffs
+    return out, steps
+
+
+def test_kept_against_plain(spark):
+    """Exact copies, near copies and repeated rows count once; the verdicts are those of a plain version."""
+    r = random.Random(9)
+    rows, labels, base = {}, {}, {}
+    for i in range(1400):
+        copy = i % 5 == 4 and i > 40
+        if copy:
+            base[i] = base[i - r.randrange(1, 30)]
+            w = rows[base[i]][0].split(" ")
+            if r.random() < 0.5:
+                w[r.randrange(len(w))] = f"x{i}"
+            rows[i] = (" ".join(w), rows[base[i]][1])
+            labels[i] = labels[base[i]]
+            continue
+        base[i] = i
+        bad = r.random() < 0.3
+        w = prose(3000 + i, 80).split(" ")
+        if bad or r.random() < 0.02:
+            for _ in range(r.randrange(1, 12)):
+                k = r.randrange(len(w))
+                w[k] = r.choice([w[k].upper(), w[k] + "#$", w[k - 1], w[k] + "!?", "\n" + w[k]])
+        rows[i] = (" ".join(w), ["en", "de", None, "few"][0 if i % 3 else i % 4])
+        labels[i] = int(not bad)
+    docs = spark.createDataFrame([(i, t, s) for i, (t, s) in rows.items()], "doc_id long, text string, lang string")
+    marked = spark.createDataFrame([x for x in labels.items() if x[0] % 9], "doc_id long, quality int")
+    measured = quality.measure(docs.union(docs.limit(200)))
+    found = {i: base[i] for i in labels}
+    assert quality.trials(measured.where("doc_id > -1").select("doc_id", "copy_keys")).count() == len(set(found.values()))
+    want, steps = plain_cutoffs(rows, {i: g for i, g in labels.items() if i % 9}, lambda i: found[i])
+    assert quality.fit(measured, marked) == want and any(want.values())
+    for x in quality.judge(docs, marked).collect():
+        t, s = rows[x["doc_id"]]
+        v = steps(t)
+        assert x["kept"] == (not x["base_failed"] and all(v[k] <= c for k, c in want.get(s, {}).items()))
+
+
 def test_no_labels_leave_the_base_rules(docs, empty, judged):
     none = judged[1].where("doc_id < -1")
     rows = quality.judge(docs, none).collect()

@@ -8,7 +8,6 @@ from the mix to the sequences as the order of the rows in the files between.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, ngram_join, packing, pii, quality
-from tessera.llm.common import cut, read, with_package
+from tessera.llm.common import cut, read, shared_folder, with_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -105,8 +104,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{k}-{name}"

@@ -368,18 +368,87 @@ def test_kernel():
     assert np.allclose(toxicity.kernel(words, words), [brute_kernel(w[:8].tolist(), w[:8].tolist()) for w in words])
 
 
-@pytest.fixture(scope="module")
-def model():
-    r = random.Random(5)
-    texts, toxic = [], []
-    for i in range(300):
+def insulted(n, seed=5):
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
         w = prose(i, 60).split()
         bad = i % 3 == 0
         for _ in range(4 * bad):
             w.insert(r.randrange(len(w)), r.choice(["idiot", "moron", "pathetic", "worthless"]))
-        texts.append(" ".join(w))
-        toxic.append(bad)
-    return toxicity.train(texts, np.array(toxic))
+        rows.append((i, bad, " ".join(w)))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return toxicity.fitted(spark.createDataFrame(insulted(300), "doc_id long, toxic boolean, text string"), toxicity.Settings())
+
+
+def test_near_copies_teach_once(spark):
+    rows = insulted(60)
+    copies = [(1000 + i, bad, t + " and") for i, bad, t in rows[:20]] + [(2000, False, prose(1, 30)), (2001, True, "a b"), (2002, True, "a b"), (2003, False, "")]
+    left = {r["doc_id"] for r in toxicity.apart(spark.createDataFrame(rows + copies, "doc_id long, toxic boolean, text string")).collect()}
+    assert left == {i for i, _, _ in rows} | {2000, 2001, 2003} - {2000 if prose(1, 60).startswith(prose(1, 30)) else -1}
+
+
+def test_cross_validation(spark):
+    """The better settings come first; folds are judged by models that have not seen them."""
+    texts = spark.createDataFrame(insulted(240), "doc_id long, toxic boolean, text string").cache()
+    found = toxicity.cross_validated(texts, [toxicity.Settings(), toxicity.Settings(least=0.999), toxicity.Settings(landmarks=1)], 3)
+    assert [x[1] for x in found] == sorted(x[1] for x in found) and found[0][2:] == (80, 0) and found[-1][0].landmarks == 1
+    nothing = texts.withColumn("toxic", F.col("doc_id") % 2 == 0)
+    assert toxicity.cross_validated(nothing, [toxicity.Settings()], 2)[0][3] <= 20
+
+
+def test_what_is_in_sight():
+    """Of words spoilt by gaps, insertions, losses and changes, hardly any that is like a landmark is out of sight of it."""
+    r = random.Random(31)
+    words = ["idiot", "moron", "pathetic", "worthless", "disgusting", "loser", "stupid", "garbage"]
+    landmarks = toxicity.codes([toxicity.START + w.encode() for w in words])
+    spoilt = []
+    for _ in range(4000):
+        w = list(r.choice(words) if r.random() < 0.8 else "".join(r.choice("abcdeghilmnoprstu") for _ in range(r.randrange(3, 12))))
+        for _ in range(r.randrange(4)):
+            k = r.randrange(len(w) + 1)
+            w[k : k + r.randrange(2)] = [r.choice("._*-aeiox"), ""][r.random() < 0.3]
+        spoilt.append(toxicity.START + "".join(w).encode()[:20] + toxicity.END)
+    rows = toxicity.codes(spoilt)
+    own, mine = toxicity.kernel(rows, rows), toxicity.kernel(landmarks, landmarks)
+    every = np.stack([toxicity.kernel(rows, landmarks[k : k + 1]) / np.sqrt(np.maximum(own, 1e-300) * mine[k]) for k in range(len(words))], 1)
+    like = every >= toxicity.Settings().least
+    bits = np.bitwise_or.reduce(np.where(rows > toxicity.END[0], toxicity._BIT[rows], 0), 1)
+    lost = like & ~(toxicity.in_sight(rows, landmarks) & toxicity.has_letters(bits, landmarks).T)
+    assert like.sum() > 1500 and lost.sum() < 0.01 * like.sum()
+    assert np.allclose(toxicity.likeness(rows, landmarks)[like & ~lost], every[like & ~lost])
+
+
+def test_scores_against_plain(model):
+    """Every word of a text against every landmark by the plain kernel, sentence by sentence."""
+    r = random.Random(17)
+    texts = [" ".join(r.choice(["idiot", "mo.ron", "patheticc", "the", "worthle-ss", "tin", "sol.", "mar!"]) for _ in range(r.randrange(1, 14))) for _ in range(12)]
+    lands = [x.tolist() for x in model.landmarks]
+    size = [brute_kernel(x[: max(np.flatnonzero(x)) + 1], x[: max(np.flatnonzero(x)) + 1]) for x in map(np.array, lands)]
+    want = []
+    for t in texts:
+        cosine = {}
+        place = 0
+        for w in t.split():
+            at = t.index(w, place)
+            place = at + len(w)
+            n = sum(c in ".!?\n" for c in t[: at + 1])
+            letters = [int(toxicity._CODE[c]) for c in w.encode()]
+            row = [1, *letters]
+            row[len(row) - next(i for i, c in enumerate(reversed(row)) if c) :] = [2]
+            own = brute_kernel(row, row)
+            near = toxicity.in_sight(np.array([row + [0] * (toxicity.WIDTH + 2 - len(row))], np.uint8), model.landmarks)[0]
+            for k, l in enumerate(lands):
+                l = l[: max(np.flatnonzero(l)) + 1]
+                if near[k] and own:
+                    cosine.setdefault(n, np.zeros(len(lands)))[k] = max(cosine.get(n, np.zeros(len(lands)))[k], brute_kernel(row, l) / math.sqrt(own * size[k]))
+        margins = sorted([float(model.settings.shaped(x) @ model.weights + model.bias) for x in cosine.values()] + [model.bias] * 2)[::-1][:2]
+        want.append(1 / (1 + math.exp(-min(30, max(-30, float(np.array(margins) @ model.slopes + model.shift))))))
+    assert np.allclose(score_of(model, texts), want)
 
 
 def score_of(model, texts):

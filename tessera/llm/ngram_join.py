@@ -16,17 +16,20 @@ Steps (x, y are classes of documents with equal sets; n is a set's size):
     with the least missing. Overlaps are summed over fragments.
 4.  Members whose link joins them to the leader's component need no further
     comparison with each other. Those left over are compared with the members
-    of other components, unless their sizes, their missing n-grams and what
-    each shares with and lacks of the leader's set leave too little for a link.
-
-So a group of near copies costs comparisons in proportion to its size, and no
-link between components is lost. 64-bit fingerprints stand for n-grams and
-sets.
+    of other components, unless their sizes, their missing n-grams, what each
+    shares with the leader, or their parities leave too little for a link: of
+    each of ``PARITIES`` parts of the order, whether the set has an odd number
+    of n-grams there. Sets differ in at least as many n-grams as parities.
+
+So a group of near copies costs comparisons in proportion to its size, documents
+of the same common passages are hardly ever compared, and no link between
+components is lost. 64-bit fingerprints stand for n-grams and sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +43,17 @@ from .components import components
 N, PERCENT = 5, 80
 #: Step 1 looks at the n-grams whose hash is in the first so many sixteenths: clearly more than a set may miss.
 LONE_SHARE = 5
-#: Fragments of the order in which overlaps are counted, and parts of each by which is told what two documents lack of a leader's set.
-FRAGMENTS, PARTS = 8, 8
+#: Fragments of the order in which overlaps are counted, and parts of the order whose parities are compared first.
+FRAGMENTS, PARITIES = 8, 1024
+
+
+class Links(NamedTuple):
+    """(doc_id, text_hash, n_shingles, cls) of each row, (a, b, shared) of the linked classes that were compared, (cls, component), and (a, b) of all that were compared."""
+
+    members: DataFrame
+    pairs: DataFrame
+    labels: DataFrame
+    compared: DataFrame
 
 
 def shingles(t: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +82,14 @@ def set_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix((sums[at[1:]] - sums[at[:-1]]) ^ (np.diff(at).astype(np.uint64) << np.uint64(40)))
 
 
+def parities(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each set has an odd number of n-grams in each part of the order, as bits of 64-bit numbers."""
+    n = len(at) - 1
+    part = np.repeat(np.arange(n) * PARITIES, np.diff(at)) + (h >> np.uint64(65 - PARITIES.bit_length())).astype(np.int64)
+    odd = (np.bincount(part, minlength=n * PARITIES) & 1).astype(bool).reshape(n, PARITIES)
+    return np.packbits(odd, axis=1, bitorder="little").view("<u8")
+
+
 def _scan(docs: DataFrame, keep: list[str], schema: str, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -80,8 +100,8 @@ def _scan(docs: DataFrame, keep: list[str], schema: str, make) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, pairs, labels): (doc_id, text_hash, n_shingles, cls) of each row, (a, b, shared) of the linked classes that were compared, (cls, component).
+def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Links:
+    """All links between documents, by classes and components.
 
     Empty and null texts have n_shingles 0 and cls null. Rows with equal sets,
     repeated rows too, are one class. Only the two named columns are read.
@@ -99,7 +119,8 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tup
         return pa.RecordBatch.from_arrays([pa.array(signed(h[low])), pa.array(cls[low])], ["h", "cls"])
 
     def whole_sets(h, at, _):
-        return pa.RecordBatch.from_arrays([pa.array(signed(set_keys(h, at))), lists(signed(h), np.diff(at))], ["cls", "hs"])
+        odd = parities(h, at)
+        return pa.RecordBatch.from_arrays([pa.array(signed(set_keys(h, at))), lists(signed(h), np.diff(at)), lists(signed(odd.ravel()), np.full(len(odd), odd.shape[1]))], ["cls", "hs", "odd"])
 
     members = cut(_scan(chosen.withColumn("text_hash", F.xxhash64("text")), ["doc_id", "text_hash"], f"doc_id {kind}, text_hash long, n_shingles long, cls long", stats))
     classes = members.where("cls IS NOT NULL").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"))
@@ -113,7 +134,7 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tup
     rows = able.count()
     reps = able.select(F.coalesce(F.col("rep").cast("string"), F.lit("")).alias("id")).distinct()
     texts = chosen.join(small(reps, rows), F.coalesce(F.col("doc_id").cast("string"), F.lit("")) == F.col("id"), "left_semi").select("text")
-    sets = cut(_scan(texts, [], "cls long, hs array<long>", whole_sets).join(small(able.select("cls", "n"), rows), "cls").dropDuplicates(["cls"]))
+    sets = cut(_scan(texts, [], "cls long, hs array<long>, odd array<long>", whole_sets).join(small(able.select("cls", "n"), rows), "cls").dropDuplicates(["cls"]))
     tokens = sets.select("cls", F.explode("hs").alias("h"))
     shared = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     ordered = tokens.join(shared, "h").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("common"))  # as long as one text
@@ -127,17 +148,10 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tup
 
     segments = known.select("cls", F.explode(F.array(*map(fragment, range(FRAGMENTS)))).alias("s")).select("cls", "s.f", "s.part")
 
-    def overlaps(pairs: DataFrame, lacks: bool = False) -> DataFrame:
-        """(a, b, shared, total) of pairs (a, b, total), the overlaps summed over fragments; with ``lacks`` how many of b's n-grams a lacks in each part of each fragment."""
+    def overlaps(pairs: DataFrame) -> DataFrame:
+        """(a, b, shared, total) of pairs (a, b, total), the overlaps summed over fragments."""
         parts = pairs.join(segments.select(F.col("cls").alias("a"), "f", F.col("part").alias("x")), "a").join(segments.select(F.col("cls").alias("b"), "f", F.col("part").alias("y")), ["b", "f"])
-        sums = [F.sum(F.size(F.array_intersect("x", "y"))).alias("shared"), F.first("total").alias("total")]
-        if lacks:
-            gone = F.transform(F.array_except("y", "x"), lambda h: F.shiftrightunsigned(h, 65 - FRAGMENTS.bit_length() - PARTS.bit_length() + 1) % PARTS)
-            tally = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda p: F.size(F.filter("gone", lambda g: g == p)).cast("short"))
-            parts = parts.withColumn("gone", gone).withColumn("tally", tally)
-            in_order = F.array_sort(F.collect_list(F.struct("f", "tally")))  # as many as there are fragments
-            sums.append(F.flatten(F.transform(in_order, lambda t: t["tally"])).alias("lacks"))
-        return parts.groupBy("a", "b").agg(*sums)
+        return parts.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("x", "y"))).alias("shared"), F.first("total").alias("total"))
 
     def most(a: str, b: str) -> Column:
         """The largest intersection that the missing n-grams leave."""
@@ -152,16 +166,19 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tup
     lead = prefix.groupBy("h").agg(F.min(F.struct((F.col("miss") / F.col("n")).alias("part"), "cls", "n", "miss")).alias("l")).select("h", "l.cls", "l.n", "l.miss")
     led = cut(prefix.alias("x").join(lead.alias("l"), "h").select("h", F.col("x.cls").alias("cls"), F.col("x.n").alias("n"), F.col("x.miss").alias("miss"), F.col("l.cls").alias("lead"), most("x", "l").alias("most"), total("x", "l").alias("total")))
     first = led.where(F.col("cls") != F.col("lead")).where((100 + PERCENT) * F.col("most") >= PERCENT * F.col("total"))
-    first = cut(overlaps(first.select(F.col("cls").alias("a"), F.col("lead").alias("b"), "total").distinct(), lacks=True))
+    first = cut(overlaps(first.select(F.col("cls").alias("a"), F.col("lead").alias("b"), "total").distinct()))
     labels = components(first.where(linked).select("a", "b"))
 
     # 4: those that no leader's component has, with the others
     def labelled(df: DataFrame, of: str, name: str) -> DataFrame:
         return df.join(labels.select(F.col("node").alias(of), F.col("component").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
 
-    known_shared = first.select(F.col("a").alias("cls"), F.col("b").alias("lead"), F.col("shared").alias("with_lead"), "lacks")
+    known_shared = first.select(F.col("a").alias("cls"), F.col("b").alias("lead"), F.col("shared").alias("with_lead"))
     spread = led.where(F.col("cls") != F.col("lead")).join(known_shared, ["cls", "lead"], "left")
-    spread = cut(labelled(labelled(spread, "cls", "own"), "lead", "led_by").select("h", "cls", "n", "miss", "with_lead", "lacks", "own", (F.col("own") != F.col("led_by")).alias("out")))
+    spread = cut(labelled(labelled(spread, "cls", "own"), "lead", "led_by").select("h", "cls", "n", "miss", "with_lead", "own", (F.col("own") != F.col("led_by")).alias("out")))
+    left_over = cut(spread.where("out").select("h").distinct())  # buckets with a member left over
+    odd = sets.select("cls", *[F.col("odd")[i].alias(f"odd{i}") for i in range(PARITIES // 64)])
+    spread = cut(spread.join(small(left_over, left_over.count()), "h", "left_semi").join(odd, "cls"))
 
     def inside(x: str) -> Column:
         return F.col(f"{x}.with_lead")
@@ -170,19 +187,19 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tup
         """Of x's n-grams that the leader hasn't, those that others have."""
         return F.col(f"{x}.n") - F.col(f"{x}.with_lead") - F.col(f"{x}.miss")
 
-    # what both share of the leader's: at most x's share without what y, by parts, surely lacks more of
-    surely = F.aggregate(F.zip_with("x.lacks", "y.lacks", lambda a, b: F.greatest(b - a, F.lit(0).cast("short"))), F.lit(0), lambda s, d: s + d)
-    loose, by_lead = F.least(inside("x"), inside("y")) + F.least(outside("x"), outside("y")), inside("x") - surely + F.least(outside("x"), outside("y"))
+    loose = F.least(inside("x"), inside("y")) + F.least(outside("x"), outside("y"))
     enough = lambda i: (100 + PERCENT) * i >= PERCENT * total("x", "y")
-    possible = F.when(inside("x").isNotNull() & inside("y").isNotNull(), enough(loose) & enough(by_lead)).otherwise(enough(most("x", "y")))
+    differ = sum((F.bit_count(F.col(f"x.odd{i}").bitwiseXOR(F.col(f"y.odd{i}"))) for i in range(PARITIES // 64)), F.lit(0))
+    possible = ((100 + PERCENT) * differ <= (100 - PERCENT) * total("x", "y")) & F.when(inside("x").isNotNull() & inside("y").isNotNull(), enough(loose)).otherwise(enough(most("x", "y")))
     second = spread.where("out").alias("x").join(spread.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.own") != F.col("y.own")) & (~F.col("y.out") | (F.col("x.cls") < F.col("y.cls"))) & possible)
     second = second.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), total("x", "y").alias("total")).distinct()
     second = cut(overlaps(second))
     pairs = first.where(linked).select("a", "b", "shared").union(second.where(linked).select("a", "b", "shared"))
+    compared = first.select("a", "b").union(second.select("a", "b"))
     more = second.where(linked).select("a", "b")
     if more.isEmpty():
-        return members, pairs, labels.select(F.col("node").alias("cls"), "component")
-    return members, pairs, components(pairs.select("a", "b")).select(F.col("node").alias("cls"), "component")
+        return Links(members, pairs, labels.select(F.col("node").alias("cls"), "component"), compared)
+    return Links(members, pairs, components(pairs.select("a", "b")).select(F.col("node").alias("cls"), "component"), compared)
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -191,7 +208,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     Texts without words are components of their own; so are rows whose id is
     null unless linked. An empty table gives no rows.
     """
-    members, _, labels = links(docs, doc_id=doc_id, text=text)
+    members, _, labels, _ = links(docs, doc_id=doc_id, text=text)
     known = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     groups = known.join(labels, "cls", "left").where("rows > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "cls"))
     least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -208,7 +225,7 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     columns hash lowest. No rows give no rows. Texts are shuffled only if the
     rows that go are too many to be broadcast.
     """
-    members, _, labels = links(docs, doc_id=doc_id, text=text)
+    members, _, labels, _ = links(docs, doc_id=doc_id, text=text)
     found = cut(members.join(labels, "cls", "left").select("doc_id", "text_hash", F.coalesce("component", "cls").alias("component")))
     first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first"))
     gone = found.join(first, "component").where("NOT (doc_id <=> first.doc_id AND text_hash = first.text_hash)")

@@ -141,7 +141,7 @@ def test_join_on_near_copies(spark, seed):
 
 def test_links_are_exact(spark):
     texts = [(i, prose(3, 100).replace(" ", f" x{i} ", 1) if i else prose(3, 100)) for i in range(5)]
-    _, pairs, _ = ngram_join.links(spark.createDataFrame(texts, "doc_id long, text string"))
+    pairs = ngram_join.links(spark.createDataFrame(texts, "doc_id long, text string")).pairs
     by = dict(sets(texts))
     sizes = {tuple(sorted((len(x & y)) for _ in "a")) for i, x in by.items() for j, y in by.items() if i < j}
     assert {(p["shared"],) for p in pairs.collect()} <= sizes and pairs.count() >= 4
@@ -197,5 +197,32 @@ def test_pairs_in_a_large_group_stay_few(spark):
         for k in r.sample(range(len(w)), 3 if i else 0):
             w[k] = f"y{i}_{k}"
         texts.append((i, " ".join(w)))
-    _, pairs, labels = ngram_join.links(spark.createDataFrame(texts, "doc_id long, text string"))
-    assert labels.select(F.count_distinct("component")).first()[0] == 1 and labels.count() == 150 and pairs.count() < 1000
+    _, pairs, labels, compared = ngram_join.links(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert labels.select(F.count_distinct("component")).first()[0] == 1 and labels.count() == 150 and pairs.count() <= compared.count() < 1000
+
+
+def test_common_passages_cost_few_pairs(spark):
+    """Documents of passages from one pool, none linked: twice the documents may not cost many more pairs."""
+    pool = [prose(700 + i, 20).replace("\n", " ") for i in range(40)]
+    seen = []
+    for n in (400, 800):
+        r = random.Random(2)
+        texts = [(i, " ".join(r.sample(pool, 5))) for i in range(n)]
+        found = ngram_join.links(spark.createDataFrame(texts, "doc_id long, text string").repartition(4))
+        by = [s for _, s in sets(texts)]
+        want = {(i, j) for i in range(n) for j in range(i) if 100 * len(by[i] & by[j]) >= 80 * len(by[i] | by[j])}
+        assert found.pairs.count() <= len(want)
+        seen.append(found.compared.count())
+    assert seen[1] <= 3 * seen[0] and seen[1] < 8 * 800, seen
+
+
+def test_parities_bound_the_difference():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    for size in (3, 50, 400, 3000):
+        a, b = (np.unique(r.integers(0, 1 << 64, size, np.uint64)) for _ in "ab")
+        b = np.unique(np.r_[b[: size // 4], a])
+        h, at = np.r_[a, b], np.array([0, len(a), len(a) + len(b)])
+        odd = ngram_join.parities(h, at)
+        assert odd.shape == (2, ngram_join.PARITIES // 64) and 0 < np.bitwise_count(odd[0] ^ odd[1]).sum() <= len(np.setxor1d(a, b)) or size < 8

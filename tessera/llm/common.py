@@ -7,6 +7,7 @@ UTF-8 bytes of a whole Arrow batch at once.
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import zipfile
@@ -201,8 +202,8 @@ def with_package(spark: SparkSession) -> None:
             for f in sorted(package.rglob("*")):
                 if f.suffix in (".py", ".txt"):
                     z.write(f, f.relative_to(package.parent))
-        context.addPyFile(made)  # Spark keeps a copy of its own, which it serves
-        shutil.rmtree(folder)
+        context.addPyFile(made)  # the driver serves it from here
+        atexit.register(shutil.rmtree, folder, True)
         context._tessera_sent = True
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .webp import MOST_SIDE, decode, encode_grey
 
@@ -51,7 +52,12 @@ def feature(flat: np.ndarray, width: int, height: int) -> str:
 
 
 def store(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): each text's bytes, filled with spaces to whole rows, as a picture. Null texts count as empty."""
+    """(doc_id, n_bytes, media): each text's bytes, filled with spaces to whole rows, as a picture.
+
+    Null texts count as empty, and an empty text is one row of spaces; long
+    texts become several pictures; equal texts give equal media, whatever their
+    ids; no rows give no rows; other columns are not read.
+    """
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
 
@@ -64,8 +70,13 @@ def store(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def load(stored: DataFrame, *, media: str = "media") -> DataFrame:
-    """The rows with width, height, the pixel array (``pixels``, a byte a sample) and ``feature``. Null media give nulls."""
-    schema = stored.schema.simpleString()[7:-1]
+    """The rows with width, height, the pixel array (``pixels``, a byte a sample) and ``feature``, in place of columns of these names.
+
+    Null media give nulls; equal media give equal values; no rows give no rows; other columns may have any name.
+    """
+    made = [T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("pixels", T.BinaryType()), T.StructField("feature", T.StringType())]
+    kept = [f for f in stored.schema if f.name.lower() not in {m.name for m in made}]
+    names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -78,6 +89,6 @@ def load(stored: DataFrame, *, media: str = "media") -> DataFrame:
                 for column, v in zip(rows, found, strict=True):
                     column.append(v)
             more = [pa.array(r, kind) for r, kind in zip(rows, (pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "width", "height", "pixels", "feature"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), *more], [*names, *(m.name for m in made)])
 
-    return stored.mapInArrow(run, schema.replace(":", " ") + ", width int, height int, pixels binary, feature string")
+    return stored.select(*[f"`{c}`" for c in names]).mapInArrow(run, T.StructType([*kept, *made]))

@@ -1,4 +1,4 @@
-"""Lossless WebP (VP8L): a decoder for the whole format and an encoder for 8-bit grey samples.
+"""Lossless WebP (VP8L): a decoder for the whole format, and encoders for ARGB pixels and for 8-bit grey samples.
 
 Written from the public specification of the WebP lossless bitstream. Pixels
 are ARGB in 32-bit unsigned numbers.
@@ -270,6 +270,8 @@ def _one_channel(bits: Bits, codes: list[Code], width: int, out: np.ndarray) ->
             add(p)
             p += step
         n = min(len(places), total - at)
+        if n < len(places):
+            p = places[n]  # what follows the image looks like literals
         if n:
             out[at : at + n] = symbols[places[:n]].astype(np.uint32) << np.uint32(8) | rest
             at += n
@@ -298,13 +300,14 @@ def _average(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _select(left: np.ndarray, top: np.ndarray, corner: np.ndarray) -> np.ndarray:
     guess = left + top - corner
-    return left if np.abs(guess - left).sum() < np.abs(guess - top).sum() else top
+    near = np.abs(guess - left).sum(-1, keepdims=True) < np.abs(guess - top).sum(-1, keepdims=True)
+    return np.where(near, left, top)
 
 
 def predict(mode: int, left: np.ndarray, top: np.ndarray, right: np.ndarray, corner: np.ndarray) -> np.ndarray:
-    """The prediction of a pixel's four channels (as integers) from those before it."""
+    """The predictions of pixels' four channels (as integers, in the last axis) from those before them."""
     if mode == 0 or mode > 13:
-        return np.array([0, 0, 0, 255])
+        return np.broadcast_to(np.array([0, 0, 0, 255]), top.shape)
     if mode == 11:
         return _select(left, top, corner)
     if mode == 12:
@@ -313,28 +316,50 @@ def predict(mode: int, left: np.ndarray, top: np.ndarray, right: np.ndarray, cor
         mean = _average(left, top)
         return np.clip(mean + np.trunc((mean - corner) / 2).astype(np.int64), 0, 255)
     return (
-        left, top, right, corner,
-        _average(_average(left, right), top), _average(left, corner), _average(left, top),
-        _average(corner, top), _average(top, right), _average(_average(left, corner), _average(top, right)),
-    )[mode - 1]
+        lambda: left, lambda: top, lambda: right, lambda: corner,
+        lambda: _average(_average(left, right), top), lambda: _average(left, corner), lambda: _average(left, top),
+        lambda: _average(corner, top), lambda: _average(top, right), lambda: _average(_average(left, corner), _average(top, right)),
+    )[mode - 1]()
+
+
+def _guesses(mode: int, p: np.ndarray) -> np.ndarray:
+    """Predictions by one mode of all pixels but the first row and column of whole pictures (height, width, 4)."""
+    right = np.concatenate([p[:-1, 2:], p[1:, :1]], 1)  # beyond the row's end is the next row's first pixel
+    return predict(mode, p[1:, :-1], p[:-1, 1:], right, p[:-1, :-1])
 
 
 def _unpredict(pixels: np.ndarray, width: int, height: int, block: int, modes: np.ndarray) -> np.ndarray:
-    """Add predictions to residuals; rows depend on those above, pixels on those to the left."""
+    """Add predictions to residuals.
+
+    The first row and column come first. A pixel needs those to its left and,
+    in the row above, up to one to its right. So all pixels with the same
+    x + 2y can be found at once, after those with less.
+    """
     p = _channels(pixels.reshape(height, width)).astype(np.int64)
     across = (width + (1 << block) - 1) >> block
-    for y in range(height):
-        row = p[y]
-        if y == 0:
-            row[0] = (row[0] + np.array([0, 0, 0, 255])) & 255
-            row[:] = np.cumsum(row, 0) & 255
-            continue
-        up = p[y - 1]
-        row[0] = (row[0] + up[0]) & 255
-        for x in range(1, width):
-            mode = int(modes[(y >> block) * across + (x >> block)])
-            right = up[x + 1] if x + 1 < width else row[0]  # beyond the row's end is this row's first pixel
-            row[x] = (row[x] + predict(mode, row[x - 1], up[x], right, up[x - 1])) & 255
+    p[0, 0] += [0, 0, 0, 255]
+    p[0] = p[0].cumsum(0) & 255
+    p[:, 0] = p[:, 0].cumsum(0) & 255
+    if height == 1 or width == 1:
+        return np.ascontiguousarray(p.astype(np.uint8)).view(np.uint32).ravel()
+    used = np.unique(modes)
+    if len(used) == 1 and used[0] in (0, 1, 2):  # plain sums along rows or columns
+        if used[0] == 0 or used[0] > 13:
+            p[1:, 1:] += [0, 0, 0, 255]
+        elif used[0] == 1:
+            p[1:] = p[1:].cumsum(1)
+        else:
+            p[:, 1:] = p[:, 1:].cumsum(0)
+        return np.ascontiguousarray((p & 255).astype(np.uint8)).view(np.uint32).ravel()
+    for t in range(3, width - 1 + 2 * (height - 1) + 1):
+        y = np.arange(max(1, -(-(t - width + 1) // 2)), min(height - 1, (t - 1) // 2) + 1)
+        x = t - 2 * y
+        mode = modes[(y >> block) * across + (x >> block)]
+        left, top, corner = p[y, x - 1], p[y - 1, x], p[y - 1, x - 1]
+        right = np.where((x + 1 < width)[:, None], p[y - 1, np.minimum(x + 1, width - 1)], p[y, 0])
+        for m in np.unique(mode).tolist():
+            of = np.flatnonzero(mode == m)
+            p[y[of], x[of]] = (p[y[of], x[of]] + predict(m, left[of], top[of], right[of], corner[of])) & 255
     return np.ascontiguousarray(p.astype(np.uint8)).view(np.uint32).ravel()
 
 
@@ -519,25 +544,211 @@ def _copies(data: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+def _entropy(values: np.ndarray, alphabet: int = 256) -> float:
+    """Bits that the values need at least, each coded on its own."""
+    n = np.bincount(values, minlength=alphabet)
+    n = n[n > 0]
+    return float(-(n * np.log2(n / n.sum())).sum())
+
+
+def _cost(channels: np.ndarray) -> float:
+    return sum(_entropy(channels[..., k].ravel()) for k in range(4))
+
+
+def _predicted(p: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(residuals, mode of each block) of channels (height, width, 4): in each block the mode with the least residuals."""
+    height, width = p.shape[:2]
+    whole = p.astype(np.int64)
+    out = whole.copy()
+    out[0, 1:] -= whole[0, :-1]
+    out[1:, 0] -= whole[:-1, 0]
+    out[0, 0] -= [0, 0, 0, 255]
+    across, down = (width + (1 << block) - 1) >> block, (height + (1 << block) - 1) >> block
+    modes = np.zeros((down, across), np.int64)
+    if height > 1 and width > 1:
+        rest = np.stack([(whole[1:, 1:] - _guesses(m, whole)) & 255 for m in range(14)])
+        size = np.minimum(rest, 256 - rest).sum(-1)
+        y, x = np.arange(1, height) >> block, np.arange(1, width) >> block
+        total = np.zeros((14, down, across), np.int64)
+        for m in range(14):
+            np.add.at(total[m], (y[:, None], x[None, :]), size[m])
+        modes = total.argmin(0)
+        out[1:, 1:] = np.take_along_axis(rest, modes[y[:, None], x[None, :]][None, :, :, None], 0)[0]
+    return (out & 255).astype(np.uint8), modes
+
+
+def _multiplier(to: np.ndarray, by: np.ndarray) -> int:
+    """The multiplier (of a thirty-second) by which ``by`` tells most of ``to``, both signed."""
+    square = float((by * by).sum())
+    return int(np.clip(round(32 * float((to * by).sum()) / square), -128, 127)) if square else 0
+
+
+def _crossed(p: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(channels, multipliers of each block): red and blue without what green, and blue without what red tells of them."""
+    height, width = p.shape[:2]
+    out = p.copy()
+    down, across = (height + (1 << block) - 1) >> block, (width + (1 << block) - 1) >> block
+    factors = np.zeros((down, across, 4), np.uint8)
+    factors[..., 3] = 255
+    for j in range(down):
+        for i in range(across):
+            part = (slice(j << block, (j + 1) << block), slice(i << block, (i + 1) << block))
+            blue, green, red = (p[part][..., k].view(np.int8).astype(np.int64) for k in range(3))
+            to_red, to_blue = _multiplier(red, green), _multiplier(blue, green)
+            left = (blue - ((to_blue * green) >> 5)).astype(np.int8).astype(np.int64)
+            red_to_blue = _multiplier(left, red)
+            out[part + (2,)] = (red - ((to_red * green) >> 5)) & 255
+            out[part + (0,)] = (left - ((red_to_blue * red) >> 5)) & 255
+            factors[j, i, :3] = [to_red & 255, to_blue & 255, red_to_blue & 255]
+    return out, factors
+
+
+def _hits(pixels: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the colour cache, whether the pixel is there) of each pixel."""
+    place = ((pixels * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    sorted_, colour = place[order], pixels[order]
+    hit = np.zeros(len(pixels), bool)
+    hit[order[1:]] = (sorted_[1:] == sorted_[:-1]) & (colour[1:] == colour[:-1])
+    # an empty place holds a pixel of four zeros
+    first = order[np.r_[True, sorted_[1:] != sorted_[:-1]]] if len(order) else order
+    hit[first] = pixels[first] == 0
+    return place, hit
+
+
+def _best_cache(pixels: np.ndarray) -> int:
+    """The size of the colour cache, as a power of two, for which the codes need least; 0 without."""
+    c = _channels(pixels)
+    costs = {0: _cost(c)}
+    for bits in (2, 4, 6, 8, 10):
+        place, hit = _hits(pixels, bits)
+        first = np.where(hit, LITERALS + LENGTHS + place, c[:, 1])
+        costs[bits] = _entropy(first, LITERALS + LENGTHS + (1 << bits)) + sum(_entropy(c[~hit, k]) for k in (0, 2, 3) if (~hit).any()) + 4 * min(1 << bits, hit.sum())
+    return min(costs, key=lambda b: (costs[b], b))
+
+
+def _coded(head: Writer, pixels: np.ndarray, main: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Write the codes of an entropy-coded image; (values, sizes) of its pixels' bits."""
+    c = _channels(pixels)
+    cache_bits = _best_cache(pixels) if main else 0
+    head.add(1 if cache_bits else 0, 1)
+    if cache_bits:
+        head.add(cache_bits, 4)
+    if main:
+        head.add(0, 1)  # one group of codes
+    first, hit = c[:, 1].astype(np.int64), np.zeros(len(pixels), bool)
+    if cache_bits:
+        place, hit = _hits(pixels, cache_bits)
+        first = np.where(hit, LITERALS + LENGTHS + place, first)
+    alphabet = LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0)
+    values, sizes = np.zeros((len(pixels), 4), np.int64), np.zeros((len(pixels), 4), np.int64)
+    for k, (column, n) in enumerate(((first, alphabet), *((c[~hit, j].astype(np.int64), 256) for j in (2, 0, 3)))):
+        tally = np.bincount(column, minlength=n) if len(column) else np.array([1])
+        used = {int(s): int(tally[s]) for s in np.flatnonzero(tally)}
+        if len(used) == 1 and next(iter(used)) > 255:  # a lone symbol is written in eight bits
+            used |= {0: 0}
+        words = head.code(used, n)
+        value, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for s, (v, m) in words.items():
+            value[s], size[s] = v, m
+        of = np.ones(len(pixels), bool) if k == 0 else ~hit
+        values[of, k], sizes[of, k] = value[column], size[column]
+    head.simple(0)  # no distances
+    return values.ravel(), sizes.ravel()
+
+
+def _add(head: Writer, values: np.ndarray, sizes: np.ndarray) -> None:
+    for v, n in zip(values.tolist(), sizes.tolist(), strict=True):
+        if n:
+            head.add(v, n)
+
+
+def _start(width: int, height: int) -> Writer:
+    head = Writer()
+    head.add(SIGNATURE, 8)
+    head.add(width - 1, 14)
+    head.add(height - 1, 14)
+    head.add(1, 1)
+    head.add(0, 3)
+    return head
+
+
+def _file(head: Writer, values: np.ndarray, sizes: np.ndarray) -> bytes:
+    has = sizes > 0
+    body = _packed(values[has], sizes[has], head) if has.any() else head.value.to_bytes(-(-head.size // 8), "little")
+    body += b"\0" * (len(body) & 1)
+    return b"RIFF" + (len(body) + 12).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body
+
+
+def encode(pixels: np.ndarray, block: int = 4) -> bytes:
+    """A WebP file of ARGB pixels (height, width).
+
+    Predictors, cross-colour and subtract-green are used where the channels
+    need fewer bits after them, the colour cache where its codes need fewer.
+    """
+    height, width = pixels.shape
+    head = _start(width, height)
+    c = _channels(np.ascontiguousarray(pixels, np.uint32))
+    rest, modes = _predicted(c, block)
+    if _cost(rest) + 4 * modes.size < _cost(c):
+        head.add(1 | PREDICTOR << 1, 3)
+        head.add(block - 2, 3)
+        _add(head, *_coded(head, (modes.ravel() << 8).astype(np.uint32), False))
+        c = rest
+    crossed, factors = _crossed(c, block)
+    if _cost(crossed) + 24 * factors.shape[0] * factors.shape[1] < _cost(c):
+        head.add(1 | CROSS_COLOUR << 1, 3)
+        head.add(block - 2, 3)
+        _add(head, *_coded(head, factors.reshape(-1).view(np.uint32), False))
+        c = crossed
+    green = c.copy()
+    green[..., 0] -= c[..., 1]
+    green[..., 2] -= c[..., 1]
+    if _cost(green) < _cost(c):
+        head.add(1 | SUBTRACT_GREEN << 1, 3)
+        c = green
+    head.add(0, 1)  # the transforms end
+    values, sizes = _coded(head, np.ascontiguousarray(c).view(np.uint32).ravel(), True)
+    return _file(head, values, sizes)
+
+
+def _flat_mode(rows: np.ndarray) -> tuple[int, np.ndarray] | None:
+    """(mode, residuals) of grey rows if the pixel to the left or above tells so much of each that it needs less than three quarters of the bits."""
+    best = 0.75 * _entropy(rows.ravel())
+    out = None
+    for mode, axis in ((1, 1), (2, 0)) if best else ():
+        rest = np.diff(rows, axis=axis, prepend=np.uint8(0))
+        rest[0], rest[1:, 0] = np.diff(rows[0], prepend=np.uint8(0)), np.diff(rows[:, 0])
+        if (bits := _entropy(rest.ravel())) < best:
+            best, out = bits, (mode, rest)
+    return out
+
+
 def encode_grey(data: bytes, width: int) -> bytes:
     """A WebP file of grey pixels with these values, a row of ``width`` after the other.
 
     Green alone is coded, red and blue follow by the subtract-green transform.
-    A palette holds the values that occur, indexes to it have a prefix code, and
-    repeated lines and the padding are copied.
+    Where the pixel to the left or above tells much of each, residuals to it
+    are coded. Else a palette holds the values that occur, indexes to it have a
+    prefix code, and repeated lines and the padding are copied.
     """
     samples = np.frombuffer(data, np.uint8)
     height = len(samples) // width
+    if (flat := _flat_mode(samples.reshape(height, width))) is not None:
+        head = _start(width, height)
+        head.add(1 | SUBTRACT_GREEN << 1, 3)
+        head.add(1 | PREDICTOR << 1, 3)
+        head.add(7, 3)  # blocks of 512 pixels
+        _add(head, *_coded(head, np.full(-(-width // 512) * -(-height // 512), flat[0] << 8, np.uint32), False))
+        head.add(0, 1)
+        first = flat[1].ravel().astype(np.uint32) << np.uint32(8)
+        return _file(head, *_coded(head, first, True))
     counts = np.bincount(samples, minlength=256)
     palette = np.flatnonzero(counts)
     place = np.zeros(256, np.int64)
     place[palette] = np.arange(len(palette))
 
-    head = Writer()
-    head.add(SIGNATURE, 8)
-    head.add(width - 1, 14)
-    head.add(height - 1, 14)
-    head.add(0, 4)
+    head = _start(width, height)
     head.add(1 | SUBTRACT_GREEN << 1, 3)
     head.add(1 | PALETTE << 1, 3)
     head.add(len(palette) - 1, 8)
@@ -605,7 +816,4 @@ def encode_grey(data: bytes, width: int) -> bytes:
                     ats.append(int(before[at - 1]) if at else 0)
                     more.append((v, k))
         values, sizes = np.insert(values, ats, [v for v, _ in more]), np.insert(sizes, ats, [k for _, k in more])
-    has = sizes > 0
-    body = _packed(values[has], sizes[has], head) if has.any() else head.value.to_bytes(-(-head.size // 8), "little")
-    body += b"\0" * (len(body) & 1)
-    return b"RIFF" + (len(body) + 12).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body
+    return _file(head, values, sizes)

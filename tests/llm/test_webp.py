@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import webp as W
 from tessera.llm.media import load, payload, samples, store
@@ -145,6 +146,24 @@ def test_predictors():
         assert (W.decode(s.file()).ravel() == want).all(), mode
 
 
+def test_predictors_of_several_blocks():
+    """Every mode in some block of a larger picture, against pixel after pixel."""
+    width, height, block = 23, 19, 2
+    across, down = 6, 5
+    modes = np.random.default_rng(8).integers(0, 14, across * down)
+    want = picture(width, height, 77)
+    c = want.view(np.uint8).reshape(height, width, 4).astype(np.int64)
+    rest = np.zeros_like(c)
+    for y in range(height):
+        for x in range(width):
+            guess = np.array([0, 0, 0, 255]) if x == y == 0 else c[0, x - 1] if y == 0 else c[y - 1, 0] if x == 0 else None
+            if guess is None:
+                guess = brute_guess(int(modes[(y >> block) * across + (x >> block)]), c[y, x - 1], c[y - 1, x], c[y - 1, x + 1] if x + 1 < width else c[y, 0], c[y - 1, x - 1])
+            rest[y, x] = (c[y, x] - guess) & 255
+    flat = rest.astype(np.uint8).reshape(-1).view(np.uint32)
+    assert (W._unpredict(flat, width, height, block, modes) == want).all()
+
+
 def brute_guess(mode, left, top, right, corner):
     half = lambda a, b: [(int(x) + int(y)) // 2 for x, y in zip(a, b, strict=True)]
     clip = lambda v: [min(255, max(0, int(x))) for x in v]
@@ -201,6 +220,76 @@ def test_palettes(colours):
     assert (W.decode(s.file()) == table[index]).all()
 
 
+def smooth(width, height, seed, noise=3):
+    """A picture with gradients, correlated channels and a little noise."""
+    r = np.random.default_rng(seed)
+    y, x = np.mgrid[:height, :width]
+    g = (x * r.uniform(0.2, 3) + y * r.uniform(0.2, 3) + 20 * np.sin(x / 9) + r.integers(0, noise, (height, width))).astype(np.int64)
+    c = np.stack([g * 1.4 + 7 + r.integers(0, 2, g.shape), g, g * 0.6 - 30, np.full(g.shape, 255)], -1).astype(np.int64) & 255
+    return np.ascontiguousarray(c.astype(np.uint8)).view(np.uint32)[..., 0]
+
+
+def transforms(data):
+    """Which transforms a file has, and the bits of its colour cache."""
+    seen, image = [], W._image
+    caches = []
+
+    class Spy(W.Bits):
+        pass
+
+    bits = Spy(data[20:])
+    bits.at = 40
+    width, height = (int.from_bytes(data[21:25], "little") & 0x3FFF) + 1, (int.from_bytes(data[21:25], "little") >> 14 & 0x3FFF) + 1
+    while bits.read(1):
+        kind = bits.read(2)
+        seen.append(kind)
+        if kind < 2:
+            block = bits.read(3) + 2
+            image(bits, (width + (1 << block) - 1) >> block, (height + (1 << block) - 1) >> block, False)
+        elif kind == W.PALETTE:
+            n = bits.read(8) + 1
+            image(bits, n, 1, False)
+    caches.append(bits.read(4) if bits.read(1) else 0)
+    return seen, caches[0]
+
+
+@pytest.mark.parametrize(("width", "height"), [(1, 1), (1, 9), (9, 1), (2, 2), (40, 33), (100, 70), (17, 64)])
+def test_pictures_round_trip(width, height):
+    for p in (smooth(width, height, width), picture(width, height).reshape(height, width), np.zeros((height, width), np.uint32), smooth(width, height, 1, 1) // 7 * 7, np.tile(picture(5, 1), (height, width))[:, :width]):
+        assert (W.decode(W.encode(p)) == p).all()
+
+
+def test_transforms_are_used_where_they_help():
+    p = smooth(120, 90, 4)
+    data = W.encode(p)
+    seen, _ = transforms(data)
+    assert W.PREDICTOR in seen and W.CROSS_COLOUR in seen and len(data) < 0.5 * 4 * p.size
+    few = picture(12, 1)[np.random.default_rng(2).integers(0, 12, (50, 60))]
+    data = W.encode(few)
+    seen, cache = transforms(data)
+    assert W.PREDICTOR not in seen and cache > 0 and len(data) < 0.75 * few.size and (W.decode(data) == few).all()
+
+
+def test_grey_rows_that_predict_each_other():
+    r = random.Random(7)
+    row = bytes(r.randrange(32, 127) for _ in range(192))
+    ramp = b"".join(bytes((i + j // 3) % 256 for j in range(192)) for i in range(40))
+    for data, mode in ((row * 30, 2), (ramp, None), (row * 600, 2)):
+        media = W.encode_grey(data, 192)
+        seen, _ = transforms(media)
+        assert seen == [W.SUBTRACT_GREEN, W.PREDICTOR] and len(media) < 0.3 * len(data) + 400
+        assert (W.decode(media).ravel() >> 8 & 255).astype(np.uint8).tobytes() == data and mode in (2, None)
+
+
+def test_large_pictures_are_quick():
+    import time
+
+    p = smooth(600, 400, 5)
+    data = W.encode(p)
+    began = time.process_time()
+    assert (W.decode(data) == p).all() and time.process_time() - began < 20
+
+
 @pytest.mark.parametrize("bad", [b"", b"RIFF", b"GIF89a" + b"\0" * 40])
 def test_other_files_are_refused(bad):
     with pytest.raises(ValueError):
@@ -214,6 +303,13 @@ def test_cut_streams_are_refused():
         W.decode(short)
 
 
+def test_other_columns_may_have_any_name(spark):
+    df = spark.createDataFrame([(1, "a", 5, "x", "y")], "doc_id long, text string, width int, pixels string, `odd:name, int` string")
+    kept = df.select("doc_id", F.lit(None).cast("binary").alias("media"), "width", "pixels", "`odd:name, int`")
+    got = load(kept)
+    assert got.columns == ["doc_id", "media", "odd:name, int", "width", "height", "pixels", "feature"] and got.first()["odd:name, int"] == "y"
+
+
 def test_high_pictures_are_several():
     data = (b"ab c" * 48) * (W.MOST_SIDE + 5)
     from tessera.llm.media import pictures

@@ -88,6 +88,18 @@ def number(v: Value) -> Value:
     raise QueryError("Arithmetic needs numbers here.", hint="Text has no numeric value.")
 
 
+def _digits(c: Column) -> Column:
+    """A fraction in text: written out from a millionth up to 21 digits, else as ``1.5e-7``."""
+    plain, size = c.cast("string"), F.abs(c)
+
+    def written(places: int) -> Column:
+        return F.regexp_replace(plain.cast(f"decimal(38,{places})").cast("string"), r"\.?0+$", "")
+
+    short = F.regexp_replace(F.regexp_replace(plain, r"\.0E", "E"), r"E(\d)", "E+$1")
+    out = F.when(~F.contains(plain, F.lit("E")), plain).when(F.isnan(c), F.lit("NaN")).when(size.between(1e-6, 1), written(24)).when((size > 1) & (size < 1e21), written(15))
+    return out.otherwise(F.replace(short, F.lit("E"), F.lit("e")))
+
+
 def text(v: Value) -> Column:
     """A value in text: whole numbers without a fraction, null as ``null``."""
     c = v.column
@@ -95,7 +107,7 @@ def text(v: Value) -> Column:
         return F.lit("null")
     if v.kind == "float":
         whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
-        c = F.when(F.isnan(c), F.lit("NaN")).when(whole, c.cast("decimal(20,0)").cast("string")).otherwise(c.cast("string"))
+        c = F.when(F.isnan(c), F.lit("NaN")).when(whole, c.cast("decimal(20,0)").cast("string")).otherwise(_digits(c))
     elif v.kind == "mixed":
         c = c["text"]
     else:

@@ -44,6 +44,8 @@ EXPRESSIONS = {
     "2 + 3 IN (3)": 3, "5m": 300, "length('a😀')": 3, "substr('😀abc', 2, 2)": "ab", "substr('a😀b', 1, 2)": "😀", "substr('a😀b', -1)": "b", "substr('a😀b', 0, 2)": "a\ufffd", "substr('a😀b', 2)": "\ufffdb", "substr('😀', 1, 0)": "", "CASE WHEN i = 1 THEN 'x' ELSE 5 END": "x", "i || 1.50": "11.5", "z IS NULL": True, "z = null": True,
     "coalesce(z, s)": "hello", "abs(0 - 3)": 3, "1 < 2 < 3": True, "i IN (1, 2.0, 'x')": True, "f IN (2.5)": True, "s IN ('a', 1)": False, "12345678.0 || ''": "12345678",
     "now() - 1": 999.0, "b AND f": True, "b = 1": False, "lower(upper(s))": "hello",
+    "(1 / 100000) || ''": "0.00001", "12345678.5 || ''": "12345678.5", "(1 / 3000000) || ''": "3.3333333333333335e-7", "(1 / 10000000) || ''": "1e-7", "(0 - 1 / 80000) || ''": "-0.0000125", "0.1 || ''": "0.1",
+    "(1000000000000 * 1000000000000.0) || ''": "1e+24", "(100000000000.0 * 100000000.0) || ''": "10000000000000000000", "(1 / 3) || ''": "0.3333333333333333",
 }
 
 

@@ -39,7 +39,7 @@ LENGTH, GRID = 2048, 8
 GAP = 1e-3
 #: Ranges of the documents' order that are ranked on their own at most; bands of it with their own patterns at most,
 #: the least pieces of a band, and turns of a band's patterns.
-RANGES, BANDS, BAND, TURNS = 1024, 32, 1000, 32
+RANGES, BANDS, BAND, TURNS = 1024, 16, 1000, 8
 #: The id that ends a document.
 END = 1
 #: What is told of a piece.
@@ -117,7 +117,24 @@ def best_pattern(value: np.ndarray, size: np.ndarray, room: int) -> np.ndarray:
     return out
 
 
-def cutting_stock(sizes: list[int], demand: list[int], room: int) -> list[tuple[dict[int, int], int]]:
+class Pool:
+    """Patterns found so far, for programs that come after with other numbers of the same sizes: trying them is cheaper than pricing new ones."""
+
+    def __init__(self, room: int) -> None:
+        self.count, self.rows = 0, np.zeros((64, room + 1))
+
+    def add(self, size: np.ndarray, pattern: np.ndarray) -> None:
+        if self.count == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[self.count, size] = pattern
+        self.count += 1
+
+    def of(self, size: np.ndarray) -> np.ndarray:
+        """The patterns without the sizes that aren't there."""
+        return np.ascontiguousarray(self.rows[: self.count, size])
+
+
+def cutting_stock(sizes: list[int], demand: list[int], room: int, pool: Pool | None = None) -> list[tuple[dict[int, int], int]]:
     """Patterns {size: number} and how often each is used; together they hold every item. Sizes are distinct, at most ``room``."""
     if not sizes:
         return []
@@ -126,14 +143,20 @@ def cutting_stock(sizes: list[int], demand: list[int], room: int) -> list[tuple[
     columns = np.diag((room // size).astype(float))  # one column a basic variable; a surplus has cost 0
     cost = np.ones(m)
     inverse = np.diag(1.0 / np.diag(columns))
+    known = pool.of(size) if pool else np.zeros((0, m))
     for _ in range(50 * m + 100):
         dual = cost @ inverse
         if dual.min() < -1e-9:
             new, price = -(np.arange(m) == dual.argmin()).astype(float), 0.0
+        elif len(known) and (worth := known @ dual).max() > 1 + 2 * GAP:
+            new, price = known[worth.argmax()], 1.0
         else:
             new, price = best_pattern(np.maximum(dual, 0), size, room), 1.0
             if dual @ new <= 1 + GAP:  # no cover has less than 1 / (dual @ new) of this one's sequences
                 break
+            if pool:
+                pool.add(size, new)
+                known = np.concatenate([known, new[None]])
         x, way = inverse @ need, inverse @ new
         ratio = np.where(way > 1e-9, np.maximum(x, 0) / np.where(way > 1e-9, way, 1), np.inf)
         out = int(ratio.argmin())
@@ -144,7 +167,9 @@ def cutting_stock(sizes: list[int], demand: list[int], room: int) -> list[tuple[
     used = np.where(cost > 0, np.maximum(np.floor(inverse @ need + 1e-6), 0), 0).astype(np.int64)  # what rounding errors leave is counted exactly below
     chosen = [({int(size[i]): int(columns[i, p]) for i in range(m) if columns[i, p] > 0}, int(used[p])) for p in range(m) if used[p] > 0]
     left = [int(d) - sum(pattern.get(int(s), 0) * times for pattern, times in chosen) for s, d in zip(size, demand, strict=True)]
-    return chosen + _best_fit({int(s): n for s, n in zip(size, left, strict=True) if n > 0}, room)
+    rounded = chosen + _best_fit({int(s): n for s, n in zip(size, left, strict=True) if n > 0}, room)
+    plain = _best_fit({int(s): int(n) for s, n in zip(size, demand, strict=True)}, room)  # with few items rounding may cost more than patterns save
+    return min(rounded, plain, key=lambda x: sum(times for _, times in x))
 
 
 def _best_fit(left: dict[int, int], room: int) -> list[tuple[dict[int, int], int]]:
@@ -179,9 +204,10 @@ class Plan:
         blocks: list[tuple[int, int, int, int]] = []
         sequence = 0
         self.classes = room + 1
+        pool = Pool(room)
         for band in sorted({b for b, _ in demand}):
             need = {c: n for (b, c), n in sorted(demand.items()) if b == band}
-            patterns = cutting_stock(list(need), list(need.values()), room)
+            patterns = cutting_stock(list(need), list(need.values()), room, pool)
             filled = dict.fromkeys(need, 0)
             for turn in range(turns):
                 for pattern, times in patterns:

@@ -240,6 +240,13 @@ def test_sequences_follow_the_order(spark):
 # ---- pipeline
 
 
+def fails(t):
+    w = WORD.findall(t or "")
+    times = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    inside = {k for i in range(len(w) - 4) if times[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)}
+    return len(w) < 10 or 100 * len(inside) > 20 * len(w)
+
+
 def test_stages(spark, docs, texts, tmp_path):
     """Each stage on odd documents: columns kept, decisions in effect."""
     labels = spark.createDataFrame([(i, 1, 0) for i in range(20, 40)], "doc_id long, quality int, toxic int")
@@ -248,12 +255,6 @@ def test_stages(spark, docs, texts, tmp_path):
     first = corpus_pipeline.quality_rules(spark, docs, sf)
     kept = sorted(map(repr, ((r["doc_id"], r["text"]) for r in first.collect())))
 
-    def fails(t):
-        w = WORD.findall(t or "")
-        times = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
-        inside = {k for i in range(len(w) - 4) if times[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)}
-        return len(w) < 10 or 100 * len(inside) > 20 * len(w)
-
     assert kept == sorted(map(repr, (x for x in texts if not fails(x[1]))))
     second = corpus_pipeline.near_duplicates(spark, docs, sf)
     of = {i: c for i, _, c in brute_components(texts) if i is not None}
@@ -294,30 +295,67 @@ def test_stages_on_nothing(spark, empty, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
 
 
+def plain_mix(rows):
+    """The texts that the mix takes of rows (id, text, source), copies and cut ones included, by position."""
+    import hashlib
+
+    words = {(i, s): WORD.findall(t) for i, t, s in rows}
+    sizes = collections.Counter()
+    for (_, s), w in words.items():
+        sizes[s] += len(w)
+    targets = reshared(sizes)
+    total = sum(targets.values())
+    pieces = mixing.integrated(mixing.drifting_shares(dict(sizes), targets), total)
+    out = []
+    for s, target in targets.items():
+        whole, at = int(target + 0.5), 0
+        order = sorted(((i, t) for i, t, x in rows if x == s), key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[0]))
+        ((_, _, share, bend, _),) = pieces[s]
+        while at < whole and sizes[s]:
+            for i, t in order:
+                w = words[i, s]
+                left = min(len(w), whole - at)
+                if left > 0:
+                    need = at / total
+                    position = 2 * need / (share + max(0.0, share * share + 4 * bend * need) ** 0.5) if need > 0 else 0.0
+                    out.append((position, i, t if left == len(w) else " ".join(w[:left])))
+                at += len(w)
+    return sorted(out, key=lambda x: x[:2])
+
+
 def test_run(spark, docs, tmp_path):
-    """The whole, against the stages' plain versions one after another."""
+    """The whole, against plain versions of the stages one after another, down to every piece's token ids."""
     labels = spark.createDataFrame([(i, 1, 0) for i in range(20, 40)], "doc_id long, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
-    chosen = docs.where("doc_id IS NOT NULL AND doc_id <> 13")
+    r = random.Random(40)
+    secret = lambda: "".join(r.choice("abcdef") + r.choice("0123456789") for _ in range(20))
+    more = [(200 + i, f"{prose(600 + i, 30)} token = \"{secret()}\" {prose(700 + i, 5)} jo{i}@mail.example.org {prose(800 + i, 9)}", "en", f"s{i % 3}") for i in range(30)]
+    chosen = docs.select("doc_id", "text", "lang", "source").where("doc_id IS NOT NULL AND doc_id <> 13").union(spark.createDataFrame(more, "doc_id long, text string, lang string, source string"))
     chosen.write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    rows = [(r["doc_id"], r["text"], r["source"]) for r in chosen.collect()]
-    cutoffs = quality.fit(quality.measure(chosen), labels)
-    rows = [(r["doc_id"], r["text"], r["source"]) for r in quality.keep(chosen, cutoffs).collect()]
+
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in quality.keep(chosen, quality.fit(quality.measure(chosen), labels)).collect()]
+    kept = {i for i, t, _ in [(r["doc_id"], r["text"], r["source"]) for r in chosen.collect()] if not fails(t)}
+    assert {i for i, _, _ in rows} == kept  # too few labels for more than the base rules
     of = {i: c for i, _, c in brute_components([r[:2] for r in rows])}
     rows = [r for r in rows if of[r[0]] == r[0]]
-    field = pii.Field()
-    sizes, size = collections.Counter(), {}
+    field = pii.fit(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    clean = []
     for i, t, s in rows:
-        size[i] = len(WORD.findall(t))
-        sizes[s] += size[i]
-    assert field.weights == {} and {r["doc_id"] for r in got} <= size.keys()
-    starts = collections.Counter(r["doc_id"] for r in got if r["start"] == 0)
-    targets = reshared(sizes)
-    for s, t in targets.items():  # copies begun in each source are as many as its target takes
-        own = [i for i, _, x in rows if x == s]
-        assert sum(starts[i] * size[i] for i in own) >= t - 0.5 and sum((starts[i] - 1) * size[i] for i in own if starts[i]) <= t
-    lengths = collections.Counter()
-    for r in got:
-        lengths[r["sequence_id"]] += r["length"]
-    assert max(lengths.values()) <= packing.LENGTH
+        for kind, a, b in reversed(pii.all_spans(t, field)[1]):  # no two overlap here
+            t = f"{t[:a]}[{kind.upper()}]{t[b:]}"
+        clean.append((i, t, s))
+    assert sum("[SECRET]" in t and "[EMAIL]" in t for _, t, _ in clean) == 30
+    mixed = plain_mix(clean)
+    want = collections.Counter()
+    for _, i, t in mixed:
+        ids = reference_ids(t)
+        for start in range(0, len(ids), packing.LENGTH):
+            part = ids[start : start + packing.LENGTH]
+            want[i, start, len(part), zlib.crc32(part.tobytes()), len(ids)] += 1
+    assert collections.Counter(tuple(x[c] for c in packing.PIECE) for x in got) == want
+    by_sequence = collections.defaultdict(list)
+    for x in got:
+        by_sequence[x["sequence_id"]].append((x["offset"], x["length"]))
+    for parts in by_sequence.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for o, n in parts if o < at) for at, _ in sorted(parts)] and sum(n for _, n in parts) <= packing.LENGTH

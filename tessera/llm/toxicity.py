@@ -47,8 +47,8 @@ class Settings:
     """Most landmarks and the least log-likelihood ratio of each; cosines below ``least`` count as none, likeness is the others' ``power``; cost of a misplaced sentence."""
 
     landmarks: int = 48
-    clear: float = 25.0
-    least: float = 0.4
+    clear: float = 12.0
+    least: float = 0.65
     power: float = 2.0
     cost: float = 1000.0
 

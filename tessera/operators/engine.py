@@ -251,17 +251,22 @@ class Engine:
         after = _Compiler({}, compile_.now, given)
         first = F.col(table.order) if table.order else F.lit(0)
         order: list[Column] = []
+        sorting: set[str] = set()
         for k, (x, down) in enumerate(sorts):
             if any(isinstance(y, Name) and y not in given for y in _outside(x, given)):  # not grouped by: the group's first row tells
                 v = compile_(x)
                 measures.append(F.min_by(v.column, first).alias(f"__sort{k}"))
+                sorting.add(f"__sort{k}")
                 order.append(_sorted(V.Value(F.col(f"__sort{k}"), v.kind), down))
             else:
                 order.append(_sorted(after(x), down))
         measures.append(F.min(first).alias("__first") if table.order else F.count(F.lit(1)).alias("__first"))
-        grouped = df.groupBy(*groups).agg(*measures) if groups else df.agg(*measures)
-        for name, a in tops:
-            grouped = self._with_top(grouped, df, groups, name, a, compile_)
+        if len(tops) == 1 and all(a.name in ("count", "sum", "avg", "min", "max", "top_k") for a in found):
+            grouped = self._by_value(df, groups, found, tops[0][1], first, [(k, x) for k, (x, _) in enumerate(sorts) if f"__sort{k}" in sorting], compile_)
+        else:
+            grouped = df.groupBy(*groups).agg(*measures) if groups else df.agg(*measures)
+            for name, a in tops:
+                grouped = self._with_top(grouped, df, groups, name, a, compile_)
         if groups and table.order:
             order.append(F.col("__first").asc())
         names = [name for _, name in items]
@@ -297,12 +302,54 @@ class Engine:
             return V.percentile(args[0], float(constant(a.args[1], "The percentile")), self.approximate is not False)
         return V.extreme(a.name, args[0])
 
-    def _with_top(self, grouped: DataFrame, df: DataFrame, groups: list[Column], name: str, a: Aggregate, compile_: _Compiler) -> DataFrame:
-        """Add the most frequent values of each group: counted in two steps, so that only the best k of a group meet."""
+    def _by_value(self, df: DataFrame, groups: list[Column], found: list[Aggregate], top: Aggregate, first: Column, sorts: list[tuple[int, Node]], compile_: _Compiler) -> DataFrame:
+        """All aggregates with one top_k() in a single scan: by group and value first, then by group."""
+        v, k, there = self._top(top, compile_)
+        keys = [f"__key{i}" for i in range(len(groups))]
+        parts: list[Column] = [F.count(F.lit(1)).alias("__n"), F.min(first).alias("__least")]
+        whole: list[Column] = [F.min("__least").alias("__first")]
+        for i, a in enumerate(found):
+            part = f"__part{i}"
+            x = compile_(a.args[0]) if a.args else None
+            if a.name == "top_k":
+                best = F.array_sort(F.collect_list(F.when(F.col("__there") & (F.col("__rank") <= k), F.struct("__rank", "__value", "__n"))))  # at most k
+                done = F.transform(best, lambda b: F.struct(b["__value"].alias("value"), b["__n"].alias("count")))
+            elif a.name == "count":
+                done = F.coalesce(F.sum("__n"), F.lit(0))
+            elif a.name == "avg":
+                self._measure(a, compile_)
+                number = F.lit(None).cast("double") if x.kind == "null" else x.column.cast("double")
+                parts += [F.sum(number).alias(part), F.count(number).alias(f"{part}n")]
+                done = F.coalesce(F.round(F.sum(part) / F.nullif(F.sum(f"{part}n"), F.lit(0)), 3), F.lit(0.0))
+            else:
+                self._measure(a, compile_)
+                if a.name == "sum":
+                    kind = "float" if x.kind == "float" else "int"
+                    parts.append(F.sum(F.lit(0) if x.kind == "null" else x.column.cast("long") if x.kind == "bool" else x.column).alias(part))
+                    done = V.summed(V.Value(F.col(part), kind)).column
+                else:
+                    parts.append(V.extreme(a.name, x).column.alias(part))
+                    done = V.extreme(a.name, V.Value(F.col(part), x.kind if x.kind != "null" else "string")).column
+            whole.append(done.alias(f"__agg{i}"))
+        for i, x in sorts:
+            parts.append(F.min_by(compile_(x).column, first).alias(f"__by{i}"))
+            whole.append(F.min_by(f"__by{i}", "__least").alias(f"__sort{i}"))
+        counts = df.groupBy(*groups, there.alias("__there"), F.when(there, V.text(v)).alias("__value")).agg(*parts)
+        rank = F.row_number().over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy(F.desc("__there"), F.desc("__n"), F.asc("__value")))
+        ranked = counts.withColumn("__rank", rank)
+        return ranked.groupBy(*keys).agg(*whole) if keys else ranked.agg(*whole)
+
+    def _top(self, a: Aggregate, compile_: _Compiler) -> tuple[V.Value, int, Column]:
+        """The value that is counted, how many are asked for, and which rows have one."""
         v = compile_(a.args[0])
         k = min(MOST_TOP, max(1, constant(a.args[1], "How many", whole=True) if len(a.args) > 1 else USUAL_TOP))
+        there = F.lit(False) if v.kind == "null" else v.column["rank"] > 0 if v.kind == "mixed" else v.column.isNotNull()
+        return v, k, there
+
+    def _with_top(self, grouped: DataFrame, df: DataFrame, groups: list[Column], name: str, a: Aggregate, compile_: _Compiler) -> DataFrame:
+        """Add the most frequent values of each group: counted in two steps, so that only the best k of a group meet."""
+        v, k, there = self._top(a, compile_)
         keys = [f"__key{i}" for i in range(len(groups))]
-        there = ~V.is_empty(v) | (V.text(v) == "") if v.kind == "string" else (v.column["rank"] > 0 if v.kind == "mixed" else v.column.isNotNull())
         counts = df.where(there).groupBy(*groups, V.text(v).alias("value")).agg(F.count(F.lit(1)).alias("count"))
         rank = F.row_number().over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy(F.desc("count"), F.asc("value")))
         best = counts.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -72,6 +72,24 @@ def test_top_k(engine):
     assert all(len(t) == 2 for _, t in ask(engine, "SELECT lang, top_k(title, 2) FROM edits GROUP BY lang"))
 
 
+def test_top_k_in_one_scan_agrees_with_two(spark):
+    """With other aggregates that add up, top_k() needs one scan; beside others, or a second top_k(), two."""
+    r = random.Random(12)
+    data = [(i, r.choice(["a", "b", None, ""]), r.choice([None, "", "x", "y", "z"]), r.choice([None, r.randrange(9)]), r.choice([None, r.random()]), r.choice([None, True, False])) for i in range(400)]
+    df = spark.createDataFrame(data, "k long, g string, s string, n long, f double, b boolean")
+    e = Engine({"t": Table(df, None, "k"), "none": Table(df.where("k < 0"), None, "k")})
+    for group, order in (("", ""), (" GROUP BY g", " ORDER BY f DESC"), (" GROUP BY g, b", " ORDER BY n, f")):
+        asked = "count(*) AS c, count(s) AS d, sum(n) AS sn, sum(f) AS sf, sum(b) AS sb, avg(n) AS an, avg(f) AS af, min(s) AS ms, max(f) AS xf, min(n) AS mn, min(null) AS z, avg(null) AS y, sum(null) AS w"
+        for top in ("s", "n", "f", "b", "CASE WHEN b THEN n ELSE s END", "null"):
+            for t in ("t", "none"):
+                one = e.run(f"SELECT {asked}, top_k({top}, 2) AS top FROM {t}{group}{order}")
+                two = e.run(f"SELECT {asked}, top_k({top}, 2) AS top, count(distinct s) AS more FROM {t}{group}{order}")
+                plain = lambda rows: [tuple(round(x, 6) if isinstance(x, float) else x for x in row[:14]) for row in rows]
+                assert plain(one.collect().rows) == plain(two.collect().rows), (group, top, t)
+    scans = lambda sql: e.sql(sql)._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD")
+    assert scans("SELECT g, top_k(s) FROM t GROUP BY g") == 1 and scans("SELECT g, top_k(s), percentile(f, 50) FROM t GROUP BY g") == 2
+
+
 def test_order_limit_and_notes(engine):
     r = engine.run("SELECT title FROM edits").collect()
     assert len(r.rows) == 200 and r.truncated and r.notes and r.rows[0] == ("Page49",)

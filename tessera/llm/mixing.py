@@ -109,7 +109,9 @@ def in_training_order(docs: DataFrame, mixed: DataFrame, *, doc_id: str = "doc_i
     """The documents' own columns, one row for each copy taken, range-sorted by position in training.
 
     A last copy that is cut has its first words, joined by spaces. Rows find
-    their places by id and text; of rows equal in both any may stand for the other.
+    their places by id and text, null ids and texts like others; of rows equal
+    in both any may stand for the other. Ties in position go by id and copy.
+    Texts without words are never taken, and no rows give no rows.
     """
     # one key for numbering and joining, so that texts are shuffled once for both; equal keys are told apart by another hash
     key, check = F.xxhash64("id", "x"), F.hash("id", "x")

@@ -206,7 +206,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """(doc_id, n_shingles, component_id), one row for each row of docs; component_id is the least id that links lead to.
 
     Texts without words are components of their own; so are rows whose id is
-    null unless linked. An empty table gives no rows.
+    null unless linked. Repeated rows and ties are one class and get equal
+    values; long texts count whole; an empty table gives no rows; other columns
+    are not read.
     """
     members, _, labels, _ = links(docs, doc_id=doc_id, text=text)
     known = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))

@@ -682,6 +682,44 @@ def test_replies_agree_with_sql(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+def test_random_replies_agree_with_sql(spark):
+    """Conversations that quote earlier messages, whole, in part, changed, wrapped and nested, against the SQL; most messages are linked."""
+    import duckdb
+    import pandas as pd
+
+    from tessera.llm.queries import ORACLES
+
+    r = random.Random(51)
+    talk = []
+    for conv in range(40):
+        said: list[str] = []
+        for turn in range(r.randrange(2, 9)):
+            own = " ".join(f"{prose(r.randrange(60), r.randrange(3, 7)).replace(chr(10), ' ').rstrip('.')}{r.choice('.?!')}" for _ in range(r.randrange(1, 4)))
+            lines = []
+            for _ in range(r.randrange(0, 3) if said else 0):
+                words = r.choice(said).replace("\n", " \n ").split(" ")
+                if r.random() < 0.3:
+                    words = words[: r.randrange(1, len(words) + 1)]
+                if r.random() < 0.2:
+                    words[r.randrange(len(words))] = "other"
+                quoted = " ".join(words).replace(" \n ", "\n")
+                mark = r.choice(["> ", ">", " > ", ">\t"])
+                lines += r.choice([[], [], ["Ann wrote:"], ["On Monday Bob writes :"]])
+                lines += [mark + x for part in quoted.split("\n") for x in ([part] if r.random() < 0.5 or len(part) < 30 else [part[:20].rsplit(" ", 1)[0], part[len(part[:20].rsplit(" ", 1)[0]) :].strip()])]
+                if r.random() < 0.5:
+                    lines.append(r.choice(["", "yes.", "so it is > that."]))
+            text = "\n".join([*lines, own]) if r.random() < 0.7 else "\n".join([own, *lines])
+            talk.append((conv, turn, r.choice("ua"), text))
+            said.append(text)
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(talk, columns=["conv_id", "turn", "role", "text"]))
+    want = con.execute(ORACLES["op7_quotation_linking"]).fetchall()
+    columns = [d[0] for d in con.description]
+    got = quotes.reply_ordered(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).select(*columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert sum(x["parent_turn"] is not None for x in got) > len(talk) / 3 and max(x["level"] for x in got) > 2 and max(x["linked_passages"] for x in got) > 1
+
+
 def test_replies_run_no_python(spark):
     plan = quotes.reply_ordered(spark.createDataFrame(TALK, "conv_id long, turn long, role string, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -21,18 +21,23 @@ from .streaming.ingest import deduplicated
 ORDERS = {"events": ("event_id", "ts"), "lineitem": (None, "l_shipdate"), "orders": ("o_orderkey", "o_orderdate"), "customer": ("c_custkey", None), "part": ("p_partkey", None), "supplier": ("s_suppkey", None), "nation": ("n_nationkey", None), "region": ("r_regionkey", None)}
 
 
-def engine(spark: SparkSession, sf_dir: str, *names: str, approximate: bool | None = False) -> Engine:
-    """An engine over the test tables; percentiles are exact, so that they can be compared, unless told otherwise."""
-    out = Engine(approximate=approximate)
-    for n in names:
-        source = "events" if n == "edits" else n
+#: Tables registered so far, by application, folder and name: files are listed and the latest event is sought once, as in a service that registers its tables at the start.
+_TABLES: dict[tuple[str, str, str], Table] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> Table:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        source = "events" if name == "edits" else name
         df = spark.read.parquet(f"{sf_dir}/{source}.parquet")
         order, time = ORDERS[source]
-        if n == "edits":
-            out.register(n, Table(from_events(df), "ts", "event_id", hidden=("event_id",)))
-        else:
-            out.register(n, Table(df, time, order))
-    return out
+        _TABLES[key] = Table(from_events(df), "ts", "event_id", hidden=("event_id",)) if name == "edits" else Table(df, time, order)
+    return _TABLES[key]
+
+
+def engine(spark: SparkSession, sf_dir: str, *names: str, approximate: bool | None = False) -> Engine:
+    """An engine over the test tables; percentiles are exact, so that they can be compared, unless told otherwise."""
+    return Engine({n: table(spark, sf_dir, n) for n in names}, approximate)
 
 
 #: The edits table of tessera.sources.edits.from_events in SQL.
@@ -162,8 +167,7 @@ def q_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EDITS} SELECT title, \"user\", delta, {EPOCH} AS ts FROM edits WHERE {HUMAN} ORDER BY event_id DESC LIMIT 20")
 def q_feed_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = Table(_edits(spark, sf_dir), "ts", "event_id")
-    rows = store.recent(table, 20, human_only=True)
+    rows = store.recent(table(spark, sf_dir, "edits"), 20, human_only=True)
     return rows.select("title", "user", "delta", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
 
 
@@ -171,14 +175,14 @@ def q_feed_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) AS buffered_rows, count(*) AS total_ingested, round(count(*) FILTER (t >= now - 60) / least(greatest(any_value(now) - min(t) FILTER (t >= now - 60), 1.0), 60.0), 2) AS events_per_second,
 round(any_value(now) - min(t), 1) AS oldest_age, round(any_value(now) - max(t), 2) AS last_event_age, 0::DOUBLE AS uptime FROM t, n""")
 def q_store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = Table(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "event_id")
-    return store.stats(table, table.now())
+    events = table(spark, sf_dir, "events")
+    return store.stats(events, events.now())
 
 
 @query(f"SELECT event_id FROM (SELECT event_id FROM events WHERE {SINCE.format('3 DAY')} ORDER BY event_id DESC LIMIT 500)")
 def q_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = Table(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "event_id")
-    return store.retained(table, table.now(), 3 * 86400, 500).select("event_id")
+    events = table(spark, sf_dir, "events")
+    return store.retained(events, events.now(), 3 * 86400, 500).select("event_id")
 
 
 @query(f"""WITH {EDITS} SELECT epoch(date_trunc('hour', ts))::BIGINT AS hour, count(*) AS events, count(*) FILTER (is_bot) AS bots, count(*) FILTER (is_anon) AS anons,

@@ -16,7 +16,8 @@ from tessera.streaming import rollup
 from tessera.streaming.continuous import AFTER_ERROR, ContinuousQuery, Failure, Feed, Message, Session, applied, changes_between, difference
 from tessera.streaming.ingest import Stats, deduplicated, ingest, line_figures, live_table, status
 
-from .test_sources import raw
+from .test_sources import Feed as Server
+from .test_sources import feed, raw  # noqa: F401
 
 NOW = 1_700_000_000.0
 
@@ -265,6 +266,28 @@ def test_old_rows_and_files_are_dropped(spark, tmp_path, monkeypatch):
     assert table.df.count() == 1 and files.newest().rows == 1
 
 
+def test_from_the_event_stream_to_a_query(spark, feed, tmp_path):  # noqa: F811
+    """Messages of a server that breaks off are ingested once, lost connections are counted, and a query sees the edits."""
+    from tessera.sources.sse import Sse
+
+    spark.dataSource.register(Sse)
+    Server.breaks, figures = 2, Stats()
+    lines = spark.readStream.format("sse").option("url", feed).option("readSeconds", "1").load()
+    q = ingest(lines, str(tmp_path / "edits"), str(tmp_path / "cp"), stats=figures, trigger={"processingTime": "1 second"}, age=None, rows=None)
+    try:
+        for _ in range(60):
+            if figures.kept and status(q, figures)["reconnects"] >= 2:
+                break
+            q.awaitTermination(0.5)
+        seen = status(q, figures)
+    finally:
+        q.stop()
+        Server.breaks = 0
+    assert seen["kept"] == 1 and seen["received"] >= 3 and seen["reconnects"] >= 2 and seen["parse_errors"] == 0 and seen["connected"]
+    e = Engine({"edits": live_table(spark, str(tmp_path / "edits"), lambda: 1_700_000_005.0)})
+    assert e.run("SELECT lang, title, delta FROM edits WINDOW 1m").collect().rows == [("en", "Berlin", 150)]
+
+
 def test_a_batch_tried_again_counts_once(spark, tmp_path):
     from tessera.streaming.parts import Files, Manifest, Part
 

@@ -38,8 +38,8 @@ LENGTH, GRID = 2048, 8
 #: Column generation ends when its bound shows at most this share of sequences more than the program's least.
 GAP = 1e-3
 #: Ranges of the documents' order that are ranked on their own at most; bands of it with their own patterns at most,
-#: the least pieces of a band, and turns of a band's patterns.
-RANGES, BANDS, BAND, TURNS = 1024, 16, 1000, 8
+#: the sequences that a band's pieces fill at least, and turns of a band's patterns.
+RANGES, BANDS, BAND, TURNS = 1024, 16, 128, 8
 #: The id that ends a document.
 END = 1
 #: What is told of a piece.
@@ -230,43 +230,65 @@ class Plan:
         return self.sequence[at] + (key - self.first[at]) // self.each[at], self.place[at]
 
 
+def bundled(short: DataFrame, width: int) -> DataFrame:
+    """Short pieces (band, bucket, place, ...) with the number of their bundle in the band, and their place in the band's stretch of them.
+
+    A bundle is the pieces that begin within ``width`` tokens of the stretch, so
+    that it is less than a piece longer than that.
+    """
+    inside = Window.partitionBy("bucket").orderBy("place", *PIECE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("band").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = short.groupBy("band", "bucket").agg(F.sum("length").alias("sum"))
+    before = sums.select("bucket", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("before"))  # at most RANGES rows
+    found = short.withColumn("inside", F.sum("length").over(inside) - F.col("length")).join(F.broadcast(before), "bucket")
+    return found.withColumn("inside", F.col("inside") + F.col("before")).withColumn("bundle", F.floor(F.col("inside") / width)).drop("before")
+
+
 def pack(cut_pieces: DataFrame, *, ordered: bool = False, length: int = LENGTH, grid: int = GRID) -> DataFrame:
     """The pieces with their sequence_id and offset; if ``ordered``, sequence_id rises along ``place``, band by band.
 
-    Pieces of equal length and content may stand for each other; no pieces give
-    no rows. The driver sees a number for each band and length on the grid.
+    Pieces of at most a thirty-second of a sequence go in bundles, as items of
+    their joint length, so that rounding up to the grid costs little. Pieces of
+    equal length and content may stand for each other; no pieces give no rows.
+    The driver sees a number for each band and length on the grid.
     """
-    sized = cut_pieces.withColumn("class", F.ceil(F.col("length") / grid).cast("int"))
-    total = sized.count()
+    total, tokens = cut_pieces.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     ranges = min(RANGES, max(1, math.isqrt(total)))
-    cuts = np.array((sized.agg(F.percentile_approx("place", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10_000)).alias("c")).first()["c"] if ranges > 1 else None) or [], np.int64)
-    bands = min(BANDS, max(1, total // BAND)) if ordered else 1
+    cuts = np.array((cut_pieces.agg(F.percentile_approx("place", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10_000)).alias("c")).first()["c"] if ranges > 1 else None) or [], np.int64)
+    bands = min(BANDS, max(1, tokens // (BAND * length))) if ordered else 1
 
     def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bucket = np.searchsorted(cuts, b["place"].to_numpy(zero_copy_only=False), "right")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bucket.astype(np.int32)), pa.array((bucket * bands // ranges).astype(np.int32))], [*b.schema.names, "bucket", "band"])
 
-    divided = sized.mapInArrow(divide, T.StructType([*sized.schema, T.StructField("bucket", T.IntegerType()), T.StructField("band", T.IntegerType())]))
-    counts = cut(divided.groupBy("band", "class", "bucket").agg(F.count("*").alias("n")))
+    divided = cut_pieces.mapInArrow(divide, T.StructType([*cut_pieces.schema, T.StructField("bucket", T.IntegerType()), T.StructField("band", T.IntegerType())]))
+    few = F.col("length") <= length // 32
+    members = cut(bundled(divided.where(few), max(1, length // 8 - grid // 2)).select(*PIECE, "band", "bucket", "place", "bundle", "inside"))
+    bundles = members.groupBy("band", "bundle").agg(F.sum("length").alias("length"), F.min(F.struct("bucket", "place")).alias("first")).select("band", "bundle", "length", "first.bucket", "first.place")
+    items = divided.where(~few).unionByName(bundles, allowMissingColumns=True).withColumn("class", F.ceil(F.col("length") / grid).cast("int"))
+    counts = cut(items.groupBy("band", "class", "bucket").agg(F.count("*").alias("n")))
     demand = {(r["band"], r["class"]): r["n"] for r in counts.groupBy("band", "class").agg(F.sum("n").alias("n")).collect()}  # at most BANDS * length / grid rows
     plan = Plan(demand, length // grid, TURNS if ordered else 1)
 
-    within = Window.partitionBy("class", "bucket").orderBy("place", "doc_id", "start", "ids_crc32", "doc_tokens")
+    within = Window.partitionBy("class", "bucket").orderBy("place", "bundle", *PIECE)
     earlier = Window.partitionBy("band", "class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
     before = counts.select("class", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    ranked = divided.withColumn("n", F.row_number().over(within) - 1).join(before, ["class", "bucket"]).withColumn("rank", F.col("before") + F.col("n"))
+    ranked = items.withColumn("n", F.row_number().over(within) - 1).join(before, ["class", "bucket"]).withColumn("rank", F.col("before") + F.col("n"))
+    named = [*PIECE, "band", "bundle", "rank"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sequence, at = plan.find(*(b[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("band", "class", "rank")))
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in PIECE), b["rank"], pa.array(sequence), pa.array(at)], [*PIECE, "rank", "sequence_id", "at"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in named), pa.array(sequence), pa.array(at)], [*named, "sequence_id", "at"])
 
     kind = cut_pieces.schema["doc_id"].dataType.simpleString()
-    placed = ranked.select(*PIECE, "band", "class", "rank").mapInArrow(place, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, rank long, sequence_id long, at long")
-    inside = Window.partitionBy("sequence_id").orderBy("at", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most ``length`` rows
-    placed = placed.withColumn("offset", F.sum("length").over(inside) - F.col("length"))
-    return placed.select(*PIECE, "sequence_id", "offset")
+    placed = cut(ranked.select(*named, "class").mapInArrow(place, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, band int, bundle long, rank long, sequence_id long, at long"))
+    own = [*PIECE, "sequence_id", "at", "rank"]
+    inner = members.select(*PIECE, "band", "bundle", "inside").join(placed.where("bundle IS NOT NULL").select("band", "bundle", "sequence_id", "at", "rank"), ["band", "bundle"])
+    every = placed.where("bundle IS NULL").select(*own, F.lit(0).cast("long").alias("inside")).union(inner.select(*own, "inside"))
+    inside = Window.partitionBy("sequence_id").orderBy("at", "rank", "inside").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most ``length`` rows
+    return every.withColumn("offset", F.sum("length").over(inside) - F.col("length")).select(*PIECE, "sequence_id", "offset")
 
 
 def packed(docs: DataFrame, **options) -> DataFrame:

@@ -26,7 +26,11 @@ COLUMNS = (
 KINDS = ("edit", "new", "log")
 NO_LANGUAGE = ("www", "commons", "meta", "species", "incubator")
 COMMENT = 280
-RAW = "type string, server_name string, title string, user string, bot boolean, minor boolean, namespace bigint, timestamp double, length struct<old:bigint,new:bigint>, comment string, meta struct<uri:string,dt:string,id:string>"
+RAW = {
+    "type": "string", "server_name": "string", "title": "string", "user": "string", "namespace": "bigint", "timestamp": "double", "comment": "string",
+    "length": {"old": "bigint", "new": "bigint"}, "meta": {"uri": "string", "dt": "string", "id": "string"},
+}
+FLAGS = ("bot", "minor")
 
 
 
@@ -40,13 +44,23 @@ def looks_like_address(user: Column) -> Column:
 
 
 def decode(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Raw events of JSON lines as column ``e``, with their ``id``, null if it is empty; ``bad`` marks lines that are none.
+    """Raw events of JSON lines as column ``e``, with their ``id``, null if it is empty; ``bad`` marks lines that are no JSON.
 
-    A field of another JSON type than ``RAW`` makes a line bad.
+    A field of another JSON type is converted, or null where that can't be:
+    flags are true unless they are false, 0 or empty.
     """
-    parsed = F.from_json(F.col(column), RAW + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    rows = lines.select(parsed.alias("e"), *[c for c in lines.columns if c not in (column, "e", "bad", "id")])
-    return rows.withColumn("bad", F.col("e").isNull() | F.col("e._bad").isNotNull()).withColumn("id", F.nullif(F.col("e.meta.id"), F.lit("")))
+    v = F.col("_json")
+
+    def get(path: str, kind: str) -> Column:
+        return F.try_variant_get(v, f"$.{path}", kind)
+
+    def flag(name: str) -> Column:
+        return F.coalesce(get(name, "boolean"), get(name, "double") != 0, get(name, "string") != "")
+
+    fields = [F.struct(*[get(f"{n}.{x}", t).alias(x) for x, t in kind.items()]).alias(n) if isinstance(kind, dict) else get(n, kind).alias(n) for n, kind in RAW.items()]
+    parsed = lines.withColumn("_json", F.try_parse_json(F.col(column)))
+    rows = parsed.select(F.struct(*fields, *[flag(n).alias(n) for n in FLAGS]).alias("e"), v.isNull().alias("bad"), *[c for c in lines.columns if c not in (column, "e", "bad", "id", "_json")])
+    return rows.withColumn("id", F.nullif(F.col("e.meta.id"), F.lit("")))
 
 
 def normalised(events: DataFrame, now: Column | None = None) -> DataFrame:

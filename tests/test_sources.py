@@ -53,6 +53,18 @@ def test_what_is_left_out(spark):
     assert made(spark, raw(type="categorize"), raw(server_name=""), raw(server_name="-gone-"), "{ no", "") == []
 
 
+def test_fields_of_other_types_are_converted(spark):
+    a, b, c = made(
+        spark, raw(title=5, namespace="4", bot=1, minor="", length="x", comment=None, meta={"id": 7}), raw(user=True, bot="yes", minor=0, timestamp="1700000000", length={"old": "100", "new": 250.0}, namespace="none"),
+        raw(timestamp=True, meta="none"),
+    )
+    assert (a["title"], a["namespace"], a["is_bot"], a["is_minor"], a["delta"], a["comment"], a["id"]) == ("5", 4, True, False, 0, "", "7")
+    assert (b["user"], b["is_bot"], b["is_minor"], b["delta"], b["namespace"], b["ts"].timestamp()) == ("true", True, False, 150, 0, 1700000000)
+    assert c["id"] is None and c["uri"] == ""
+    bad = {r["value"]: r["bad"] for r in decode(spark.createDataFrame([("{",), ("[1]",), ("{}",), ("null",), ("",)], "value string").withColumn("line", F.col("value")), "line").select("value", "bad").collect()}
+    assert bad == {"{": True, "[1]": False, "{}": False, "null": False, "": True}
+
+
 def test_long_comment(spark):
     assert len(made(spark, raw(comment="x" * 1000))[0]["comment"]) == 280
 

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from .functions import sketches
 from .operators import store
 from .operators.engine import Engine
+from .plans.errors import QueryError
 from .plans.presets import PRESETS, preset
 from .sources.catalog import Table
 from .sources.edits import decode, from_events, normalised
 from .streaming import rollup
-from .streaming.continuous import changes_between
+from .streaming.continuous import Failure, Session, applied, changes_between
 from .streaming.ingest import deduplicated
 
 #: Arrival order of each table, and its time where it has one.
@@ -75,6 +76,7 @@ DIALECT: dict[str, tuple[str, str, str]] = {
     "q_coalesce_empty": ("edits", "SELECT coalesce(uri, null, title) AS t, count(*) AS n FROM edits GROUP BY t ORDER BY n DESC", f"WITH {EDITS} SELECT title AS t, count(*) AS n FROM edits GROUP BY t"),
     "q_round_half_up": ("events", "SELECT event_id, round(value) AS a, round(0 - value, 1) AS b, round(value, -2) AS c FROM events", "SELECT event_id, floor(value + 0.5) AS a, floor((0 - value) * 10.0 + 0.5) / 10.0 AS b, floor(value * 0.01::DOUBLE + 0.5) / 0.01::DOUBLE AS c FROM events"),
     "q_abs": ("edits", "SELECT abs(delta) AS a, count(*) AS n FROM edits GROUP BY a ORDER BY a DESC", f"WITH {EDITS} SELECT abs(delta) AS a, count(*) AS n FROM edits GROUP BY a ORDER BY a DESC"),
+    "q_unary_minus": ("events", "SELECT event_id, -value AS a, -(event_id % 5) AS b, - -event_id AS c, 2 - -3 AS d FROM events", "SELECT event_id, -value AS a, -(event_id % 5) AS b, event_id AS c, 5::BIGINT AS d FROM events"),
     "q_postfix_precedence": ("events", "SELECT sum(2 + 3 IN (3)) AS s, count(*) AS n FROM events WHERE NOT event_type = 'click' AND value", "SELECT 3 * count(*)::BIGINT AS s, count(*) AS n FROM events WHERE event_type <> 'click' AND value <> 0"),
     "q_group_count": ("events", "SELECT event_type, count(*) FROM events GROUP BY event_type", "SELECT event_type, count(*) AS count FROM events GROUP BY event_type"),
     "q_group_multi": ("lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS q, avg(l_extendedprice) AS p FROM lineitem GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 6) AS q, round(avg(l_extendedprice), 3) AS p FROM lineitem GROUP BY ALL"),
@@ -129,7 +131,7 @@ for _name, (_tables, _query, _oracle) in DIALECT.items():
     QUERIES[_name], ORACLES[_name] = _dialect(_tables, _query), _oracle
 
 #: Queries that are not about a limit or the rows usually shown: they return all rows.
-WHOLE = ("q_arith_div0", "q_round_half_up", "q_str_funcs", "q_substr", "q_substr_units", "q_case_mixed", "q_project_alias")
+WHOLE = ("q_arith_div0", "q_round_half_up", "q_str_funcs", "q_substr", "q_substr_units", "q_case_mixed", "q_project_alias", "q_unary_minus")
 
 
 def _whole(tables: str, sql: str) -> Query:
@@ -276,21 +278,117 @@ def q_heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.heavy_hitters(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_suppkey", 10)
 
 
-@query(f"""WITH {EDITS} SELECT wiki, lang, project, type, title, "user", is_bot, false AS is_anon, is_minor, namespace, delta, new_len, comment, 'https://' || wiki || '/' || title AS uri, event_id::VARCHAR AS id, {EPOCH} AS ts
-FROM edits""")
+#: Raw events made of edits: every seventh is an address's, in one of two forms.
+_RAW_SQL = f"""WITH {EDITS} SELECT wiki, lang, project, type, title, CASE WHEN event_id % 14 = 0 THEN '10.0.0.' || (event_id % 250) WHEN event_id % 14 = 7 THEN '2001:db8::' || (event_id % 250) ELSE "user" END AS "user",
+is_bot, event_id % 7 = 0 AS is_anon, is_minor, namespace, delta, new_len, comment, 'https://' || wiki || '/' || title AS uri, event_id::VARCHAR AS id, {EPOCH} AS ts FROM edits"""
+
+
+def _raw_lines(edits: DataFrame) -> DataFrame:
+    """Edits written as raw JSON events, each twice, with lines that are no JSON, and events of a kind that isn't kept."""
+    i = F.col("event_id")
+    user = F.when(i % 14 == 0, F.concat(F.lit("10.0.0."), (i % 250).cast("string"))).when(i % 14 == 7, F.concat(F.lit("2001:db8::"), (i % 250).cast("string"))).otherwise(F.col("user"))
+
+    def line(kind, id):
+        return F.to_json(F.struct(
+            kind.alias("type"), F.col("wiki").alias("server_name"), "title", user.alias("user"), F.col("is_bot").alias("bot"), F.col("is_minor").alias("minor"), "namespace",
+            (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("timestamp"),
+            F.struct((F.col("new_len") - F.col("delta")).alias("old"), F.col("new_len").alias("new")).alias("length"), "comment",
+            F.struct(F.concat(F.lit("https://"), "wiki", F.lit("/"), "title").alias("uri"), id.alias("id")).alias("meta"),
+        ))
+
+    raw = line(F.col("type"), i.cast("string"))
+    return edits.select(F.explode(F.array(raw, raw, F.lit("{ no JSON"), line(F.lit("categorize"), F.concat(F.lit("c"), i.cast("string"))))).alias("value"))
+
+
+@query(_RAW_SQL)
 def q_normalise_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits written as raw JSON events, each twice, some with lines that are no JSON, then decoded, deduplicated and normalised."""
-    e = _edits(spark, sf_dir)
-    raw = F.to_json(F.struct(
-        "type", F.col("wiki").alias("server_name"), "title", "user", F.col("is_bot").alias("bot"), F.col("is_minor").alias("minor"), "namespace",
-        (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("timestamp"),
-        F.struct((F.col("new_len") - F.col("delta")).alias("old"), F.col("new_len").alias("new")).alias("length"), "comment",
-        F.struct(F.concat(F.lit("https://"), "wiki", F.lit("/"), "title").alias("uri"), F.col("event_id").cast("string").alias("id")).alias("meta"),
-    ))
-    lines = e.select(F.explode(F.array(raw, raw, F.lit("{ no JSON"))).alias("value"))
-    made = deduplicated(normalised(decode(lines).where("NOT bad")), False)
+    """Raw events decoded, deduplicated and normalised."""
+    made = normalised(deduplicated(decode(_raw_lines(_edits(spark, sf_dir))).where("NOT bad"), False))
     return made.withColumn("ts", F.unix_micros("ts") / 1e6)
 
 
+@query(f"SELECT * EXCLUDE (id) FROM ({_RAW_SQL})")
+def q_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a stream: lines are ingested into a live table's files, and the table is read."""
+    import tempfile
+    import uuid
+
+    from .streaming.ingest import ingest, live_table
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = f"{(shared or tempfile.mkdtemp(prefix='ingest-')).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    ingest(_raw_lines(from_events(events)), f"{folder}/edits", f"{folder}/state", trigger={"availableNow": True}, age=None, rows=None).awaitTermination()
+    live = live_table(spark, f"{folder}/edits", lambda: 2e9, age=2_000_000_000, rows=1 << 60)
+    return live.df.drop("_arrival").withColumn("ts", F.unix_micros("ts") / 1e6)
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY event_type ORDER BY n DESC, min(event_id)")
+def q_subscription(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a subscriber has after a full message and the changes of four days, an unknown column answered on the way."""
+    events = table(spark, sf_dir, "events")
+    at, ticks, rows = [events.now() - 4 * 86400], [0.0], {}
+    moving = Table(events.df, events.time, events.order, clock=lambda: at[0])
+    session = Session(Engine({"events": moving}), lambda m: kept.append(m), lambda: ticks[0])
+    kept: list = []
+    session.subscribe("bad", "SELECT event_typ FROM events")
+    session.subscribe("q", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC WINDOW 7d")
+    for _ in range(5):
+        session.tick()
+        at[0] += 86400
+        ticks[0] += 100
+    failed, first, *later = kept
+    if not isinstance(failed, Failure) or first.rows is None or any(m.rows is not None for m in later):
+        raise AssertionError("one error, one full message, and changes are expected")
+    for message in (first, *later):
+        rows = applied(rows, message)
+    return spark.createDataFrame(list(rows.values()), "event_type string, n long")
+
+
+@query("SELECT user_id, n, true AS truncated, true AS noted FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY user_id LIMIT 20)")
+def q_group_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What comes to the driver of more groups than are allowed, and that it is said."""
+    found = engine(spark, sf_dir, "events").run("SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY user_id").collect(most=20)
+    return spark.createDataFrame([(*r, found.truncated, any("more than 20 groups" in x for x in found.notes)) for r in found.rows], "user_id long, n long, truncated boolean, noted boolean")
+
+
+#: Queries that can't be run, and the text at the place that their error points to.
+ERRORS = {
+    "SELECT titel FROM edits": "titel",
+    "SELECT a FROM nowhere": "nowhere",
+    "SELECT lang, count(*) FROM edits GROUP BY title": "lang",
+    "SELECT title FROM edits WHERE count(*) > 1": "count(*)",
+    "SELECT max(sum(delta)) FROM edits": "sum(delta)",
+    "SELECT percentile(delta, 101) FROM edits": "101",
+    "SELECT top_k(lang, 2.5) FROM edits": "2.5",
+    "SELECT substr(lang) FROM edits": "substr(lang)",
+    "SELECT sum() FROM edits": "sum()",
+    "SELECT sum(lang) FROM edits": "sum(lang)",
+    "SELECT lang > 5 FROM edits": "lang > 5",
+    "SELECT lang LIKE title FROM edits": "title",
+    "SELECT median(delta) FROM edits": "median",
+    "SELECT lower(DISTINCT lang) FROM edits": "DISTINCT",
+    "SELECT lang FROM edits; SELECT 1": ";",
+    "SELECT count(*) FROM edits WINDOW 30d": "SELECT count(*) FROM edits WINDOW 30d",
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(k.replace("'", "''"), v.replace("'", "''")) for k, v in ERRORS.items()) + ") AS t(sql, place)")
+def q_error_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the errors of wrong queries point to; edits are kept for a week."""
+    edits = table(spark, sf_dir, "edits")
+    e = Engine({"edits": Table(edits.df, "ts", "event_id", 7 * 86400, edits.now, ("event_id",))})
+    rows = []
+    for sql in ERRORS:
+        try:
+            e.check(sql)
+            rows.append((sql, "no error"))
+        except QueryError as x:
+            rows.append((sql, sql[x.start : x.end]))
+    return spark.createDataFrame(rows, "sql string, place string")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["q_flagship"](spark, sf_dir)

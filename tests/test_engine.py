@@ -201,7 +201,8 @@ def test_queries_agree_with_sql(spark):
     for table in ("events", "customer", "orders", "lineitem", "part"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     plain = lambda rows: sorted(tuple(round(float(v), 6) if isinstance(v, (int, float)) else str(v) for v in r) for r in rows)
-    for name in [*WHOLE, "q_abs", "q_rollup_series", "q_rollup_title_sketch", "q_hll_approx", "q_percentile_sketch", "q_count_min", "q_candidates", *(q for q in DIALECT if "preset" in q)]:
+    assert QUERIES.keys() == ORACLES.keys()
+    for name in [*WHOLE, "q_abs", "q_rollup_series", "q_rollup_title_sketch", "q_hll_approx", "q_percentile_sketch", "q_count_min", "q_candidates", "q_normalise_events", "q_ingest_stream", "q_subscription", "q_group_bound", "q_error_places", *(q for q in DIALECT if "preset" in q)]:
         want = con.execute(ORACLES[name])
         columns = [d[0] for d in want.description]
         want = want.fetchall()

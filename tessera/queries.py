@@ -347,7 +347,7 @@ def q_subscription(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(rows.values()), "event_type string, n long")
 
 
-@query("SELECT user_id, n, true AS truncated, true AS noted FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY user_id LIMIT 20)")
+@query("WITH g AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) SELECT user_id, n, (SELECT count(*) > 20 FROM g) AS truncated, (SELECT count(*) > 20 FROM g) AS noted FROM g ORDER BY user_id LIMIT 20")
 def q_group_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What comes to the driver of more groups than are allowed, and that it is said."""
     found = engine(spark, sf_dir, "events").run("SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY user_id").collect(most=20)

@@ -261,17 +261,25 @@ def _one_channel(bits: Bits, codes: list[Code], width: int, out: np.ndarray) ->
     words = b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16)
     window = ((words[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << green.bits) - 1)).ravel()
     symbols = green.symbol[window].astype(np.uint16)
-    steps = np.where(symbols < LITERALS, green.size[window], 0).astype(np.uint8).tobytes()  # 0 ends a run of literals
+    step = np.where(symbols < LITERALS, green.size[window], 0).astype(np.uint8)  # 0 ends a run of literals
+    next_ = step[np.minimum(np.arange(len(step), dtype=np.int32) + step, len(step) - 1)]
+    steps = np.where((step > 0) & (next_ > 0), step + next_, 0).astype(np.uint8).tobytes()  # two literals at once
     p, at, end = bits.at - 8 * first, 0, bits.end - 8 * first
     while at < total:
-        places: list[int] = []
-        add = places.append
-        while step := steps[p] if p < end else 0:
+        pairs: list[int] = []
+        add = pairs.append
+        while two := steps[p] if p < end else 0:
             add(p)
-            p += step
-        n = min(len(places), total - at)
+            p += two
+        places = np.empty(2 * len(pairs) + 1, np.int64)
+        places[:-1:2] = pairs
+        places[1::2] = places[:-1:2] + step[places[:-1:2]]
+        places[-1] = p
+        n = min(len(places) - 1 + (p < end and step[p] > 0), total - at)
         if n < len(places):
-            p = places[n]  # what follows the image looks like literals
+            p = int(places[n])  # a copy, or what follows the image
+        else:
+            p += int(step[p])
         if n:
             out[at : at + n] = symbols[places[:n]].astype(np.uint32) << np.uint32(8) | rest
             at += n
@@ -714,6 +722,9 @@ def encode(pixels: np.ndarray, block: int = 4) -> bytes:
 
 def _flat_mode(rows: np.ndarray) -> tuple[int, np.ndarray] | None:
     """(mode, residuals) of grey rows if the pixel to the left or above tells so much of each that it needs less than three quarters of the bits."""
+    above = len(rows) > 1 and 3 * np.count_nonzero(rows[1:] == rows[:-1]) > rows[1:].size  # most texts have neither
+    if not above and np.abs(np.diff(rows.ravel().view(np.int8))).astype(np.uint8).mean() > 8:
+        return None
     best = 0.75 * _entropy(rows.ravel())
     out = None
     for mode, axis in ((1, 1), (2, 0)) if best else ():

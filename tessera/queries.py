@@ -91,6 +91,7 @@ DIALECT: dict[str, tuple[str, str, str]] = {
     "q_empty_groups": ("events", "SELECT event_type, count(*) AS n FROM events WHERE value < 0 GROUP BY event_type", "SELECT event_type, count(*) AS n FROM events WHERE value < 0 GROUP BY event_type"),
     "q_percentile": ("events", "SELECT event_type, percentile(value, 50) AS p50, percentile(value, 90) AS p90, percentile(value, 99) AS p99 FROM events GROUP BY event_type", "SELECT event_type, round(quantile_cont(value, 0.5), 2) AS p50, round(quantile_cont(value, 0.9), 2) AS p90, round(quantile_cont(value, 0.99), 2) AS p99 FROM events GROUP BY event_type"),
     "q_agg_expr": ("events", "SELECT event_type, count(*) / 60 AS per_minute, CASE WHEN count(*) > 100 THEN 'many' ELSE 'few' END AS size, sum(value) / count(*) AS mean FROM events GROUP BY event_type", "SELECT event_type, count(*) / 60 AS per_minute, CASE WHEN count(*) > 100 THEN 'many' ELSE 'few' END AS size, round(sum(value), 6) / count(*) AS mean FROM events GROUP BY event_type"),
+    "q_aggregate_reuse": ("events", "SELECT event_type, sum(value) / sum(value) AS one, count(*) + count() AS twice, sum(value) FROM events GROUP BY event_type ORDER BY sum(value) DESC", "SELECT event_type, 1.0::DOUBLE AS one, 2 * count(*) AS twice, round(sum(value), 6) AS sum_value FROM events GROUP BY event_type"),
     "q_order_by_agg": ("orders", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority ORDER BY max(o_totalprice) DESC, o_orderpriority LIMIT 3", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority ORDER BY max(o_totalprice) DESC, o_orderpriority LIMIT 3"),
     "q_limit_topk": ("events", "SELECT event_id, value FROM events ORDER BY value DESC LIMIT 10", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 10"),
     "q_order_by_constant": ("events", "SELECT event_id FROM events ORDER BY 1, value LIMIT 10", "SELECT event_id FROM events ORDER BY value, event_id LIMIT 10"),

@@ -113,14 +113,18 @@ def in_training_order(docs: DataFrame, mixed: DataFrame, *, doc_id: str = "doc_i
     in both any may stand for the other. Ties in position go by id and copy.
     Texts without words are never taken, and no rows give no rows.
     """
-    # one key for numbering and joining, so that texts are shuffled once for both; equal keys are told apart by another hash
     key, check = F.xxhash64("id", "x"), F.hash("id", "x")
-    n = Window.partitionBy("key").orderBy("id", "x")
-    whole = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("x"), F.struct(*docs.columns).alias("row"))
-    whole = whole.withColumns({"key": key, "check": check}).withColumn("n", F.row_number().over(n)).drop("id", "x")
-    places = mixed.select(F.col("doc_id").alias("id"), "x", "size", "taken", "positions").where("taken > 0").withColumns({"key": key, "check": check}).withColumn("n", F.row_number().over(n)).drop("id", "x")
-    same = (whole["key"] == places["key"]) & (whole["n"] - places["n"] == 0) & (whole["check"] - places["check"] == 0)
-    copies = whole.join(places, same).select("row", "size", "taken", F.posexplode("positions").alias("k", "position"))
+    every = cut(mixed.select(F.col("doc_id").alias("id"), "x", "size", "taken", "positions").withColumns({"key": key, "check": check}))
+    places = every.where("taken > 0")
+    whole = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("x"), F.struct(*docs.columns).alias("row")).withColumns({"key": key, "check": check})
+    if every.groupBy("key", "check").count().where("count > 1").isEmpty():  # texts need no shuffle to be numbered, nor to be joined with few places
+        rows, same = places.count(), whole["key"] == places["key"]
+        places = small(places, rows)
+    else:  # one key for numbering and joining, so that texts are shuffled once for both; equal keys are told apart by another hash
+        n = F.row_number().over(Window.partitionBy("key").orderBy("id", "x"))
+        whole, places = whole.withColumn("n", n), places.withColumn("n", n)
+        same = (whole["key"] == places["key"]) & (whole["n"] - places["n"] == 0)
+    copies = whole.join(places, same & (whole["check"] - places["check"] == 0)).select("row", "size", "taken", F.posexplode("positions").alias("k", "position"))
     left = F.least("size", F.col("taken") - F.col("k") * F.col("size"))
     full = F.col("row")[text]
     part = F.when(left >= F.col("size"), full).otherwise(F.array_join(F.slice(F.regexp_extract_all(full, F.lit(WORD), F.lit(0)), 1, left.cast("int")), " "))

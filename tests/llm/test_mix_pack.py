@@ -102,6 +102,19 @@ def test_positions_invert_demand(docs, mixed):
             assert -1 <= began - asked <= most + 1
 
 
+def test_repeated_rows_are_taken_as_often_as_they_count(spark):
+    """Of two equal rows only the first is within its source's demand; other sources have rows of their own."""
+    words = lambda n, w: " ".join([w] * n)
+    rows = [(1, words(100, "a"), "s1"), (1, words(100, "a"), "s1"), (2, words(100, "b"), "s2"), (3, words(100, "c"), "s3"), (None, words(7, "d"), "s3"), (None, words(7, "d"), "s3"), (4, "", "s3")]
+    for some in (rows, [r for k, r in enumerate(rows) if k not in (1, 5)]):
+        docs = spark.createDataFrame(some, "doc_id long, text string, source string")
+        mixed = mixing.curriculum(docs)
+        got = collections.Counter()
+        for r in mixing.in_training_order(docs, mixed).collect():
+            got[r["source"]] += len(WORD.findall(r["text"]))
+        assert got == {r["source"]: r["t"] for r in mixed.groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+
+
 def test_mix_of_nothing(empty):
     m = mixing.curriculum(empty)
     assert m.count() == 0 and mixing.in_training_order(empty, m).count() == 0

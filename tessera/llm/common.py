@@ -149,14 +149,19 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="checkpoints-")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, sweep: bool = False) -> DataFrame:
     """Write df to the cluster's shared checkpoint folder and go on from there.
 
+    With ``sweep`` the driver collects its garbage first, upon which Spark
+    deletes the shuffle files of steps before that nothing needs any more.
+
     The files go with the DataFrame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
+    if sweep:
+        context._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 

@@ -128,18 +128,18 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Lin
     # 1: n-grams of a single class
     low = _scan(chosen.select("text"), [], "h long, cls long", first_fragments)
     lone = low.groupBy("h").agg(F.min("cls").alias("cls"), F.max("cls").alias("other")).where("cls = other").groupBy("cls").agg(F.count("*").alias("lone"))
-    able = cut(classes.join(lone, "cls", "left").where(f"100 * coalesce(lone, 0) <= {100 - PERCENT} * n").select("cls", "n", "rep"))
+    able = cut(classes.join(lone, "cls", "left").where(f"100 * coalesce(lone, 0) <= {100 - PERCENT} * n").select("cls", "n", "rep"), sweep=True)
 
     # 2: whole sets of the rest, in order of frequency
     rows = able.count()
     reps = able.select(F.coalesce(F.col("rep").cast("string"), F.lit("")).alias("id")).distinct()
     texts = chosen.join(small(reps, rows), F.coalesce(F.col("doc_id").cast("string"), F.lit("")) == F.col("id"), "left_semi").select("text")
-    sets = cut(_scan(texts, [], "cls long, hs array<long>, odd array<long>", whole_sets).join(small(able.select("cls", "n"), rows), "cls").dropDuplicates(["cls"]))
+    sets = cut(_scan(texts, [], "cls long, hs array<long>, odd array<long>", whole_sets).join(small(able.select("cls", "n"), rows), "cls").dropDuplicates(["cls"]), sweep=True)
     tokens = sets.select("cls", F.explode("hs").alias("h"))
     shared = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     ordered = tokens.join(shared, "h").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("common"))  # as long as one text
     may_miss = F.floor(F.col("n") * (100 - PERCENT) / 100)
-    known = cut(ordered.join(sets.select("cls", "n"), "cls").withColumn("miss", F.col("n") - F.size("common")).where(F.col("miss") <= may_miss))
+    known = cut(ordered.join(sets.select("cls", "n"), "cls").withColumn("miss", F.col("n") - F.size("common")).where(F.col("miss") <= may_miss), sweep=True)
     prefix = cut(known.select("cls", "n", "miss", F.explode(F.slice(F.col("common.h"), 1, (may_miss - F.col("miss") + 1).cast("int"))).alias("h")))
 
     def fragment(f: int) -> Column:
@@ -166,7 +166,7 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Lin
     lead = prefix.groupBy("h").agg(F.min(F.struct((F.col("miss") / F.col("n")).alias("part"), "cls", "n", "miss")).alias("l")).select("h", "l.cls", "l.n", "l.miss")
     led = cut(prefix.alias("x").join(lead.alias("l"), "h").select("h", F.col("x.cls").alias("cls"), F.col("x.n").alias("n"), F.col("x.miss").alias("miss"), F.col("l.cls").alias("lead"), most("x", "l").alias("most"), total("x", "l").alias("total")))
     first = led.where(F.col("cls") != F.col("lead")).where((100 + PERCENT) * F.col("most") >= PERCENT * F.col("total"))
-    first = cut(overlaps(first.select(F.col("cls").alias("a"), F.col("lead").alias("b"), "total").distinct()))
+    first = cut(overlaps(first.select(F.col("cls").alias("a"), F.col("lead").alias("b"), "total").distinct()), sweep=True)
     labels = components(first.where(linked).select("a", "b"))
 
     # 4: those that no leader's component has, with the others
@@ -178,7 +178,7 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Lin
     spread = cut(labelled(labelled(spread, "cls", "own"), "lead", "led_by").select("h", "cls", "n", "miss", "with_lead", "own", (F.col("own") != F.col("led_by")).alias("out")))
     left_over = cut(spread.where("out").select("h").distinct())  # buckets with a member left over
     odd = sets.select("cls", *[F.col("odd")[i].alias(f"odd{i}") for i in range(PARITIES // 64)])
-    spread = cut(spread.join(small(left_over, left_over.count()), "h", "left_semi").join(odd, "cls"))
+    spread = cut(spread.join(small(left_over, left_over.count()), "h", "left_semi").join(odd, "cls"), sweep=True)
 
     def inside(x: str) -> Column:
         return F.col(f"{x}.with_lead")
@@ -229,8 +229,9 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     """
     members, _, labels, _ = links(docs, doc_id=doc_id, text=text)
     found = cut(members.join(labels, "cls", "left").select("doc_id", "text_hash", F.coalesce("component", "cls").alias("component")))
-    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first"))
-    gone = found.join(first, "component").where("NOT (doc_id <=> first.doc_id AND text_hash = first.text_hash)")
+    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first"), F.count("*").alias("rows"))
+    first = cut(first.where("rows > 1").select("component", "first"))  # so that a large component is no single task where they are few
+    gone = found.join(small(first, first.count()), "component").where("NOT (doc_id <=> first.doc_id AND text_hash = first.text_hash)")
     key, seen = unused(docs, "id"), unused(docs, "seen")
 
     def among(rows: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
